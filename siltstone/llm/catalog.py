@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.llm import components
+from siltstone.llm import components, neighbours
 from siltstone.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,8 +16,12 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return components.connected_groups(table(spark, folder, "edges"))
 
 
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbours.similar_pairs(table(spark, folder, "vectors"))
+
+
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found}
+    return {"p1_found": p1_found, "p4_found": p4_found}
 
 
 P1_SQL = """
