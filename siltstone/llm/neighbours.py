@@ -17,8 +17,13 @@ from pyspark.sql import functions as F
 from siltstone.llm.components import lookup
 from siltstone.session import materialise
 
-BLOCK = 2048
-PANEL = 16
+ROWS_AT_ONCE = 512  # rows of a tile held as one product
+PANEL_ROWS = 200_000  # partner rows that one task holds
+
+
+def block_rows(total: int) -> int:
+    """Rows of a block: what is moved grows as total^2 / block_rows, what a task holds as block_rows."""
+    return int(min(65_536, max(2_048, 26 * total**0.5)))
 
 
 def usable_vectors(df: DataFrame, uuid: str, embedding: str, dim: int | None) -> DataFrame:
@@ -73,8 +78,8 @@ class Heaps:
         self.sim = np.full((n, k), -2, np.float32)
         self.who = np.full((n, k), "", object)
 
-    def floor(self) -> np.ndarray:
-        return self.sim.min(1)
+    def floor(self, rows: slice) -> np.ndarray:
+        return self.sim[rows].min(1)
 
     def push(self, rows: np.ndarray, who: np.ndarray, sim: np.ndarray) -> None:
         """Merge candidates into the rows' heaps; ties go to the smaller id."""
@@ -84,9 +89,7 @@ class Heaps:
         r = np.concatenate([np.repeat(touched, self.k), rows])
         w = np.concatenate([self.who[touched].ravel(), who])
         s = np.concatenate([self.sim[touched].ravel(), sim])
-        by_id = np.argsort(w.astype(str), kind="stable")
-        r, w, s = r[by_id], w[by_id], s[by_id]
-        order = np.lexsort((-s, r))
+        order = np.lexsort((w.astype(str), -s, r))
         r, w, s = r[order], w[order], s[order]
         first = np.r_[True, r[1:] != r[:-1]]
         start = np.flatnonzero(first)
@@ -99,29 +102,35 @@ class Heaps:
 def tile(a: np.ndarray, qa: tuple, b: np.ndarray, qb: tuple, floor: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, column, cosine) of the cells of a x b that can be among the best k of their row and reach ``least``.
 
-    The codes' product is exact in float32 (at most 127 * 127 * dim < 2^24 up to dim 1040), where BLAS is fastest."""
-    err = qa[2][:, None] + (1 + qa[2][:, None]) * qb[2][None, :]
-    near = (qa[0].astype(np.float32) @ qb[0].astype(np.float32).T) * qa[1][:, None] * qb[1][None, :]
+    The int8 codes are multiplied in float32, where BLAS is fastest and their products are exact up to scale; the
+    difference from the true cosine is at most e_a + (1 + e_a) e_b, with the e of each row what its code misses."""
     low = np.maximum(floor, np.float32(least))
-    if near.shape[1] > k:
-        sure = near - err
-        low = np.maximum(low, np.partition(sure, -k, axis=1)[:, -k])
-    rows, cols = np.nonzero(near + err >= low[:, None])
-    sim = np.einsum("ij,ij->i", a[rows].astype(np.float64), b[cols].astype(np.float64)).astype(np.float32) if len(rows) else np.zeros(0, np.float32)
-    good = sim >= np.maximum(floor[rows], np.float32(least))
+    err = qa[2] + (1 + qa[2]) * qb[2].max() + np.float32(1e-5)
+    near = (qa[0].astype(np.float32) * qa[1][:, None]) @ (qb[0].astype(np.float32) * qb[1][:, None]).T
+    rows, cols = np.nonzero(near >= (low - err)[:, None])
+    if len(rows) > 4 * k * len(a):  # many cells pass: keep those that can reach the k-th surest of their row
+        if near.shape[1] > k:
+            low = np.maximum(low, np.partition(near, -k, axis=1)[:, -k] - err)
+            rows, cols = np.nonzero(near >= (low - err)[:, None])
+    sim = np.empty(len(rows), np.float32)
+    for i in range(0, len(rows), 200_000):
+        s = slice(i, i + 200_000)
+        sim[s] = np.einsum("ij,ij->i", a[rows[s]].astype(np.float64), b[cols[s]].astype(np.float64))
+    good = sim >= low[rows]
     return rows[good], cols[good], sim[good]
 
 
-def knn_classes(classes: DataFrame, k: int, least: float, centres: int, sample: int, seed: int) -> DataFrame:
+def knn_classes(classes: DataFrame, k: int, least: float, sample: int, seed: int) -> DataFrame:
     """(cid, other, sim): of every class vector the best k others (itself left out) with a cosine of at least ``least``."""
     spark = classes.sparkSession
     total = classes.count()
     if not total:
         return classes.select("cid", F.col("cid").alias("other"), F.lit(0.0).cast("float").alias("sim"))
+    block = block_rows(total)
     share = min(1.0, 1.2 * sample / total)
     drawn = classes.select("vec").sample(share, seed).limit(sample).toPandas() if share < 1 else classes.select("vec").limit(sample).toPandas()
-    centre = coarse_centres(_unit(np.stack(drawn["vec"].to_numpy()).astype(np.float64)), min(centres, 1 + total // 64), seed=seed)
-    shared = spark.sparkContext.broadcast(centre)  # at most ``centres`` vectors
+    centre = coarse_centres(_unit(np.stack(drawn["vec"].to_numpy()).astype(np.float64)), min(4096, -(-total // block)), seed=seed)
+    shared = spark.sparkContext.broadcast(centre)  # at most 4096 vectors
     dim = centre.shape[1]
 
     @F.pandas_udf("struct<part int, off float>")
@@ -135,7 +144,7 @@ def knn_classes(classes: DataFrame, k: int, least: float, centres: int, sample:
 
     placed = materialise(classes.withColumn("at", assign("vec")).select("cid", "vec", "at.part", "at.off"))
     size = placed.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.max("off").alias("radius")).toPandas()  # a row a centre
-    part, chunks, radius = size["part"].to_numpy(), -(-size["n"].to_numpy() // BLOCK), size["radius"].to_numpy()
+    part, chunks, radius = size["part"].to_numpy(), -(-size["n"].to_numpy() // block), size["radius"].to_numpy()
     angle = np.arccos(np.clip(centre[part] @ centre[part].T, -1, 1))
     # two vectors are at least this far apart; 0.002 covers the rounding of arccos near 1
     gap = angle - radius[:, None] - radius[None, :] - 0.002
@@ -153,7 +162,7 @@ def knn_classes(classes: DataFrame, k: int, least: float, centres: int, sample:
     tiles = (
         pairs.withColumn("ca", F.explode(F.sequence(F.lit(0), F.col("na") - 1)))
         .withColumn("cb", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-        .withColumn("panel", F.floor(nth / PANEL).cast("int"))
+        .withColumn("panel", F.floor(nth / max(1, PANEL_ROWS // block)).cast("int"))
         .select("pa", "ca", "pb", "cb", "panel")
     )
     tiles = materialise(tiles)
@@ -169,10 +178,14 @@ def knn_classes(classes: DataFrame, k: int, least: float, centres: int, sample:
         for at in np.argsort(~same, kind="stable"):  # near blocks first: their rows raise the heaps' floors
             b = np.frombuffer(partners["b_m"].iloc[at], np.float32).reshape(-1, dim)
             b_ids = np.array(partners["b_ids"].iloc[at].split("\n"), object)
-            r, c, s = tile(a, qa, b, quantise(b), heaps.floor(), k + 1, least)
-            other = a_ids[r] != b_ids[c]
-            if other.any():
-                heaps.push(r[other], b_ids[c[other]], s[other])
+            qb = quantise(b)
+            for i in range(0, len(a), ROWS_AT_ONCE):
+                cut = slice(i, i + ROWS_AT_ONCE)
+                r, c, s = tile(a[cut], tuple(q[cut] for q in qa), b, qb, heaps.floor(cut), k + 1, least)
+                r = r + i
+                other = a_ids[r] != b_ids[c]
+                if other.any():
+                    heaps.push(r[other], b_ids[c[other]], s[other])
         r, c = np.nonzero(heaps.sim > -2)
         return pd.DataFrame({"cid": a_ids[r], "other": heaps.who[r, c], "sim": heaps.sim[r, c]})
 
@@ -189,13 +202,12 @@ def most_similar(
     k: int = 5,
     least: float = -1.0,
     dim: int | None = None,
-    centres: int = 512,
     sample: int = 20_000,
     seed: int = 7,
 ) -> DataFrame:
     """One row (uuid, other, sim, rank) for each of the ``k`` most similar other vectors, at ``least`` cosine or more.
 
-    Exact: no row or partner is dropped or sampled; only the centres, which decide the order of work, are fitted on
+    Exact: no row or partner is dropped or sampled; only the centres, which group rows into blocks, are fitted on
     ``sample`` rows. Null, empty, all-zero, non-finite vectors and vectors of another length than ``dim`` (None: the
     commonest) take no part. Equal vectors under several ids are joined once, as a class; each class shows its k + 1
     smallest ids, of which every other row can need no more. Ties go to the smaller id. A repeated row counts once.
@@ -206,7 +218,7 @@ def most_similar(
     targets = rows.withColumn("nth", shown).filter(F.col("nth") <= k + 1)
     targets = materialise(targets.withColumn("cid", F.min("uuid").over(Window.partitionBy("vec"))))
     classes = targets.filter("nth = 1").select("cid", "vec")
-    near = knn_classes(classes, k, least, centres, sample, seed)
+    near = knn_classes(classes, k, least, sample, seed)
     own = targets.select("cid", F.col("uuid").alias("other"), F.lit(1.0).cast("float").alias("sim"), F.lit(0).alias("away"))
     theirs = near.join(targets.select(F.col("cid").alias("other"), "uuid"), "other").select("cid", F.col("uuid").alias("other"), "sim", F.lit(1).alias("away"))
     order = F.row_number().over(Window.partitionBy("cid").orderBy("away", F.desc("sim"), "other"))
