@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.llm import components, neighbours
+from siltstone.llm import components, leakage, mixture, neighbours
 from siltstone.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,8 +20,25 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return neighbours.similar_pairs(table(spark, folder, "vectors"))
 
 
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return leakage.leaked_documents(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
+
+
+def p8_items(spark: SparkSession, folder: str) -> DataFrame:
+    return leakage.leaked_items(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
+
+
+def p9_mixture(spark: SparkSession, folder: str) -> DataFrame:
+    return mixture.mixture_report(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))
+
+
+def p9_documents(spark: SparkSession, folder: str) -> DataFrame:
+    return mixture.mix_sources(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))
+
+
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p4_found": p4_found}
+    found = [p1_found, p4_found, p8_found, p8_items, p9_mixture, p9_documents]
+    return {f.__name__: f for f in found}
 
 
 P1_SQL = """
