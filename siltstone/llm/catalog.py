@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.llm import components, leakage, mixture, neighbours
+from siltstone.llm import components, language, leakage, mixture, neighbours
 from siltstone.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,8 +36,16 @@ def p9_documents(spark: SparkSession, folder: str) -> DataFrame:
     return mixture.mix_sources(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))
 
 
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    return language.language_cases(table(spark, folder, "documents"))
+
+
+def p10_segments(spark: SparkSession, folder: str) -> DataFrame:
+    return language.identify_languages(table(spark, folder, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    found = [p1_found, p4_found, p8_found, p8_items, p9_mixture, p9_documents]
+    found = [p1_found, p4_found, p8_found, p8_items, p9_mixture, p9_documents, p10_found, p10_segments]
     return {f.__name__: f for f in found}
 
 
