@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.llm import components, language, leakage, mixture, neighbours
+from siltstone.llm import components, language, leakage, mixture, neighbours, quality
 from siltstone.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,8 +44,16 @@ def p10_segments(spark: SparkSession, folder: str) -> DataFrame:
     return language.identify_languages(table(spark, folder, "documents"))
 
 
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.not_prose(table(spark, folder, "web_docs"))
+
+
+def p5_statistics(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.quality_statistics(table(spark, folder, "web_docs"))
+
+
 def queries() -> dict[str, Query]:
-    found = [p1_found, p4_found, p8_found, p8_items, p9_mixture, p9_documents, p10_found, p10_segments]
+    found = [p1_found, p4_found, p8_found, p8_items, p9_mixture, p9_documents, p10_found, p10_segments, p5_found, p5_statistics]
     return {f.__name__: f for f in found}
 
 
