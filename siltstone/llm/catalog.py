@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.llm import components, language, leakage, mixture, neighbours, quality
+from siltstone.llm import components, language, leakage, mixture, neighbours, pairs, quality
 from siltstone.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,8 +52,13 @@ def p5_statistics(spark: SparkSession, folder: str) -> DataFrame:
     return quality.quality_statistics(table(spark, folder, "web_docs"))
 
 
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return pairs.main_defect(table(spark, folder, "qa_pairs"), language.fit(docs, "doc_id", "text", "lang"))
+
+
 def queries() -> dict[str, Query]:
-    found = [p1_found, p4_found, p8_found, p8_items, p9_mixture, p9_documents, p10_found, p10_segments, p5_found, p5_statistics]
+    found = [p1_found, p4_found, p8_found, p8_items, p9_mixture, p9_documents, p10_found, p10_segments, p5_found, p5_statistics, p7_found]
     return {f.__name__: f for f in found}
 
 
