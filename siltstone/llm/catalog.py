@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.llm import components, language, leakage, mixture, neighbours, pairs, quality
+from siltstone.llm import components, language, leakage, markup, mixture, neighbours, pairs, quality
 from siltstone.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -57,8 +57,16 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return pairs.main_defect(table(spark, folder, "qa_pairs"), language.fit(docs, "doc_id", "text", "lang"))
 
 
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return markup.residue(table(spark, folder, "posts"))
+
+
+def p3_clean(spark: SparkSession, folder: str) -> DataFrame:
+    return markup.clean_text(table(spark, folder, "posts"))
+
+
 def queries() -> dict[str, Query]:
-    found = [p1_found, p4_found, p8_found, p8_items, p9_mixture, p9_documents, p10_found, p10_segments, p5_found, p5_statistics, p7_found]
+    found = [p1_found, p4_found, p8_found, p8_items, p9_mixture, p9_documents, p10_found, p10_segments, p5_found, p5_statistics, p7_found, p3_found, p3_clean]
     return {f.__name__: f for f in found}
 
 
