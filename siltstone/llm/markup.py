@@ -1,7 +1,7 @@
 """Problem 3: markup residue in text documents.
 
 A text is a tree: the document, its lines, and in each line the signs that may be markup. Every node has a hidden
-state: the document clean, of one markup or mixed; a line clean, code or of one markup; a sign content or residue of
+state: the document clean, of one markup or mixed; a line clean, code or of one markup; a sign content, part of code or residue of
 one markup. Parent-child potentials tie them; sum-product messages go up and down once and give the marginals of every
 sign. The potentials are counted on labelled pages made from the raw bodies, whose signs are markup where they stand,
 and content once the body is converted. Signs taken for residue are then turned into plain text.
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 KINDS = ("html", "markdown", "wiki", "latex")
 DOC = ("clean", *KINDS, "mixed")
 LINE = ("clean", "code", *KINDS)
-SIGN = ("content", *KINDS)
+SIGN = ("content", "code", *KINDS)
 
 # Names of HTML elements that pages and posts use.
 _TAGS = (
@@ -115,11 +115,12 @@ class Potentials:
         self.line = np.full((len(DOC), len(LINE)), 0.02)
         self.line[:, :2] += 0.5  # any document may have clean lines and code
         self.sign = np.full((len(LINE), len(SIGN)), 0.02)
+        self.sign[2:, 2:] += 2.0  # a line of one markup may hold a sign of another
         self.look = np.full((len(LINE), len(_LINES)), 0.5)
         self.shape = np.full((len(SIGN), len(_CLASSES)), 0.002)
         for n, kinds in _OF.items():  # a sign is residue of its own markups only, and seldom content until pages show it
             for k, s in enumerate(SIGN):
-                self.shape[k, _AT[n]] = (0.5 if s in kinds else 1e-9) if s != "content" else 0.5 if not kinds else 0.004
+                self.shape[k, _AT[n]] = 0.05 if s == "code" else (0.5 if s in kinds else 1e-9) if s != "content" else 0.5 if not kinds else 0.004
         self.seen: dict = {}
 
     def add(self, doc: str, lines: list[tuple[str, str, list[tuple[int, str]]]], weight: float = 1.0) -> None:
@@ -180,7 +181,7 @@ class Potentials:
         out = []
         for (_, signs), marg in zip(lines, self.marginals(signature)):
             best = {c: int(m.argmax()) for c, m in marg.items()}
-            out += [(a, b, c, SIGN[best[c]]) for a, b, c in signs if best[c]]
+            out += [(a, b, c, SIGN[best[c]]) for a, b, c in signs if best[c] > 1]
         return out
 
 
@@ -202,8 +203,8 @@ def _labelled(text: str, state: str) -> list[tuple[str, str, list[tuple[int, str
     out = []
     for look, signs in lex(text):
         code = look in ("codey", "fenced")
-        own = [(c, state if state in _OF[_CLASSES[c]] and (not code or _CLASSES[c] in ("tag", "entity", "comment", "md_fence")) else "content") for *_, c in signs]
-        line = "code" if code and all(s == "content" for _, s in own) else state if state != "clean" else "clean"
+        own = [(c, state if state in _OF[_CLASSES[c]] and (not code or _CLASSES[c] in ("tag", "entity", "comment", "md_fence", "tex_environment")) else "code" if code else "content") for *_, c in signs]
+        line = "code" if code and all(s == "code" for _, s in own) else state if state != "clean" else "clean"
         out.append((line, look, own))
     return out
 
@@ -242,10 +243,12 @@ def train(bodies: list[str], seed: int = 5) -> Potentials:
                 own = []
                 for s, e, c in signs:
                     k = kinds.get(text[s:e])
-                    own.append((c, k if k and k in _OF[_CLASSES[c]] else "content"))
-                found = [s for _, s in own if s != "content"]
+                    if k is None and _OF[_CLASSES[c]] and look in ("plain", "list"):
+                        continue  # left over or grown together: not labelled
+                    own.append((c, k if k and k in _OF[_CLASSES[c]] else "code" if look in ("codey", "fenced") else "content"))
+                found = [s for _, s in own if s in KINDS]
                 lines.append((found[0] if found else "code" if look in ("codey", "fenced") else "clean", look, own))
-            if any(s != "content" for _, _, own in lines for _, s in own):
+            if any(s in KINDS for _, _, own in lines for _, s in own):
                 p.add("mixed", lines)
     return p.ready()
 
