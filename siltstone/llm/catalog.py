@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.llm import components, language, leakage, markup, mixture, neighbours, pairs, quality
+from siltstone.llm import components, language, leakage, markup, mixture, neighbours, pairs, quality, toxicity
 from siltstone.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -65,8 +65,18 @@ def p3_clean(spark: SparkSession, folder: str) -> DataFrame:
     return markup.clean_text(table(spark, folder, "posts"))
 
 
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "web_docs")
+    return toxicity.toxic_records(docs, toxicity.fit(docs, table(spark, folder, "text_labels")))
+
+
+def p6_rates(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "web_docs")
+    return toxicity.rates_by_source(docs, toxicity.fit(docs, table(spark, folder, "text_labels")))
+
+
 def queries() -> dict[str, Query]:
-    found = [p1_found, p4_found, p8_found, p8_items, p9_mixture, p9_documents, p10_found, p10_segments, p5_found, p5_statistics, p7_found, p3_found, p3_clean]
+    found = [p1_found, p4_found, p8_found, p8_items, p9_mixture, p9_documents, p10_found, p10_segments, p5_found, p5_statistics, p7_found, p3_found, p3_clean, p6_found, p6_rates]
     return {f.__name__: f for f in found}
 
 
