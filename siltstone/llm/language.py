@@ -70,9 +70,11 @@ class PieceModel:
         self.pieces, self.log_p, self.languages, self.longest = pieces, log_p, languages, longest
         self.unknown = np.full(log_p.shape[1], float(log_p.min()) - 1.0)
         self.held: dict[str, np.ndarray] = {}
+        self.row: dict[str, int] = {}
+        self.table = np.zeros((1024, log_p.shape[1]))
 
     def __getstate__(self):
-        return self.__dict__ | {"held": {}}
+        return self.__dict__ | {"held": {}, "row": {}, "table": np.zeros((1024, self.log_p.shape[1]))}
 
     def cuts(self, word: str) -> list[tuple[int, int, int]]:
         """(start, end, piece) of every vocabulary piece in the word; one unknown (-1) for a letter without any."""
@@ -100,6 +102,24 @@ class PieceModel:
             self.held[word] = got
         return got
 
+    def score(self, words: list[str]) -> np.ndarray:
+        """Log scores of a list of words: of each word what it says for a language against its best, at least -6, so that
+        one name can't decide."""
+        at = []
+        for w in words:
+            i = self.row.get(w)
+            if i is None:
+                if len(self.row) >= 400_000:
+                    return sum((np.maximum(x - x.max(), -6.0) for x in map(self.word, words)), np.zeros(self.log_p.shape[1]))
+                i = self.row[w] = len(self.row)
+                if i >= len(self.table):
+                    self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+                x = self.word(w)
+                self.table[i] = np.maximum(x - x.max(), -6.0)
+                self.held.pop(w, None)
+            at.append(i)
+        return self.table[at].sum(0) if at else np.zeros(self.log_p.shape[1])
+
     def expect(self, counts: dict[str, np.ndarray], size: int) -> np.ndarray:
         """Expected uses of each piece in each language, from words with their counts in each language."""
         total = np.zeros((size, self.log_p.shape[1]))
@@ -159,12 +179,15 @@ def train(texts: list[str], labels: list[str], path: str, languages: tuple[str,
 
 def judge(model: PieceModel, words: list[str]) -> tuple[int, float, np.ndarray]:
     """(best language, its posterior, log scores) of a list of words."""
+    s = model.score(words)
     if not words:
-        return 0, 0.0, np.zeros(len(model.languages))
-    s = sum(np.maximum(x - x.max(), -6.0) for x in map(model.word, words))  # one name can't decide
-    p = np.exp(s - s.max())
-    p /= p.sum()
-    return int(p.argmax()), float(p.max()), s
+        return 0, 0.0, s
+    return verdict(s)
+
+
+def verdict(s: np.ndarray) -> tuple[int, float, np.ndarray]:
+    best = int(s.argmax())
+    return best, float(1.0 / np.exp(s - s[best]).sum()), s
 
 
 def analyse(model: PieceModel, text: str | None, least_words: int = 3) -> tuple[list[tuple[int, int, str, float]], str, float]:
