@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.llm import components, language, leakage, markup, mixture, neighbours, pairs, quality, toxicity
+from siltstone.llm import components, language, leakage, markup, mixture, neighbours, pages, pairs, quality, toxicity
 from siltstone.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -75,8 +75,16 @@ def p6_rates(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.rates_by_source(docs, toxicity.fit(docs, table(spark, folder, "text_labels")))
 
 
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return pages.main_blocks(table(spark, folder, "warc_pages"))
+
+
+def p2_text(spark: SparkSession, folder: str) -> DataFrame:
+    return pages.main_text(table(spark, folder, "warc_pages"))
+
+
 def queries() -> dict[str, Query]:
-    found = [p1_found, p4_found, p8_found, p8_items, p9_mixture, p9_documents, p10_found, p10_segments, p5_found, p5_statistics, p7_found, p3_found, p3_clean, p6_found, p6_rates]
+    found = [p1_found, p4_found, p8_found, p8_items, p9_mixture, p9_documents, p10_found, p10_segments, p5_found, p5_statistics, p7_found, p3_found, p3_clean, p6_found, p6_rates, p2_found, p2_text]
     return {f.__name__: f for f in found}
 
 
