@@ -42,7 +42,8 @@ def html_to_text(page: str | None, main_content: bool = True) -> str | None:
 
     t = re.sub(r"(?is)<pre\b[^>]*>(.*?)</pre\s*>", keep, t)
     t = re.sub(r"\s+", lambda m: "\n\n" if "\x00" in m[0] else " ", t)
-    t = re.sub(r"(?i)<li\b[^>]*>", "\n- ", t)
+    t = re.sub(r"(?i)\s*</li\s*>\s*", "", t)
+    t = re.sub(r"(?i)\s*<li\b[^>]*>\s*", "\n- ", t)
     t = re.sub(r"(?i)</?(?:p|h[1-6]|blockquote|pre|table|ul|ol|dl|figure|article|section)\b[^>]*>", "\n\n", t)
     t = re.sub(rf"(?i)</?(?:{_BLOCK})\b[^>]*>", "\n", t)
     t = html.unescape(re.sub(r"<[^>]*>", "", t)).replace("\xa0", " ")
@@ -144,7 +145,7 @@ def _tokenizer(path: str):
     return _TOKENIZERS[path]
 
 
-def _encoded(path: str, kind: str, pick: Callable):
+def _encoded(path: str, kind: str, pick: Callable, names: bool = False):
     @F.pandas_udf(kind)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         import os
@@ -155,7 +156,8 @@ def _encoded(path: str, kind: str, pick: Callable):
             texts = ["" if x is None else x for x in s]
             out = []
             for i in range(0, len(texts), 256):
-                out += [pick(e) for e in t.encode_batch_fast(texts[i : i + 256], add_special_tokens=False)]
+                encode = t.encode_batch if names else t.encode_batch_fast  # the fast way gives ids only
+                out += [pick(e) for e in encode(texts[i : i + 256], add_special_tokens=False)]
             yield pd.Series(out, dtype=object)
 
     return run
@@ -197,7 +199,7 @@ class FastTextTokenize:
 
     def __call__(self, df: DataFrame) -> DataFrame:
         plain = per_text(plain_form, "string")(F.col(self.input_column))
-        return df.withColumn(self.output_column, _encoded(self.path, "string", lambda e: " ".join(e.tokens))(plain))
+        return df.withColumn(self.output_column, _encoded(self.path, "string", lambda e: " ".join(e.tokens), names=True)(plain))
 
 
 # ---- personal data
@@ -210,7 +212,7 @@ PII_PATTERNS = (
     ("CREDIT_CARD", r"\b[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}[ -][0-9]{4}\b"),
     ("IP_ADDRESS", r"\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}\b"),
     ("US_SSN", r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b"),
-    ("PHONE_NUMBER", r"\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-][0-9]{2,4}){1,4}"),
+    ("PHONE_NUMBER", r"\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,5}(?:[ .-][0-9]{2,8}){1,4}"),
 )
 
 
