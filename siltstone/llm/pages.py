@@ -15,6 +15,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -28,6 +29,12 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(script|style|noscript)\b[^>]*>.*?(?:</\
 _TITLE = re.compile(r"<title[^>]*>(.*?)</title", re.S | re.I)
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _WORD = re.compile(r"[^\W_]+")
+_ENDED = re.compile(r"[.!?…][\"'”’»)\]]*$")
+_DIGIT = re.compile(r"\d")
+
+
+_NONE: frozenset = frozenset()
+_CLOSES_ITSELF = frozenset(("li", "tr", "td", "dd", "dt", "option"))
 
 
 class Block:
@@ -43,7 +50,9 @@ def blocks(page: str | None) -> tuple[str, list[Block]]:
     title = _TITLE.search(page)
     title = " ".join(html.unescape(title[1]).split()) if title else ""
     out: list[Block] = []
-    stack: list[tuple[str, str, int]] = []
+    names_up: list[str] = []  # of the open elements, outermost first: tag and names, tag, number
+    tags_up: list[str] = []
+    ids_up: list[int] = []
     runs: list[str] = []
     linked = at = 0
     depth_a, inner, serial = 0, set(), 0
@@ -51,18 +60,20 @@ def blocks(page: str | None) -> tuple[str, list[Block]]:
     def end() -> None:
         nonlocal linked
         if runs:
-            text = " ".join(html.unescape("".join(runs)).split())
-            if text:
-                out.append(Block(text, tuple(f"{t}.{c}" if c else t for t, c, _ in stack), tuple(i for *_, i in stack), min(1.0, linked / len(text)), frozenset(inner)))
-        runs.clear()
-        inner.clear()
-        linked = 0
+            raw = "".join(runs)
+            if raw and not raw.isspace():
+                text = " ".join((html.unescape(raw) if "&" in raw else raw).split())
+                if text:
+                    out.append(Block(text, tuple(names_up), tuple(ids_up), linked / len(raw), frozenset(inner) if inner else _NONE))
+            runs.clear()
+            inner.clear()
+            linked = 0
 
     def add(text: str) -> None:
         nonlocal linked
         runs.append(text)
         if depth_a:
-            linked += len(" ".join(html.unescape(text).split()))
+            linked += len(text)
 
     for m in _TOKEN.finditer(page):
         if m.start() > at:
@@ -84,16 +95,17 @@ def blocks(page: str | None) -> tuple[str, list[Block]]:
         end()
         depth_a = 0
         if closing:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    break
+            if tag in tags_up:
+                k = len(tags_up) - 1 - tags_up[::-1].index(tag)
+                del names_up[k:], tags_up[k:], ids_up[k:]
         elif tag not in VOID:
-            while stack and (stack[-1][0] == "p" or (tag == stack[-1][0] and tag in ("li", "tr", "td", "dd", "dt", "option"))):
-                stack.pop()
+            while tags_up and (tags_up[-1] == "p" or (tag == tags_up[-1] and tag in _CLOSES_ITSELF)):
+                del names_up[-1], tags_up[-1], ids_up[-1]
             serial += 1
-            names = " ".join(x or y or z for x, y, z in _NAMES.findall(m[3])) if m[3] else ""
-            stack.append((tag, names, serial))
+            names = " ".join(x or y or z for x, y, z in _NAMES.findall(m[3])) if "=" in m[3] else ""
+            names_up.append(f"{tag}.{names}" if names else tag)
+            tags_up.append(tag)
+            ids_up.append(serial)
     if at < len(page):
         add(page[at:])
     end()
@@ -178,24 +190,48 @@ def _hash(x: str, size: int) -> int:
     return zlib.crc32(x.encode("utf-8", "surrogatepass")) % size
 
 
+@lru_cache(200_000)
+def _word_key(w: str) -> int:
+    return _hash(w, WORDS)
+
+
+def _text(text: str) -> tuple[float, np.ndarray, frozenset, bool, float]:
+    """Share of 40 words, keys of words and of the first pairs of words, distinct words, whether it ends as a sentence,
+    share of digits."""
+    w = _WORD.findall(text.lower())
+    own = frozenset(w)
+    keys = set(map(_word_key, own))
+    keys.update(map(_word_key, map("_".join, zip(w[:12], w[1:13]))))
+    if w:
+        keys.add(_word_key("first:" + w[0]))
+    ended = bool(_ENDED.search(text, max(0, len(text) - 4)))
+    return min(1.0, len(w) / 40), np.fromiter(keys or {0}, np.int32), own, ended, min(1.0, len(_DIGIT.findall(text)) / len(text) * 4)
+
+
+_short = lru_cache(100_000)(_text)  # menus and link lists say the same on page after page
+
+
+@lru_cache(50_000)
+def _tag_keys(path: tuple[str, ...], inner: frozenset) -> np.ndarray:
+    last = [p.partition(".") for p in path]
+    t = {f"{d}:{last[-d][0]}" for d in range(1, len(last) + 1)} | {f"c:{x}" for _, _, c in last[-4:] for x in c.lower().split()} | {"in:" + x for x in inner} | {">".join(x for x, _, _ in last[-3:])}
+    return np.fromiter({_hash(x, TAGS) for x in t}, np.int32)
+
+
 def features(title: str, bs: list[Block]) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
     """Of every block its hashed words, its hashed tags, classes and path, and its shares."""
-    ws, ts = [], []
-    dense = np.zeros((len(bs), DENSE), np.float32)
-    in_title = set(w.lower() for w in _WORD.findall(title))
+    ws, ts, dense = [], [], []
+    in_title = set(_WORD.findall(title.lower()))
+    n, before = max(1, len(bs)), None
     for i, b in enumerate(bs):
-        w = _WORD.findall(b.text.lower())
-        keys = {_hash(x, WORDS) for x in w[:400]} | {_hash(f"{x}_{y}", WORDS) for x, y in zip(w[:12], w[1:13])} | {_hash("first:" + w[0], WORDS)} if w else {0}
-        ws.append(np.fromiter(keys, np.int32))
-        last = [p.partition(".") for p in b.path]
-        t = {f"{d}:{last[-d][0]}" for d in range(1, min(5, len(last)) + 1)} | {f"c:{x}" for _, _, c in last[-4:] for x in c.lower().split()} | {"in:" + x for x in b.tags} | {">".join(x for x, _, _ in last[-3:])}
-        ts.append(np.fromiter({_hash(x, TAGS) for x in t} or {0}, np.int32))
-        own = set(w)
-        dense[i] = (
-            b.link, min(1.0, len(w) / 40), min(1.0, len(b.text) / 400), float(b.text == title), len(own & in_title) / max(1, len(own)), i / max(1, len(bs)), len(b.path) / 12,
-            float(bool(re.search(r"[.!?…][\"'”’»)\]]*$", b.text))), float(bool(i and bs[i - 1].path == b.path)), min(1.0, sum(c.isdigit() for c in b.text) / max(1, len(b.text)) * 4),
-        )
-    return ws, ts, dense
+        path, size = b.path, len(b.text)
+        w, keys, own, ended, digits = _short(b.text) if size <= 120 else _text(b.text)
+        ws.append(keys)
+        ts.append(_tag_keys(path[-5:], b.tags))
+        like = len(own & in_title) / len(own) if own else 0.0
+        dense.append((b.link, w, min(1.0, size / 400), b.text == title, like, i / n, len(path) / 12, ended, path == before, digits))
+        before = path
+    return ws, ts, np.array(dense, np.float32).reshape(len(bs), DENSE)
 
 
 def _sig(x: np.ndarray) -> np.ndarray:
@@ -214,13 +250,23 @@ class Labeller:
             self.p |= {f"w{d}": init(n, 4 * HIDDEN), f"u{d}": init(HIDDEN, 4 * HIDDEN), f"b{d}": np.zeros(4 * HIDDEN, np.float32)}
             self.p[f"b{d}"][HIDDEN : 2 * HIDDEN] = 1
 
-    def _inputs(self, batch: list) -> tuple:
+    def _inputs(self, batch: list, keep: bool = True) -> tuple:
         """(inputs, mask, flat word and tag indices with their block and weight)."""
         size, steps = len(batch), max(len(x[2]) for x in batch)
         x = np.zeros((size, steps, EMB + EMT + DENSE), np.float32)
         mask = np.zeros((size, steps), bool)
         gather = []
         for name, which, lo, dim in (("ew", 0, 0, EMB), ("et", 1, EMB, EMT)):
+            if not keep:  # blocks that are the same on many pages are looked up once
+                place = np.concatenate([r * steps + np.arange(len(b[2])) for r, b in enumerate(batch)])
+                own: dict[int, int] = {}
+                which_of = [own.setdefault(id(k), len(own)) for b in batch for k in b[which]]
+                kinds = {id(k): k for b in batch for k in b[which]}
+                arrays = [kinds[i] for i in own]
+                n = np.array([len(k) for k in arrays])
+                v = np.add.reduceat(self.p[name][np.concatenate(arrays)], np.r_[0, n.cumsum()[:-1]], axis=0) / np.sqrt(n)[:, None].astype(np.float32)
+                x.reshape(-1, x.shape[2])[place, lo : lo + dim] = v[which_of]
+                continue
             idx = np.concatenate([k for b in batch for k in b[which]])
             n = np.array([len(k) for b in batch for k in b[which]])
             place = np.concatenate([r * steps + np.arange(len(b[2])) for r, b in enumerate(batch)])
@@ -240,14 +286,18 @@ class Labeller:
         h, c = np.zeros((size, HIDDEN), np.float32), np.zeros((size, HIDDEN), np.float32)
         out, tape = np.zeros((size, steps, HIDDEN), np.float32), []
         pre = x @ self.p["w" + d] + self.p["b" + d]
+        u, whole = self.p["u" + d], mask.all(0).tolist()
         for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
-            z = pre[:, t] + h @ self.p["u" + d]
-            i, f, o = _sig(z[:, :HIDDEN]), _sig(z[:, HIDDEN : 2 * HIDDEN]), _sig(z[:, 2 * HIDDEN : 3 * HIDDEN])
+            z = pre[:, t] + h @ u
+            gates = 0.5 + 0.5 * np.tanh(0.5 * z[:, : 3 * HIDDEN])  # the logistic function, without overflow
+            i, f, o = gates[:, :HIDDEN], gates[:, HIDDEN : 2 * HIDDEN], gates[:, 2 * HIDDEN :]
             g = np.tanh(z[:, 3 * HIDDEN :])
             m = mask[:, t, None]
-            nc = np.where(m, f * c + i * g, c)
+            nc = f * c + i * g
+            if not whole[t]:
+                nc = np.where(m, nc, c)
             th = np.tanh(nc)
-            nh = np.where(m, o * th, h)
+            nh = o * th if whole[t] else np.where(m, o * th, h)
             if keep:
                 tape.append((t, i, f, o, g, c, h, th, m))
             h, c = nh, nc
@@ -288,7 +338,10 @@ class Labeller:
         flat = dx.reshape(-1, dx.shape[2])
         for name, idx, place, wt, lo, dim in gather:
             out = np.zeros_like(self.p[name])
-            np.add.at(out, idx, flat[place, lo : lo + dim] * wt[:, None])
+            order = np.argsort(idx, kind="stable")
+            key = idx[order]
+            start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            out[key[start]] = np.add.reduceat(flat[place[order], lo : lo + dim] * wt[order][:, None], start, axis=0)
             g[name] = out
         q = np.clip(p, 1e-6, 1 - 1e-6)
         return g, float(-(np.where(mask, y * np.log(q) + (1 - y) * np.log(1 - q), 0)).sum() / n)
@@ -318,7 +371,7 @@ class Labeller:
                     self.p[k] -= lr * (m[k] / (1 - 0.9**step)) / (np.sqrt(s[k] / (1 - 0.99**step)) + 1e-6)
         return self
 
-    def predict(self, pages: list, size: int = 64) -> list[np.ndarray]:
+    def predict(self, pages: list, size: int = 128) -> list[np.ndarray]:
         """The probability of every block to be main body; pages of like length are read together."""
         out: list[np.ndarray] = [np.zeros(0, np.float32)] * len(pages)
         order = sorted((i for i, x in enumerate(pages) if len(x[2])), key=lambda i: len(pages[i][2]))
@@ -326,7 +379,7 @@ class Labeller:
         while i < len(order):
             longest = len(pages[order[min(len(order), i + size) - 1]][2])
             ids = order[i : i + max(1, min(size, 20_000 // longest))]
-            x, mask, _ = self._inputs([pages[j] for j in ids])
+            x, mask, _ = self._inputs([pages[j] for j in ids], keep=False)
             p = self._forward(x, mask)[0]
             for r, j in enumerate(ids):
                 out[j] = p[r, : len(pages[j][2])]
