@@ -102,5 +102,23 @@ SELECT record_id, min(group_id) AS group_id FROM reach GROUP BY record_id
 """
 
 
+P4_SQL = """
+WITH v AS (SELECT uuid, min(embedding)::DOUBLE[64] AS e FROM vectors WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+  AND len(list_filter(embedding, lambda x: x <> 0)) > 0 AND uuid IS NOT NULL GROUP BY uuid),
+p AS (SELECT a.uuid AS a, b.uuid AS b, array_cosine_similarity(a.e, b.e) AS s FROM v a JOIN v b ON a.uuid <> b.uuid),
+k AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS n FROM p)
+SELECT DISTINCT least(a, b) AS uuid_a, greatest(a, b) AS uuid_b FROM k WHERE n <= 5 AND s >= 0.86
+"""
+
+# NFC instead of NFKC, which the tables' texts don't tell apart
+P8_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(nfc_normalize(text)), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
+i AS (SELECT item_id, regexp_extract_all(lower(nfc_normalize(item_text)), '[\p{L}\p{N}]+') AS w FROM eval_items),
+dg AS (SELECT doc_id, unnest(list_transform(range(1, (len(w) - 10)::BIGINT), lambda k: array_to_string(w[k:k+11], ' '))) AS g FROM d),
+ig AS (SELECT item_id, unnest(list_transform(range(1, (len(w) - 10)::BIGINT), lambda k: array_to_string(w[k:k+11], ' '))) AS g FROM i)
+SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1_SQL}
+    return {"p1_found": P1_SQL, "p4_found": P4_SQL, "p8_found": P8_SQL}

@@ -56,8 +56,10 @@ class Items:
         get = self.vocab.get
         return np.array([get(w, -1) for w in words(text)], np.int64)
 
-    def seeds(self, df_of: dict[int, int]) -> dict[int, list[tuple[int, int]]]:
-        """Key -> (item, place) for the rarest n-gram of every window of ``run`` words (of the whole item, if shorter)."""
+    def seeds(self, df_of: dict[int, int], rare: int = 1000) -> dict[int, list[tuple[int, int]]]:
+        """Key -> (item, place) for the rarest n-gram, of those that documents hold, of every window of ``run`` words (of
+        the whole item, if shorter). Where a document may hold the whole window, however many do; elsewhere, for edited
+        copies, only one that at most ``rare`` documents hold."""
         out: dict[int, set[tuple[int, int]]] = {}
         for i, g in enumerate(self.grams):
             if not len(g):
@@ -65,8 +67,10 @@ class Items:
             count = np.array([df_of.get(int(k), 0) for k in g])
             span = max(1, min(len(g), self.run - self.n + 1))
             for s in range(len(g) - span + 1):
-                at = s + int(count[s : s + span].argmin())
-                out.setdefault(int(g[at]), set()).add((i, at))
+                held = np.where(count[s : s + span] > 0, count[s : s + span], 1 << 62)
+                at = s + int(held.argmin())
+                if count[at] and (count[at] <= rare or count[s : s + span].all()):
+                    out.setdefault(int(g[at]), set()).add((i, at))
         return {k: sorted(v) for k, v in out.items()}
 
 

@@ -365,8 +365,9 @@ def _indent(code: str) -> str:
 
 def fit(df: DataFrame, post_id: str = "id", body: str = "body", sample: int = 1500) -> Potentials:
     """Potentials from ``sample`` bodies, chosen by a hash of the id."""
+    ids = df.select(F.col(post_id).alias("i")).filter("i is not null").distinct().orderBy(F.xxhash64("i"), "i").limit(sample)
     rows = df.select(F.col(post_id).alias("i"), F.col(body).cast("string").alias("b")).filter("b is not null and length(b) between 1 and 50000")
-    got = rows.orderBy(F.xxhash64("i"), "i").limit(sample).select("b").toPandas()
+    got = rows.join(F.broadcast(ids), "i").groupBy("i").agg(F.min("b").alias("b")).orderBy("i").select("b").toPandas()  # sample rows
     return train(got["b"].tolist())
 
 
