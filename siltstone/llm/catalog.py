@@ -110,10 +110,10 @@ k AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS n FROM
 SELECT DISTINCT least(a, b) AS uuid_a, greatest(a, b) AS uuid_b FROM k WHERE n <= 5 AND s >= 0.86
 """
 
-# NFC instead of NFKC, which the tables' texts don't tell apart
+# NFC and full-width digits instead of NFKC, which SQL doesn't have
 P8_SQL = r"""
-WITH d AS (SELECT doc_id, regexp_extract_all(lower(nfc_normalize(text)), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
-i AS (SELECT item_id, regexp_extract_all(lower(nfc_normalize(item_text)), '[\p{L}\p{N}]+') AS w FROM eval_items),
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(nfc_normalize(translate(text, '０１２３４５６７８９', '0123456789'))), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
+i AS (SELECT item_id, regexp_extract_all(lower(nfc_normalize(translate(item_text, '０１２３４５６７８９', '0123456789'))), '[\p{L}\p{N}]+') AS w FROM eval_items),
 dg AS (SELECT doc_id, unnest(list_transform(range(1, (len(w) - 10)::BIGINT), lambda k: array_to_string(w[k:k+11], ' '))) AS g FROM d),
 ig AS (SELECT item_id, unnest(list_transform(range(1, (len(w) - 10)::BIGINT), lambda k: array_to_string(w[k:k+11], ' '))) AS g FROM i)
 SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)
