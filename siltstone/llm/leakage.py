@@ -25,7 +25,9 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 def words(text: str | None) -> list[str]:
     """Runs of letters and digits of the NFKC form in lower case."""
-    return _WORD.findall(unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", text or "").lower()))
+    if not text:
+        return []
+    return _WORD.findall(text.lower() if text.isascii() else unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", text).lower()))
 
 
 class Items:
@@ -139,8 +141,10 @@ def leaked_passages(
             for pdf in batches:
                 for t in pdf["text"]:
                     k = items.keys(items.numbers(t))
-                    k = np.unique(k[k != 0])
-                    seen.update(k[np.isin(k, items.all)].tolist())
+                    k = k[k != 0]
+                    if len(k) and len(items.all):
+                        at = np.minimum(np.searchsorted(items.all, k), len(items.all) - 1)
+                        seen.update(set(k[items.all[at] == k].tolist()))
             yield pd.DataFrame({"key": np.fromiter(seen.keys(), np.uint64, len(seen)).view(np.int64), "n": np.fromiter(seen.values(), np.int64, len(seen))})
 
         held_in = d.mapInPandas(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).collect()  # keys of the slice only
