@@ -151,7 +151,7 @@ def form_of(m: dict) -> str:
         return "list"
     if m["lines"] >= 2 and m["cell_rows"] > 0.5 and m["dup_lines"] < 0.5 and m["symbol_ratio"] < 0.6:
         return "table"
-    if w >= 10 and (m["single_letters"] > 0.7 or m["jumbled"] > 0.16):
+    if w >= 10 and (m["single_letters"] > 0.7 or m["jumbled"] > (0.16 if m["stops"] else 0.05)):
         return "junk"
     if m["broken_chars"] > 0.2 or m["letter_ratio"] < 0.2 and m["symbol_ratio"] > 0.3 or m["letter_ratio"] < 0.4 and m["cell_rows"] < 0.5 and m["marked_lines"] < 0.5 and m["enumeration"] < 0.7:
         return "junk"
