@@ -223,11 +223,12 @@ def analyse(model: PieceModel, text: str | None, least_words: int = 3) -> tuple[
 
 
 def fit(df: DataFrame, doc_id: str, text: str, lang: str, per_language: int = 250, path: str | None = None) -> PieceModel:
-    """The model from at most ``per_language`` labelled documents of each language, chosen by a hash of their id."""
-    rows = df.select(F.col(doc_id).alias("i"), label_language(F.col(lang)).alias("l"), F.length(text).alias("n")).filter(F.col("l").isin(*LANGUAGES) & (F.col("n") > 40))
+    """The model from at most ``per_language`` labelled documents of each language, chosen by a hash of their id from those
+    of 41 to 20,000 characters."""
+    rows = df.select(F.col(doc_id).alias("i"), label_language(F.col(lang)).alias("l"), F.length(text).alias("n")).filter(F.col("l").isin(*LANGUAGES) & F.col("n").between(41, 20_000))
     nth = F.row_number().over(Window.partitionBy("l").orderBy(F.xxhash64("i"), "i"))
     chosen = rows.withColumn("r", nth).filter(F.col("r") <= per_language).select("i", "l")
-    got = df.select(F.col(doc_id).alias("i"), F.substring(F.col(text), 1, 20_000).alias("t")).join(F.broadcast(chosen), "i").toPandas()  # per_language rows a language
+    got = df.select(F.col(doc_id).alias("i"), F.col(text).cast("string").alias("t")).join(F.broadcast(chosen), "i").toPandas()  # per_language rows a language
     return train(got["t"].tolist(), got["l"].tolist(), path or tokenizer_file("piece_bpe_32k.model"))
 
 

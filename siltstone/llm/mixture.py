@@ -8,9 +8,6 @@ larger budget keeps every document of a smaller one.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +16,7 @@ from siltstone.session import materialise
 
 BITS = 10
 LEVELS = 6
+SOURCES_AT_ONCE = 200_000  # targets that are broadcast, about 10 MB
 
 
 def budgets(sizes: DataFrame, targets: DataFrame, total: int | None) -> DataFrame:
@@ -74,13 +72,15 @@ def _mix(docs: DataFrame, targets: DataFrame, doc_id: str, source: str, text: st
     sizes = sized.groupBy("source").agg(F.count(F.lit(1)).alias("docs"), F.sum("tokens").alias("tokens"))
     plan = budgets(sizes, goal, total)
     plan = materialise(plan)
+    small = plan.count() <= SOURCES_AT_ONCE
+    each = (lambda d: F.broadcast(d)) if small else (lambda d: d)  # beyond that bound Spark joins by shuffle and splits skewed sources
     full = F.when(F.col("tokens") > 0, F.floor(F.col("budget") / F.col("tokens"))).otherwise(F.lit(0)).cast("long")
     # left: what the last round may use; below: the threshold so far, documents under it are in
     state = materialise(plan.select("source", full.alias("full"), (F.col("budget") - full * F.col("tokens")).alias("left")).withColumn("below", F.lit(0).cast("long")).withColumn("open", F.lit(True)))
     for level in range(LEVELS):
         step = 1 << (BITS * (LEVELS - 1 - level))
         inside = F.col("open") & (F.col("h") >= F.col("below")) & (F.col("h") < F.col("below") + F.lit(step << BITS))
-        hist = sized.join(state.filter("open and left > 0"), "source").filter(inside)
+        hist = sized.join(each(state.filter("open and left > 0")), "source").filter(inside)
         hist = hist.groupBy("source", F.floor((F.col("h") - F.col("below")) / F.lit(step)).cast("long").alias("bucket")).agg(F.sum("tokens").alias("t"))
         running = F.sum("t").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0))
         edge = hist.withColumn("run", running).join(state.select("source", "left"), "source").filter(F.col("run") > F.col("left"))
@@ -94,5 +94,5 @@ def _mix(docs: DataFrame, targets: DataFrame, doc_id: str, source: str, text: st
         )
         state = materialise(state)
     copies = F.col("full") + F.when(F.col("h") < F.col("below"), 1).otherwise(0)
-    chosen = sized.join(state.select("source", "full", "below"), "source").withColumn("copies", copies).filter("copies > 0")
+    chosen = sized.join(each(state.select("source", "full", "below")), "source").withColumn("copies", copies).filter("copies > 0")
     return chosen.select("doc_id", "source", "tokens", "copies"), plan
