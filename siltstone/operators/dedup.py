@@ -18,17 +18,19 @@ from siltstone.session import materialise
 
 
 class FirstByKey:
-    """The first row of each key in ``order``; rows with a null key all stay. The first row is found by an aggregate, which
-    combines before the shuffle, so that a hot key costs one row a partition."""
+    """The first row of each key in ``order`` (unique); rows with a null key all stay.
+
+    Only digests (MD5, 128 bits) and order values are shuffled, not the keys, which may be whole texts; the first row is
+    found by an aggregate that combines before the shuffle, so that a hot key costs one row a partition."""
 
     def __init__(self, key: str, order: str, name: str):
         self.key, self.order, self.name = key, order, name
 
     def __call__(self, df: DataFrame) -> DataFrame:
-        firsts = df.filter(F.col(self.key).isNotNull()).groupBy(F.xxhash64(self.key).alias("_h"), F.col(self.key).alias("_k")).agg(F.min(self.order).alias("_first"))
-        lone = df.filter(F.col(self.key).isNull())
-        kept = df.join(firsts.select(F.col("_first").alias(self.order), F.col("_k")), [self.order], "inner").filter(F.col(self.key) == F.col("_k")).drop("_k")
-        return kept.select(df.columns).unionByName(lone)
+        alone = F.concat(F.lit("null "), F.col(self.order).cast("string"))
+        digest = F.coalesce(F.md5(F.col(self.key).cast("binary")), alone)
+        firsts = df.select(digest.alias("_d"), self.order).groupBy("_d").agg(F.min(self.order).alias(self.order))
+        return df.join(firsts.select(self.order), self.order, "left_semi")
 
 
 def URLDeduplicator(order: str, url_column: str = "url") -> FirstByKey:
@@ -41,17 +43,20 @@ def DocumentDeduplicator(order: str, input_column: str = "text") -> FirstByKey:
 
 class ParagraphDeduplicator:
     """Keeps of every line its first occurrence in the corpus, in the order of ``order`` (unique) and of the lines; rows
-    without a line left are dropped, null texts too. The empty line is a line like others."""
+    without a line left are dropped, null texts too. The empty line is a line like others. Lines are compared by their MD5;
+    the shuffle carries digests and places, not lines."""
 
     def __init__(self, order: str, input_column: str = "text"):
         self.order, self.input_column, self.name = order, input_column, "ParagraphDeduplicator"
 
     def __call__(self, df: DataFrame) -> DataFrame:
-        spread = df.select(F.col(self.order).alias("_o"), F.posexplode(F.split(F.col(self.input_column), "\n", -1)).alias("_p", "_line"))
-        firsts = spread.groupBy("_line").agg(F.min(F.struct("_o", "_p")).alias("_f")).select("_f._o", "_f._p", "_line")
-        texts = firsts.groupBy("_o").agg(F.sort_array(F.collect_list(F.struct("_p", "_line"))).alias("_l"))  # a row's own lines
-        texts = texts.select(F.col("_o").alias(self.order), F.array_join(F.transform("_l", lambda x: x["_line"]), "\n").alias("_text"))
-        return df.join(texts, self.order).withColumn(self.input_column, F.col("_text")).drop("_text").select(df.columns)
+        parts = F.split(F.col(self.input_column), "\n", -1)
+        digests = F.transform(parts, lambda x: F.md5(x.cast("binary")))
+        spread = df.select(F.col(self.order).alias("_o"), F.posexplode(digests).alias("_p", "_d"))
+        firsts = spread.groupBy("_d").agg(F.min(F.struct("_o", "_p")).alias("_f")).select(F.col("_f._o").alias(self.order), "_f._p")
+        places = firsts.groupBy(self.order).agg(F.collect_list("_p").alias("_places"))  # a row's own lines
+        kept = F.filter(parts, lambda x, i: F.array_contains("_places", i))
+        return df.join(places, self.order).withColumn(self.input_column, F.array_join(kept, "\n")).select(df.columns)
 
 
 class DeduplicationStage:

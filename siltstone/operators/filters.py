@@ -52,6 +52,8 @@ class RowFilter:
     strict: bool = False
 
     def keep(self) -> Column:
+        if self.low is not None and self.high is not None and not self.strict:
+            return F.coalesce(self.measure.between(self.low, self.high), F.lit(False))  # evaluates the measure once
         tests = []
         if self.low is not None:
             tests.append(self.measure > self.low if self.strict else self.measure >= self.low)
