@@ -25,14 +25,16 @@ COMMON = frozenset(
     ).split()
 )
 _MARK = re.compile(r"^\s*(?:[-*+•‣◦▪·–—>○●→⇒✓✔☐☑■□]|o(?= )|(?:No|Nr|Nº|N°)\.? ?\d+[.:)]?|\(?\d{1,3}[.)]|\(?[a-zA-Z][.)]|[ivxIVX]{1,4}[.)]|\[[ x]\]|#\d+)\s+\S")
+_CELLS = re.compile(r"[|\t;]| & |\S {2,}\S")
 _BORDER = re.compile(r"^[\s|+:=_-]+$")
 _STOP = re.compile(r"[.!?…](?=[\"'”’»)\]]*(?:\s|$))")
-_WORD = re.compile(r"\S+")
 _ALPHA = re.compile(r"[^\W\d_]+")
 _HARD = re.compile(r"[^\W\d_aeiouyäöüáàâãéèêëíìîïóòôõúùûåæøœаеёиоуыэюяAEIOUYÄÖÜÁÀÂÃÉÈÊËÍÌÎÏÓÒÔÕÚÙÛАЕЁИОУЫЭЮЯ]{4,}")
-_VOWEL = frozenset("aeiouyäöüáàâãéèêëíìîïóòôõúùûåæøœаеёиоуыэюя")
-_BROKEN = frozenset("ÂÃâ€¤�ï»¿™œ¢£¥¦§¨©«¬®¯±²³´¶·¸¹º¼½¾ð")
-_SPLITS = (r"\s+[·•|/>»→]+\s+", r";\s+", r",\s+", r"\s+[-–—]\s+")
+_VOWEL = re.compile("[aeiouyäöüáàâãéèêëíìîïóòôõúùûåæøœаеёиоуыэюя]")
+_BROKEN = re.compile("[ÂÃâ€¤�ï»¿™œ¢£¥¦§¨©«¬®¯±²³´¶·¸¹º¼½¾ð]")
+_SYMBOL = re.compile(r"[^\w\s]|_")
+_LINE_END = re.compile(r"[.!?…:;][\"'”’»)\]]*$")
+_SPLITS = (("·•|/>»→", re.compile(r"\s+[·•|/>»→]+\s+")), (";", re.compile(r";\s+")), (",", re.compile(r",\s+")), ("-–—", re.compile(r"\s+[-–—]\s+")))
 _LEADER = re.compile(r"(?:\.\s?){4,}\s*\d+\s*$")
 # Articles by language, and words that can't come after one of them.
 _AFTER_ARTICLE = (
@@ -71,11 +73,13 @@ def _top_ngram(words: list[str], chars: int) -> float:
     """The largest share of characters that one repeated n-gram of 2 to 4 words covers."""
     best = 0.0
     for n in (2, 3, 4):
-        grams = Counter(zip(*(words[i:] for i in range(n))))
-        if grams:
-            g, c = max(grams.items(), key=lambda x: (x[1], x[0]))
-            if c > 1:
-                best = max(best, c * (sum(map(len, g)) + n - 1) / max(1, chars))
+        all_of = list(zip(*(words[i:] for i in range(n))))
+        if len(set(all_of)) == len(all_of):  # none repeats, so no longer one does
+            break
+        grams = Counter(all_of)
+        c = max(grams.values())
+        g = max(k for k, v in grams.items() if v == c)  # of several that are as common the greatest
+        best = max(best, c * (sum(map(len, g)) + n - 1) / max(1, chars))
     return min(1.0, best)
 
 
@@ -84,34 +88,38 @@ def measure(text: str | None) -> dict:
     t = unicodedata.normalize("NFC", text or "").replace("﻿", "")
     lines = [x for x in (y.strip() for y in re.split(r"\r\n|\r|\n", t)) if x]
     paras = [x for x in (y.strip() for y in re.split(r"(?:\r\n|\r|\n)\s*(?:\r\n|\r|\n)", t)) if x]
-    words = _WORD.findall(t)
-    alpha = [w.lower() for w in _ALPHA.findall(t)]
+    words = t.split()
+    lower = t.lower()
+    alpha = _ALPHA.findall(lower)
     solid = sum(map(len, words))
     letters = sum(map(len, alpha))
+    unmarked = not re.search(r"(?m)^\s*(?:[^\w\s\"'“”«¿¡]|\w{1,4}[.)]|o |n[or°º]|[ivx]+[.)]|\[)", t, re.I)
     share = lambda a, b: a / b if b else 0.0
     body = [x for x in lines if not _BORDER.match(x)]
-    vowels = sum(c in _VOWEL for w in alpha for c in w)
+    low = lower.split()
+    common = share(sum(w in COMMON for w in alpha), len(alpha))
+    odd = " ".join(alpha) if common < 0.1 else ""  # only texts without common words are looked at for odd ones
     return {
         "words": len(words),
         "mean_word_length": share(solid, len(words)),
-        "symbol_ratio": share(sum(not c.isalnum() and not c.isspace() for c in t), len(t)),
+        "symbol_ratio": share(len(_SYMBOL.findall(t)), len(t)),
         "letter_ratio": share(letters, solid),
-        "line_punct": share(sum(bool(re.search(r"[.!?…:;][\"'”’»)\]]*$", x)) for x in lines), len(lines)),
-        "common_words": share(sum(w in COMMON for w in alpha), len(alpha)),
+        "line_punct": share(sum(bool(_LINE_END.search(x, max(0, len(x) - 6))) for x in lines), len(lines)),
+        "common_words": common,
         "dup_lines": 1 - share(len(set(lines)), len(lines)) if lines else 0.0,
         "dup_paragraphs": 1 - share(len(set(paras)), len(paras)) if paras else 0.0,
-        "top_ngram": _top_ngram([w.lower() for w in words], len(t)),
-        "distinct_words": share(len({w.lower() for w in words}), len(words)),
+        "top_ngram": _top_ngram(low, len(t)),
+        "distinct_words": share(len(set(low)), len(words)),
         "stops": len(_STOP.findall(t)),
         "lines": len(lines),
-        "marked_lines": share(sum(bool(_MARK.match(x)) for x in lines), len(lines)),
-        "cell_rows": max(share(sum(_cells(x) >= 3 for x in body), len(body)), _comma_rows(body)) if len(body) > 1 else 0.0,
+        "marked_lines": share(sum(bool(_MARK.match(x)) for x in lines), len(lines)) if not unmarked else 0.0,
+        "cell_rows": max(share(sum(_cells(x) >= 3 for x in body), len(body)) if _CELLS.search(t) else 0.0, _comma_rows(body)) if len(body) > 1 else 0.0,
         "short_lines": share(sum(len(x.split()) <= 7 and not _STOP.search(x) for x in lines), len(lines)),
         "enumeration": _enumerated(lines),
-        "broken_chars": share(sum(c in _BROKEN for c in t), solid),
-        "hard_words": share(sum(bool(_HARD.search(w)) for w in alpha), len(alpha)),
-        "vowels": share(vowels, letters),
-        "leaders": share(sum(bool(_LEADER.search(x)) for x in lines), len(lines)),
+        "broken_chars": share(len(_BROKEN.findall(t)), solid) if not t.isascii() else 0.0,
+        "hard_words": share(sum(bool(_HARD.search(w)) for w in alpha), len(alpha)) if odd and _HARD.search(odd) else 0.0,
+        "vowels": share(len(_VOWEL.findall(odd)), letters) if odd else 1.0,
+        "leaders": share(sum(bool(_LEADER.search(x)) for x in lines), len(lines)) if ".." in t or ". ." in t else 0.0,
         "jumbled": _jumbled(alpha),
         "single_letters": share(sum(len(w) == 1 for w in words), len(words)),
         "longest_word": max(map(len, words), default=0),
@@ -133,8 +141,10 @@ def _enumerated(lines: list[str]) -> float:
     lead = re.match(r"^[^.!?:]{0,300}[.!?:]\s+", t)
     best = 0.0
     for s in {t, t[lead.end() :] if lead else t}:
-        for cut in _SPLITS:
-            parts = [p for p in re.split(cut, s) if p.strip()]
+        for signs, cut in _SPLITS:
+            if sum(map(s.count, signs)) < 5:
+                continue
+            parts = [p for p in cut.split(s) if p.strip()]
             if len(parts) < 6:
                 continue
             short = [p for p in parts if len(p.split()) <= 4 and not _STOP.search(p[:-1])]
@@ -196,12 +206,22 @@ def quality_statistics(df: DataFrame, record_id: str = "record_id", text: str =
             out = {"record_id": pdf["record_id"], "form": [form_of(x) for x in m]}
             yield pd.DataFrame(out | {k: [round(x[k], 9) if t == "double" else x[k] for x in m] for k, t in _KEPT.items()})
 
-    rows = df.select(F.col(record_id).cast("long").alias("record_id"), F.col(text).cast("string").alias("text")).filter("record_id is not null")
     schema = "record_id long, form string, " + ", ".join(f"{k} {t}" for k, t in _KEPT.items())
     # the map goes before the shuffle, which then carries numbers instead of texts
-    return rows.mapInPandas(run, schema).distinct()
+    return _rows(df, record_id, text).mapInPandas(run, schema).distinct()
+
+
+def _rows(df: DataFrame, record_id: str, text: str) -> DataFrame:
+    return df.select(F.col(record_id).cast("long").alias("record_id"), F.col(text).cast("string").alias("text")).filter("record_id is not null")
+
 
+def not_prose(df: DataFrame, record_id: str = "record_id", text: str = "text") -> DataFrame:
+    """(record_id, form) of the records that are a list, a table or junk, by the same statistics."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            forms = [form_of(measure(t)) for t in pdf["text"]]
+            kept = [f not in ("prose", "empty") for f in forms]
+            yield pd.DataFrame({"record_id": pdf["record_id"], "form": forms})[kept]
 
-def not_prose(df: DataFrame, **names) -> DataFrame:
-    """(record_id, form) of the records that are a list, a table or junk."""
-    return quality_statistics(df, **names).filter(F.col("form").isin("list", "table", "junk")).select("record_id", "form").distinct()
+    return _rows(df, record_id, text).mapInPandas(run, "record_id long, form string").distinct()
