@@ -29,7 +29,7 @@ _LEET = str.maketrans("013457@$!€", "oieastasie")
 # Words that are often, but not always, abusive, hateful or sexual; a term of their own, never a verdict.
 _LOADED = frozenset(
     "idiot idiots moron morons imbecile imbeciles cretin cretins stupid worthless pathetic disgusting filthy scum scumbag scumbags vermin parasite parasites bastard bastards loser losers halfwit halfwits coward garbage trash subhuman retard retarded pig pigs rats rotten braindead gutless useless miserable slut sluts whore whores bitch bitches cunt fuck fucking fucker shit dickhead asshole nigger faggot kike "
-    "porn porno nude naked sex sexy horny hardcore uncensored undress undresses moan moans moaned lust explicit xxx orgasm penis vagina boobs tits erotic nudes strip webcam camgirls lonely naughty dirty kill burn crowbar beat hang shoot die hurt regret vermin thieves lazy stink "
+    "porn porno nude naked sex sexy horny hardcore uncensored undress undresses moan moans moaned lust explicit xxx orgasm penis vagina boobs tits erotic nudes strip webcam camgirls lonely naughty dirty kill burn crowbar beat hang shoot hurt regret vermin thieves lazy stink "
     "imbécile imbéciles crétin crétins connard connards connasse salope ordure ordures gueule crever pute merde vermine parasites nus nue nues sexe gémit déshabille coups racaille "
     "dummkopf idiotin schlampe hure arschloch fotze scheiße wichser abschaum ungeziefer gesindel verprügeln nackt nackte geile geil stinken fresse drecksau missgeburt "
     "imbécil idiota idiotas estúpido estúpida cabrón puta mierda gilipollas escoria basura paliza desnuda desnudas desnudo sexo gime alimañas asqueroso asquerosos ratas".split()
@@ -116,12 +116,15 @@ class Machine:
 
     def raw(self, rows: np.ndarray) -> np.ndarray:
         out = np.empty(len(rows), np.float32)
+        size = (rows > 0).sum(1)
+        order = np.argsort(size, kind="stable")  # sentences of like length together, so that little padding is read
         for i in range(0, len(rows), 4096):
-            r = rows[i : i + 4096]
-            x = 1.0 / np.sqrt(np.maximum(4, (r > 0).sum(1, keepdims=True))).astype(np.float32)
+            at = order[i : i + 4096]
+            r = rows[at, : max(1, size[at[-1]])]
+            x = 1.0 / np.sqrt(np.maximum(4, size[at])).astype(np.float32)
             v = self.v[r]
             s = v.sum(1)
-            out[i : i + 4096] = self.bias + 2 * x[:, 0] * self.w[r].sum(1) + 2 * x[:, 0] ** 2 * ((s * s).sum(1) - (v * v).sum((1, 2)))
+            out[at] = self.bias + 2 * x * self.w[r].sum(1) + 2 * x**2 * ((s * s).sum(1) - (v * v).sum((1, 2)))
         return out
 
     def fit(self, rows: np.ndarray, owner: np.ndarray, label: np.ndarray, rounds: int = 12, weight: float = 2.0, seed: int = 3) -> Machine:
@@ -130,6 +133,7 @@ class Machine:
         gw, gv = np.full_like(self.w, 1e-3), np.full_like(self.v, 1e-3)
         start = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
         texts = owner[start]
+        size = (rows > 0).sum(1)
         ends = np.r_[start[1:], len(owner)]
         for _ in range(rounds):
             score = self.raw(rows)
@@ -137,8 +141,9 @@ class Machine:
             worst = order[start]
             extra = (start + rng.integers(0, ends - start))[label[texts] == 0]
             pick = rng.permutation(np.concatenate([worst, extra]))
-            for i in range(0, len(pick), 512):
-                r = rows[pick[i : i + 512]]
+            pick = pick[np.argsort(size[pick], kind="stable")]
+            for i in rng.permutation(np.arange(0, len(pick), 512)):
+                r = rows[pick[i : i + 512], : max(1, size[pick[min(len(pick), i + 512) - 1]])]
                 y = label[owner[pick[i : i + 512]]].astype(np.float32)
                 x = 1.0 / np.sqrt(np.maximum(4, (r > 0).sum(1, keepdims=True))).astype(np.float32)
                 v = self.v[r]
