@@ -14,6 +14,7 @@ import unicodedata
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -36,36 +37,46 @@ _LOADED = frozenset(
 )
 _INVISIBLE = re.compile(r"[­​-‏⁠-⁤﻿͏]")
 _SENTENCE = re.compile(r"(?<=[.!?…])[\"'”’»)\]]*\s+|[\r\n]+")
-_TERM = re.compile(r"[^\W_]+(?:[*#@$!0-9'’][^\W_]+)*|[^\W_]\*+[^\W_]*|[\"“”«»„‘]|['’](?=\w)|(?<=\w)['’]")
+_PART = re.compile(r"\?[^\W\d_]\d+[^\W\d_]?|[^\W_]+|[\"“”«»„]|(?<!\w)['’‘]|['’](?!\w)")
+_QUOTES = frozenset("\"'“”«»„’‘")
+_ALIKE, _LATIN = re.compile("[Ͱ-ӿ]"), re.compile("[a-z]")
+_LEET_INSIDE, _MASK_SIGN = re.compile(r"[a-z][0-9@$!€]+[a-z]"), re.compile(r"[*#_·•]|[-.]{2}")
+_STRETCHED = re.compile(r"([^\W\d_])\1{2,}")
+_LEETED = re.compile(r"(?<!\w)(?=[\w@$!€]*[a-z][0-9@$!€]+[a-z])[a-z][\w@$!€]*(?!\w)")
 _SPLIT = re.compile(r"(?<!\w)(?:[^\W\d_][ .*_-]){2,}[^\W\d_](?!\w)")
 _MASK = re.compile(r"(?<!\w)([^\W\d_]+)[*#_·•]{1,}([^\W\d_]*)(?!\w)|(?<!\w)([^\W\d_])[-.]{2,}([^\W\d_])(?!\w)")
 
 
-def undisguise(sentence: str) -> str:
-    """The sentence in lower case without invisible letters, look-alikes in Latin words, stretched and split words."""
-    t = _INVISIBLE.sub("", unicodedata.normalize("NFKC", sentence))
+def undisguise(text: str) -> str:
+    """The text in lower case without invisible letters, look-alikes in Latin words, stretched and split words."""
+    plain = text.isascii()
+    t = text if plain else _INVISIBLE.sub("", unicodedata.normalize("NFKC", text))
     t = _SPLIT.sub(lambda m: re.sub(r"[ .*_-]", "", m[0]), t)
     low = t.lower()
-    if re.search(r"[Ͱ-ӿ]", low) and re.search(r"[a-z]", low):
+    if not plain and _ALIKE.search(low) and _LATIN.search(low):
         words = re.split(r"(\W+)", low)
-        latin = sum(bool(re.search("[a-z]", w)) for w in words) >= 0.5 * sum(bool(re.search(r"\w", w)) for w in words)
-        low = "".join(w.translate(_LOOKALIKE) if re.search("[a-z]", w) or latin else w for w in words)
-    low = re.sub(r"([^\W\d_])\1{2,}", r"\1", low)
-    return re.sub(r"(?<!\w)(?=\w*[a-z])(?=\w*[0-9@$!€])[a-z][\w@$!€]*(?!\w)", lambda m: m[0].translate(_LEET) if re.search(r"[a-z][0-9@$!€]+[a-z]", m[0]) else m[0], low)
+        latin = sum(bool(_LATIN.search(w)) for w in words) >= 0.5 * sum(bool(re.search(r"\w", w)) for w in words)
+        low = "".join(w.translate(_LOOKALIKE) if latin or _LATIN.search(w) else w for w in words)
+    low = _STRETCHED.sub(r"\1", low)
+    return _LEETED.sub(lambda m: m[0].translate(_LEET), low) if _LEET_INSIDE.search(low) else low
+
+
+def _unmasked(t: str) -> str:
+    if not _MASK_SIGN.search(t):
+        return t
+    return _MASK.sub(lambda m: f" ?{(m[1] or m[3])[0]}{len(m[0])}{(m[2] or m[4] or '')[-1:]} ", t)
 
 
 def terms(sentence: str) -> list[str]:
     """Words, quotation marks and masked words ('m***n' as '?m5n') of a sentence."""
-    t = undisguise(sentence)
-    t = _MASK.sub(lambda m: f" ?{(m[1] or m[3])[0]}{len(m[0])}{(m[2] or m[4] or '')[-1:]} ", t)
-    return re.findall(r"\?[^\W\d_]\d+[^\W\d_]?|[^\W_]+|[\"“”«»„]|(?<!\w)['’‘]|['’](?!\w)", t)
+    return _PART.findall(_unmasked(undisguise(sentence)))
 
 
 def pieces(text: str | None) -> list[list[str]]:
     """The terms of every sentence of a text, numbers as one term; long sentences in several parts that overlap by half."""
     out = []
-    for s in _SENTENCE.split(text or ""):
-        w = ["#" if x[0].isdigit() else "'" if x in "\"“”«»„'’‘" else x for x in terms(s)] if s.strip() else []
+    for s in _SENTENCE.split(_unmasked(undisguise(text or ""))):
+        w = ["#" if x[0].isdigit() else "'" if x in _QUOTES else x for x in _PART.findall(s)]
         if len(w) <= LONGEST:
             out += [w] if w else []
         else:
@@ -73,6 +84,7 @@ def pieces(text: str | None) -> list[list[str]]:
     return out
 
 
+@lru_cache(400_000)
 def _key(term: str) -> int:
     return 1 + zlib.crc32(term.encode()) % ((1 << BITS) - 1)
 
