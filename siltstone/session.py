@@ -44,3 +44,11 @@ def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared checkpoint folder and go on from there: lineage is cut, executor loss is survived."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, least_mb: int = 2) -> DataFrame:
+    """``df`` over all cores where it is so small that the scan would leave most of them idle (less than ``least_mb`` MB a
+    core by the planner's estimate, which costs no job); any larger input goes on as it is, without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if 0 < size < cores * least_mb * (1 << 20) else df
