@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.llm.tokens import tokenizer_file
+from siltstone.session import spread
 
 LANGUAGES = ("de", "en", "es", "fr", "it", "nl", "pt", "ru")
 # ISO 639 codes of the languages, by their two-letter code.
@@ -259,7 +260,7 @@ def identify_languages(df: DataFrame, doc_id: str = "doc_id", text: str = "text"
             )
 
     rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), label_language(F.col(lang)).alias("label"), F.col(text).cast("string").alias("text"))
-    return rows.filter("doc_id is not null").mapInPandas(run, _SCHEMA)
+    return spread(rows.filter("doc_id is not null")).mapInPandas(run, _SCHEMA)
 
 
 def language_cases(df: DataFrame, **names) -> DataFrame:

@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.session import spread
+
 _WORD = re.compile(r"[^\W_]+")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -132,6 +134,7 @@ def leaked_passages(
     """
     spark = docs.sparkSession
     d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).filter("doc_id is not null and text is not null")
+    d = spread(d)
     out = None
     for part in _slices(items, item_id, item_text, slice_words):
         held = spark.sparkContext.broadcast(Items(part, n, run))  # at most slice_words words

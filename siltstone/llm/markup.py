@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.session import spread
+
 KINDS = ("html", "markdown", "wiki", "latex")
 DOC = ("clean", *KINDS, "mixed")
 LINE = ("clean", "code", *KINDS)
@@ -381,7 +383,7 @@ def _judged(df: DataFrame, model: Potentials | None, post_id: str, text: str, bo
             yield pd.DataFrame(rows, columns=names)
 
     rows = df.select(F.col(post_id).cast("long").alias("id"), F.col(text).cast("string").alias("text")).filter("id is not null and text is not null")
-    return rows.mapInPandas(run, schema)
+    return spread(rows).mapInPandas(run, schema)
 
 
 def residue(df: DataFrame, model: Potentials | None = None, post_id: str = "id", text: str = "text", body: str = "body", sample: int = 1500) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.llm.tokens import count_tokens
-from siltstone.session import materialise
+from siltstone.session import materialise, spread
 
 BITS = 10
 LEVELS = 6
@@ -66,7 +66,7 @@ def _mix(docs: DataFrame, targets: DataFrame, doc_id: str, source: str, text: st
     goal = targets.select(F.col("source").cast("string").alias("source"), F.col("target_share").cast("double").alias("target_share"), F.col("max_repeats").cast("long").alias("max_repeats")).filter("source is not null")
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), F.col(text).cast("string").alias("text"))
     rows = rows.filter("doc_id is not null and source is not null and text is not null")
-    sized = count_tokens(rows, "text", tokenizer).filter("tokens > 0").groupBy("doc_id").agg(F.min_by(F.struct("source", "tokens"), F.struct("source", "tokens")).alias("s"))
+    sized = count_tokens(spread(rows), "text", tokenizer).filter("tokens > 0").groupBy("doc_id").agg(F.min_by(F.struct("source", "tokens"), F.struct("source", "tokens")).alias("s"))
     h = F.xxhash64(F.col("doc_id"), F.lit(seed)).bitwiseAND(F.lit((1 << (BITS * LEVELS)) - 1))
     sized = materialise(sized.select("doc_id", "s.source", "s.tokens", h.alias("h")))
     sizes = sized.groupBy("source").agg(F.count(F.lit(1)).alias("docs"), F.sum("tokens").alias("tokens"))

@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.session import spread
+
 # Tags that don't end a block, elements without an end tag, elements without text.
 INLINE = frozenset("a abbr b br code em font i img span strong".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -415,7 +417,7 @@ def _labelled(df: DataFrame, model: Labeller | None, record_id: str, page: str,
                 yield pd.DataFrame([r for k, (_, bs), q in zip(part["id"], parsed, p) for r in rows_of(k, bs, q)], columns=names)
 
     rows = df.select(F.col(record_id).cast("string").alias("id"), F.col(page).cast("string").alias("html")).filter("id is not null and html is not null")
-    return rows.mapInPandas(run, schema)
+    return spread(rows).mapInPandas(run, schema)
 
 
 def main_blocks(df: DataFrame, model: Labeller | None = None, record_id: str = "warc_record_id", page: str = "html", sample: int = 1200) -> DataFrame:

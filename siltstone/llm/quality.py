@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.session import spread
+
 # Common function words of the corpus' languages.
 COMMON = frozenset(
     (
@@ -212,7 +214,7 @@ def quality_statistics(df: DataFrame, record_id: str = "record_id", text: str =
 
 
 def _rows(df: DataFrame, record_id: str, text: str) -> DataFrame:
-    return df.select(F.col(record_id).cast("long").alias("record_id"), F.col(text).cast("string").alias("text")).filter("record_id is not null")
+    return spread(df.select(F.col(record_id).cast("long").alias("record_id"), F.col(text).cast("string").alias("text")).filter("record_id is not null"))
 
 
 def not_prose(df: DataFrame, record_id: str = "record_id", text: str = "text") -> DataFrame:

@@ -21,6 +21,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.session import spread
+
 BITS = 18
 LONGEST = 48  # terms of a sentence that are read together; a longer one is cut into several
 
@@ -252,7 +254,7 @@ def score_texts(df: DataFrame, model: Machine, record_id: str = "record_id", tex
             yield pd.DataFrame({"record_id": pdf["record_id"], "source": pdf["source"], "score": s.round(6), "toxic": s >= shared.value.cut})
 
     rows = df.select(F.col(record_id).cast("long").alias("record_id"), F.col(source).cast("string").alias("source"), F.col(text).cast("string").alias("text"))
-    return rows.filter("record_id is not null").mapInPandas(run, "record_id long, source string, score double, toxic boolean").distinct()
+    return spread(rows.filter("record_id is not null")).mapInPandas(run, "record_id long, source string, score double, toxic boolean").distinct()
 
 
 def toxic_records(df: DataFrame, model: Machine, **names) -> DataFrame:
