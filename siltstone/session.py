@@ -46,7 +46,7 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def spread(df: DataFrame, least_mb: int = 2) -> DataFrame:
+def spread(df: DataFrame, least_mb: int = 1) -> DataFrame:
     """``df`` over all cores where it is so small that the scan would leave most of them idle (less than ``least_mb`` MB a
     core by the planner's estimate, which costs no job); any larger input goes on as it is, without a shuffle."""
     cores = df.sparkSession.sparkContext.defaultParallelism
