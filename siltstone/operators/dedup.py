@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.functions import text as X
-from siltstone.session import materialise
+from siltstone.session import materialise, spread
 
 # ---- exact, in the order of a column: the first row wins
 
@@ -156,7 +156,7 @@ def fuzzy_groups(df: DataFrame, key: str = "doc_id", text: str = "paragraph_text
     Equal signatures are one group before banding. Null and token-less texts have no signature and stay."""
     if b * r != num_hashes:
         raise ValueError("b * r must be num_hashes")
-    sigs = materialise(df.select(F.col(key), minhash_signature(F.col(text), num_hashes, ngram, seed).alias("sig")).filter("sig is not null"))
+    sigs = materialise(spread(df.select(key, text)).select(F.col(key), minhash_signature(F.col(text), num_hashes, ngram, seed).alias("sig")).filter("sig is not null"))
     exact = sigs.groupBy("sig").agg(F.min(key).alias("_first"))
     exact = materialise(exact)
     edges = lsh_edges(exact.select(F.col("_first").alias(key), "sig"), key, b, r)

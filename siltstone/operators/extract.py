@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.functions.vectorised import fix_mojibake, per_text
+from siltstone.session import spread
 
 # Elements by what they mean for text.
 _SILENT = "script|style|noscript|template|svg|iframe|object|head"
@@ -104,7 +105,7 @@ class ExtractHTML:
             f = EXTRACTORS[kind]()
             return f(clean_html(page) if clean and page is not None else page)
 
-        return df.withColumn(self.output_column, per_text(one, "string").asNondeterministic()(F.col(self.input_column)))
+        return spread(df).withColumn(self.output_column, per_text(one, "string").asNondeterministic()(F.col(self.input_column)))
 
 
 class FixEncoding:
@@ -170,7 +171,7 @@ class Tokenize:
         self.path, self.input_column, self.output_column, self.name = path, input_column, output_column, "Tokenize"
 
     def __call__(self, df: DataFrame) -> DataFrame:
-        return df.withColumn(self.output_column, _encoded(self.path, "array<int>", lambda e: list(e.ids))(F.col(self.input_column)))
+        return spread(df).withColumn(self.output_column, _encoded(self.path, "array<int>", lambda e: list(e.ids))(F.col(self.input_column)))
 
 
 class TokenCounter:
@@ -180,7 +181,7 @@ class TokenCounter:
         self.path, self.input_column, self.output_column, self.name = path, input_column, output_column, "TokenCounter"
 
     def __call__(self, df: DataFrame) -> DataFrame:
-        return df.withColumn(self.output_column, _encoded(self.path, "bigint", lambda e: len(e.ids))(F.col(self.input_column)))
+        return spread(df).withColumn(self.output_column, _encoded(self.path, "bigint", lambda e: len(e.ids))(F.col(self.input_column)))
 
 
 def plain_form(text: str | None) -> str | None:
