@@ -1,10 +1,11 @@
 """Problem 8: evaluation texts leaking into training text.
 
-Rare word n-grams of the test items are the seeds: every window of ``run`` words of an item is covered by its n-gram
-that fewest documents hold, so that no verbatim copy of ``run`` words can be missed while phrases shared by everyone
-start no alignment. A document that holds a seed is aligned with the seed's item by Smith-Waterman over words, which
-scores edited copies too; the longest verbatim run comes from the same pass. Both passes are maps over the documents:
-only n-gram counts are shuffled.
+Word n-grams of the test items are the seeds. For verbatim copies every window of ``run`` words of an item is covered by
+its n-gram that fewest documents hold, so that none can be missed while phrases shared by everyone start few alignments.
+For edited copies every n-gram is a seed, however many documents hold it: a copy edited in one way may lack just the
+n-grams that are rare because few copies are edited in another. A document that holds a seed is aligned with the seed's
+item by Smith-Waterman over words, which scores edited copies too; the longest verbatim run comes from the same pass.
+Both passes are maps over the documents: only n-gram counts are shuffled.
 """
 
 from __future__ import annotations
@@ -60,21 +61,22 @@ class Items:
         get = self.vocab.get
         return np.array([get(w, -1) for w in words(text)], np.int64)
 
-    def seeds(self, df_of: dict[int, int], rare: int = 1000) -> dict[int, list[tuple[int, int]]]:
-        """Key -> (item, place) for the rarest n-gram, of those that documents hold, of every window of ``run`` words (of
-        the whole item, if shorter). Where a document may hold the whole window, however many do; elsewhere, for edited
-        copies, only one that at most ``rare`` documents hold."""
+    def seeds(self, df_of: dict[int, int], edited: bool = True) -> dict[int, list[tuple[int, int]]]:
+        """Key -> (item, place) of the n-grams at which alignments start. With ``edited``: every n-gram that documents hold.
+        Else, for verbatim copies only: the rarest of every window of ``run`` words (of the whole item, if shorter) all of
+        whose n-grams are held, as a document can hold no other window."""
         out: dict[int, set[tuple[int, int]]] = {}
         for i, g in enumerate(self.grams):
             if not len(g):
                 continue
             count = np.array([df_of.get(int(k), 0) for k in g])
-            span = max(1, min(len(g), self.run - self.n + 1))
-            for s in range(len(g) - span + 1):
-                held = np.where(count[s : s + span] > 0, count[s : s + span], 1 << 62)
-                at = s + int(held.argmin())
-                if count[at] and (count[at] <= rare or count[s : s + span].all()):
-                    out.setdefault(int(g[at]), set()).add((i, at))
+            if edited:
+                places = np.flatnonzero(count).tolist()
+            else:
+                span = max(1, min(len(g), self.run - self.n + 1))
+                places = [s + int(count[s : s + span].argmin()) for s in range(len(g) - span + 1) if count[s : s + span].all()]
+            for at in places:
+                out.setdefault(int(g[at]), set()).add((i, at))
         return {k: sorted(v) for k, v in out.items()}
 
 
@@ -94,8 +96,9 @@ def align(a: np.ndarray, b: np.ndarray, match: int = 2, miss: int = -1, gap: int
     return best, longest
 
 
-def _scan(items: Items, seeds: dict[int, list[tuple[int, int]]], text: str | None) -> Iterator[tuple[int, int, int, int]]:
-    """(item number, score, longest run, length of the item) of every item that has a seed in the text."""
+def _scan(items: Items, seeds: dict[int, list[tuple[int, int]]], text: str | None, share: float = 0.0) -> Iterator[tuple[int, int, int, int]]:
+    """(item number, score, longest run, length of the item) of every item that has a seed in the text. Places that have too
+    few of the item's words for ``share`` of its own score and for a verbatim run aren't aligned."""
     t = items.numbers(text)
     keys = items.keys(t)
     hits: dict[int, list[int]] = {}
@@ -105,13 +108,19 @@ def _scan(items: Items, seeds: dict[int, list[tuple[int, int]]], text: str | Non
     for item, at in sorted(hits.items()):
         b, best, longest, done = items.texts[item], 0, 0, -1
         reach = 2 * len(b) + items.n
+        least = min(share * len(b), items.run)  # equal words, each 2 of the score, without which there is neither
+        uses = np.bincount(b)
         for p in at:  # places near each other share one window; together the windows hold every seed
             if p <= done:
                 continue
             last = max(q for q in at if q - p <= reach)
-            score, run = align(t[max(0, p - reach) : last + reach], b)
-            best, longest, done = max(best, score), max(longest, run), last
-        yield item, best, longest, len(b)
+            done, near = last, t[max(0, p - reach) : last + reach]
+            if least > 0 and np.minimum(np.bincount(near[(near >= 0) & (near < len(uses))], minlength=len(uses)), uses).sum() < least:
+                continue
+            score, run = align(near, b)
+            best, longest = max(best, score), max(longest, run)
+        if best:
+            yield item, best, longest, len(b)
 
 
 def leaked_passages(
@@ -124,10 +133,14 @@ def leaked_passages(
     n: int = 5,
     run: int = 12,
     slice_words: int = 2_000_000,
+    edited: bool = True,
+    share: float = 0.0,
 ) -> DataFrame:
-    """(doc_id, item_id, score, longest_run, item_words) for each document that shares a rare n-gram with an item.
+    """(doc_id, item_id, score, longest_run, item_words) for each document that shares an n-gram with an item.
 
     score: Smith-Waterman over words, 2 a match, -1 a change or gap; longest_run: most consecutive equal words.
+    ``edited`` False: only rows with a verbatim run of ``run`` words are sure to be there. ``share``: rows that reach
+    neither this share of the item's own score nor such a run may be left out, which saves most alignments.
     Items are worked through in slices of at most ``slice_words`` words, so that what a worker holds has a bound
     however many items there are; no item is dropped. Null ids and null, blank or wordless texts give no rows;
     repeated rows of a document or item give one. Empty tables give an empty result.
@@ -151,11 +164,11 @@ def leaked_passages(
             yield pd.DataFrame({"key": np.fromiter(seen.keys(), np.uint64, len(seen)).view(np.int64), "n": np.fromiter(seen.values(), np.int64, len(seen))})
 
         held_in = d.mapInPandas(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).collect()  # keys of the slice only
-        seeds = spark.sparkContext.broadcast(held.value.seeds({r["key"] & 0xFFFFFFFFFFFFFFFF: r["n"] for r in held_in}))
+        seeds = spark.sparkContext.broadcast(held.value.seeds({r["key"] & 0xFFFFFFFFFFFFFFFF: r["n"] for r in held_in}, edited))
 
         def find(batches: Iterator[pd.DataFrame], held=held, seeds=seeds) -> Iterator[pd.DataFrame]:
             for pdf in batches:
-                rows = [(i, held.value.ids[k], s, r, w) for i, t in zip(pdf["doc_id"], pdf["text"]) for k, s, r, w in _scan(held.value, seeds.value, t)]
+                rows = [(i, held.value.ids[k], s, r, w) for i, t in zip(pdf["doc_id"], pdf["text"]) for k, s, r, w in _scan(held.value, seeds.value, t, share)]
                 yield pd.DataFrame(rows, columns=["doc_id", "item_id", "score", "longest_run", "item_words"])
 
         found = d.mapInPandas(find, "doc_id long, item_id long, score int, longest_run int, item_words int")
@@ -183,13 +196,13 @@ def _slices(items: DataFrame, item_id: str, item_text: str, most: int) -> Iterat
 
 def leaked_documents(docs: DataFrame, items: DataFrame, run: int = 12, **names) -> DataFrame:
     """(doc_id, item_id) where the document holds at least ``run`` consecutive words of the item."""
-    return leaked_passages(docs, items, run=run, **names).filter(F.col("longest_run") >= run).select("doc_id", "item_id")
+    return leaked_passages(docs, items, run=run, edited=False, **names).filter(F.col("longest_run") >= run).select("doc_id", "item_id")
 
 
 def leaked_items(docs: DataFrame, items: DataFrame, share: float = 0.6, run: int = 12, **names) -> DataFrame:
     """(item_id, verbatim_docs, edited_docs): how often each item leaked. Edited: no verbatim run of ``run`` words, but an
     alignment that scores at least ``share`` of the item's own score."""
-    hits = leaked_passages(docs, items, run=run, **names)
+    hits = leaked_passages(docs, items, run=run, share=share, **names)
     whole = F.col("longest_run") >= run
     edited = ~whole & (F.col("score") >= share * 2 * F.col("item_words"))
     return hits.groupBy("item_id").agg(F.count_if(whole).alias("verbatim_docs"), F.count_if(edited).alias("edited_docs")).filter("verbatim_docs + edited_docs > 0")

@@ -149,6 +149,26 @@ def test_edited_leak(spark):
     assert [tuple(r) for r in got] == [(7, 0, 1)]
 
 
+def test_edited_leaks_in_many_documents(spark):
+    """An edit of an item in more documents than any cap, and one beside a rarer edit of the same item."""
+    rng = random.Random(6)
+    items = [(i, " ".join(rng.sample(W, 40))) for i in range(3)]
+
+    def edit(item, first):
+        w = items[item][1].split()
+        for k in range(first, len(w), 8):
+            w[k] = "changed"
+        return " ".join(w)
+
+    docs = [(d, f"w{d} " + edit(0, 3)) for d in range(1100)] + [(2000 + d, f"v{d} " + edit(1, 7 if d < 2 else 3)) for d in range(22)]
+    docs += [(3000 + d, " ".join(items[2][1].split()[:8] + rng.sample(W, 60))) for d in range(30)]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    i = spark.createDataFrame(items, "item_id long, item_text string")
+    assert sorted(tuple(r) for r in leakage.leaked_items(d, i).collect()) == [(0, 0, 1100), (1, 0, 22)]
+    assert leakage.leaked_passages(d, i).filter("item_id = 2").count() == 30
+    assert leakage.leaked_documents(d, i).count() == 0
+
+
 def test_align():
     a = np.array([9, 1, 2, 3, 4, 9, 5, 6])
     assert leakage.align(a, np.array([1, 2, 3, 4, 5, 6])) == (11, 4)
