@@ -192,12 +192,12 @@ def _joined(parent: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
 class SemanticDedup:
     """Drops vectors with a cosine of ``threshold`` or more to one that stays.
 
-    Vectors go to their nearest centre and to a second one whose residual is orthogonal (weight ``lam``), so that pairs
-    split by a border still meet. Pairs of all parts form one graph; the least id of each component stays. A part larger
-    than ``tile`` is worked through tile by tile, each pair of tiles in a task of its own."""
+    Vectors go to their nearest centre and to every other one whose border is so near that a pair at the threshold may lie
+    across it, so that all pairs meet: exact, whatever the centres are. Pairs of all parts form one graph; the least id of
+    each component stays. A part larger than ``tile`` is worked through tile by tile, each pair of tiles in a task of its own."""
 
-    def __init__(self, k: int = 100, threshold: float = 0.95, tile: int = 8192, lam: float = 1.0, rounds: int = 25, sample: int = 100_000, seed: int = 1, id_column: str = "uuid", embedding: str = "embedding"):
-        self.k, self.threshold, self.tile, self.lam, self.rounds, self.sample, self.seed = k, threshold, tile, lam, rounds, sample, seed
+    def __init__(self, k: int = 100, threshold: float = 0.95, tile: int = 8192, rounds: int = 25, sample: int = 100_000, seed: int = 1, id_column: str = "uuid", embedding: str = "embedding"):
+        self.k, self.threshold, self.tile, self.rounds, self.sample, self.seed = k, threshold, tile, rounds, sample, seed
         self.id_column, self.embedding = id_column, embedding
 
     def _usable(self, df: DataFrame) -> DataFrame:
@@ -221,8 +221,12 @@ class SemanticDedup:
         return c
 
     def assign(self, rows: DataFrame, centres: np.ndarray) -> DataFrame:
-        """(id, vec, part): one or two rows a vector."""
-        shared, lam = rows.sparkSession.sparkContext.broadcast(centres), self.lam  # k vectors
+        """(id, vec, part): a row for the nearest centre and one for each whose border is near.
+
+        Two vectors at the threshold are at most sqrt(2 - 2 threshold) apart. If they have different nearest centres, one of
+        them is within half of that of the plane between the two centres, and meets the other in the other's part."""
+        shared = rows.sparkSession.sparkContext.broadcast(centres)  # k vectors
+        reach = max(0.0, 2 - 2 * self.threshold) ** 0.5 / 2 + 1e-3  # more than what float rounds
 
         @F.pandas_udf("array<int>")
         def parts(vec: pd.Series) -> pd.Series:
@@ -230,14 +234,11 @@ class SemanticDedup:
                 return pd.Series([], dtype=object)
             c = shared.value
             x = _unit(np.stack(vec.to_numpy()).astype(np.float32))
-            d = 2 - 2 * (x @ c.T)
-            first = d.argmin(1)
-            if len(c) == 1:
-                return pd.Series([[0]] * len(x))
-            res = _unit(x - c[first])
-            score = d + lam * (np.einsum("ij,ij->i", x, res)[:, None] - res @ c.T) ** 2
-            score[np.arange(len(x)), first] = np.inf
-            return pd.Series(np.stack([first, score.argmin(1)], 1).tolist())
+            cos = x @ c.T
+            first = cos.argmax(1)
+            apart = np.linalg.norm(c[:, None] - c[None], axis=2)
+            near = cos[np.arange(len(x)), first][:, None] - cos <= reach * apart[first] + 1e-5  # its own part too
+            return pd.Series([np.flatnonzero(n).tolist() for n in near])
 
         return rows.filter(F.size("vec") == centres.shape[1]).select("id", "vec", F.explode(parts("vec")).alias("part"))
 

@@ -127,6 +127,19 @@ def test_semantic(spark):
     assert dedup.SemanticDedup(k=4)(df.limit(0)).count() == 0
 
 
+def test_semantic_across_borders(spark):
+    """Pairs near the threshold in a cloud without clusters, which borders of parts cut everywhere."""
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(600, 8))
+    x = (v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32)
+    df = spark.createDataFrame([(i, [float(y) for y in e]) for i, e in enumerate(x)], "uuid long, embedding array<float>")
+    for threshold in (0.9, 0.8):
+        u, w = np.nonzero(np.triu(x @ x.T >= threshold, 1))
+        want = {i for i, root in union_find(list(zip(u.tolist(), w.tolist()))).items() if i != root}
+        got = {r["uuid"] for r in dedup.SemanticDedup(k=20, threshold=threshold).dropped(df).collect()}
+        assert want and got == want
+
+
 def test_signatures_estimate_similarity(spark):
     a = " ".join(f"w{i}" for i in range(200))
     b = " ".join(f"w{i}" for i in range(40, 240))
