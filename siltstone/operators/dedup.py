@@ -116,32 +116,64 @@ def shingles(text: str, n: int) -> set[str]:
     return {" ".join(t[i : i + n]) for i in range(len(t) - n + 1)} if len(t) >= n else {" ".join(t)} if t else set()
 
 
+def _minima(h: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The minimum of a * h + b mod p for each hash of the family; h: 32-bit hashes of a text's shingles."""
+    p = np.uint64(PRIME)
+    v, best = h.astype(np.uint64) % p, np.full(len(a), PRIME, np.uint64)
+    for i in range(0, len(v), 4096):  # long texts in parts, so that memory has a bound
+        best = np.minimum(best, ((a * v[None, i : i + 4096] + b) % p).min(1))
+    return best.astype(np.int64)
+
+
+def _columns(num_hashes: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    family = hash_family(num_hashes, seed)
+    return tuple(np.array([x[i] for x in family], np.uint64)[:, None] for i in (0, 1))
+
+
 def minhash_signature(c: Column, num_hashes: int = 112, ngram: int = 5, seed: int = 42) -> Column:
     """array<bigint> of minima of a * h + b mod p over the shingles, h: the first 32 bits of the shingle's MD5, modulo p,
     which is the same number in every engine. Null for null texts and texts without tokens."""
-    family = hash_family(num_hashes, seed)
 
     @F.pandas_udf("array<bigint>")
     def minima(text: pd.Series) -> pd.Series:
-        a = np.array([x for x, _ in family], np.uint64)[:, None]
-        b = np.array([x for _, x in family], np.uint64)[:, None]
-        p = np.uint64(PRIME)
+        a, b = _columns(num_hashes, seed)
 
         def one(t: str | None):
             s = shingles(t, ngram) if t else None
             if not s:
                 return None
-            v = np.frombuffer(b"".join(hashlib.md5(x.encode("utf-8", "surrogatepass")).digest()[:4] for x in s), ">u4").astype(np.uint64) % p
-            best = np.full(num_hashes, PRIME, np.uint64)
-            for i in range(0, len(v), 4096):  # long texts in parts, so that memory has a bound
-                best = np.minimum(best, ((a * v[None, i : i + 4096] + b) % p).min(1))
-            return best.astype(np.int64)
+            return _minima(np.frombuffer(b"".join(hashlib.md5(x.encode("utf-8", "surrogatepass")).digest()[:4] for x in s), ">u4"), a, b)
 
         return text.map(one, na_action=None)
 
     return minima.asNondeterministic()(c)  # else a filter on the signature computes it twice
 
 
+def shingle_keys(c: Column, ngram: int = 5) -> Column:
+    """array<bigint>: the first 64 bits of the MD5 of each shingle, sorted. Null where a text has no shingle."""
+
+    @F.pandas_udf("array<bigint>")
+    def keys(text: pd.Series) -> pd.Series:
+        def one(t: str | None):
+            s = shingles(t, ngram) if t else None
+            return np.unique(np.frombuffer(b"".join(hashlib.md5(x.encode("utf-8", "surrogatepass")).digest()[:8] for x in s), ">i8").astype(np.int64)) if s else None
+
+        return text.map(one, na_action=None)
+
+    return keys.asNondeterministic()(c)
+
+
+def _signature_of_keys(c: Column, num_hashes: int, seed: int) -> Column:
+    """The signature that ``minhash_signature`` gives for the text of these keys."""
+
+    @F.pandas_udf("array<bigint>")
+    def minima(keys: pd.Series) -> pd.Series:
+        a, b = _columns(num_hashes, seed)
+        return keys.map(lambda k: _minima(np.asarray(k, np.int64).view(np.uint64) >> np.uint64(32), a, b))
+
+    return minima(c)
+
+
 def lsh_edges(signatures: DataFrame, key: str, b: int, r: int) -> DataFrame:
     """Star edges (u, v): in every bucket of a band each key is linked to the least, however large the bucket."""
     bands = signatures.select(F.col(key).alias("u"), F.posexplode(F.array(*(F.slice("sig", i * r + 1, r) for i in range(b)))).alias("band", "rows"))
@@ -150,18 +182,38 @@ def lsh_edges(signatures: DataFrame, key: str, b: int, r: int) -> DataFrame:
     return bands.join(least, ["band", "bucket"]).filter("u <> v").select("u", "v").distinct()
 
 
-def fuzzy_groups(df: DataFrame, key: str = "doc_id", text: str = "paragraph_text", num_hashes: int = 112, ngram: int = 5, seed: int = 42, b: int = 14, r: int = 8) -> DataFrame:
+def _similar(pairs: DataFrame, sets: DataFrame, key: str, threshold: float) -> DataFrame:
+    """Those (u, v) of ``pairs`` whose shingles have a Jaccard similarity of ``threshold`` or more."""
+    both = pairs.join(sets.select(F.col(key).alias("u"), F.col("keys").alias("a")), "u").join(sets.select(F.col(key).alias("v"), F.col("keys").alias("b")), "v")
+    same = F.size(F.array_intersect("a", "b"))
+    return both.filter(same >= threshold * (F.size("a") + F.size("b") - same)).select("u", "v")
+
+
+def fuzzy_groups(df: DataFrame, key: str = "doc_id", text: str = "paragraph_text", num_hashes: int = 112, ngram: int = 5, seed: int = 42, b: int = 28, r: int = 4, threshold: float = 0.8) -> DataFrame:
     """(key, root): rows that are to go, with the row that stays for them: the least key of their group.
 
-    Equal signatures are one group before banding. Null and token-less texts have no signature and stay."""
+    A group is linked by pairs whose shingles have a Jaccard similarity of ``threshold`` or more. Candidates are the keys
+    that share a bucket of a band: 28 bands of 4 rows miss a pair at 0.8 with probability (1 - 0.8^4)^28 = 4e-7. Each bucket's
+    keys are compared with its least first, then with those of its keys that aren't in their group yet, so that a hot
+    bucket of one group costs no square. Equal shingles are one row before banding. Null and token-less texts have no
+    shingles and stay."""
     if b * r != num_hashes:
         raise ValueError("b * r must be num_hashes")
-    sigs = materialise(spread(df.select(key, text)).select(F.col(key), minhash_signature(F.col(text), num_hashes, ngram, seed).alias("sig")).filter("sig is not null"))
-    exact = sigs.groupBy("sig").agg(F.min(key).alias("_first"))
-    exact = materialise(exact)
-    edges = lsh_edges(exact.select(F.col("_first").alias(key), "sig"), key, b, r)
-    same = sigs.join(exact, "sig").filter(F.col(key) != F.col("_first")).select(F.col(key).alias("u"), F.col("_first").alias("v"))
-    found = components(edges.unionByName(same))
+    rows = materialise(spread(df.select(key, text)).select(F.col(key), shingle_keys(F.col(text), ngram).alias("keys")).filter("keys is not null"))
+    digests = rows.select(key, F.md5(F.array_join("keys", ",").cast("binary")).alias("_d"))
+    exact = materialise(digests.groupBy("_d").agg(F.min(key).alias("_first")))
+    sets = rows.join(exact.select(F.col("_first").alias(key)), key, "left_semi")
+    same = digests.join(exact, "_d").filter(F.col(key) != F.col("_first")).select(F.col(key).alias("u"), F.col("_first").alias("v"))
+    sigs = sets.select(F.col(key).alias("u"), _signature_of_keys(F.col("keys"), num_hashes, seed).alias("sig"))
+    bands = sigs.select("u", F.explode(F.array(*(F.xxhash64(F.lit(i), F.slice("sig", i * r + 1, r)) for i in range(b)))).alias("bucket"))
+    full = bands.groupBy("bucket").agg(F.min("u").alias("v"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket", "v")
+    held = materialise(bands.join(full, "bucket"))
+    stars = materialise(_similar(held.filter("u <> v").select("u", "v").distinct(), sets, key, threshold))
+    grouped = held.select("u", "bucket").join(components(stars).withColumnRenamed("node", "u"), "u", "left").select("bucket", "u", F.coalesce("root", "u").alias("root"))
+    grouped = materialise(grouped)
+    others = grouped.select("bucket", F.col("u").alias("v"), F.col("root").alias("other"))
+    rest = _similar(grouped.join(others, "bucket").filter("root < other").select("u", "v").distinct(), sets, key, threshold)
+    found = components(stars.unionByName(rest).unionByName(same))
     return found.filter("node <> root").select(F.col("node").alias(key), "root")
 
 

@@ -108,6 +108,23 @@ def test_fuzzy(spark):
     assert sorted(r["doc_id"] for r in dedup.fuzzy_dedupe(df).collect()) == [2, 3, 10, 11, 12]
 
 
+def test_fuzzy_against_brute_force(spark):
+    """Pairs on both sides of 0.8: none below is united, none above is missed."""
+    rng = random.Random(2)
+    rows = []
+    for i in range(150):
+        base = [f"w{rng.randrange(5000)}" for _ in range(200)]
+        rows.append((2 * i, " ".join(base)))
+        for k in rng.sample(range(200), 4 if i % 2 else 7):
+            base[k] = "changed"
+        rows.append((2 * i + 1, " ".join(base)))
+    sets = [dedup.shingles(t, 5) for _, t in rows]
+    pairs = [(i, j) for j in range(len(rows)) for i in range(j) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    want = {i for i, root in union_find(pairs).items() if i != root}
+    df = spark.createDataFrame(rows, "doc_id long, paragraph_text string")
+    assert 20 < len(want) < 130 and {r["doc_id"] for r in dedup.fuzzy_groups(df).collect()} == want
+
+
 def test_semantic(spark):
     rng = np.random.default_rng(0)
     centres = rng.normal(size=(4, 64))
