@@ -206,7 +206,7 @@ WITH p AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_
 f AS (SELECT *, row_number() OVER (PARTITION BY line ORDER BY doc_id, pos) AS n FROM p)
 SELECT doc_id, string_agg(line, chr(10) ORDER BY pos) AS text FROM f WHERE n = 1 GROUP BY doc_id"""
 
-_HASHES, _BANDS, _ROWS = 16, 4, 4
+_HASHES, _BANDS, _ROWS = 112, 14, 8
 
 
 def minhash_signature(spark: SparkSession, folder: str) -> DataFrame:

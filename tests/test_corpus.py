@@ -125,6 +125,34 @@ def test_fuzzy_against_brute_force(spark):
     assert 20 < len(want) < 130 and {r["doc_id"] for r in dedup.fuzzy_groups(df).collect()} == want
 
 
+def test_registered_signatures_and_edges(spark, tmp_path):
+    """The queries against hashes taken one by one: 112 of them, 14 bands of 8."""
+    import hashlib
+
+    from siltstone import catalog
+
+    rng = random.Random(9)
+    rows = []
+    for i in range(30):
+        base = [f"w{rng.randrange(5000)}" for _ in range(60)]
+        rows.append((3 * i, " ".join(base)))
+        base[30] = "changed"
+        rows += [(3 * i + 1, " ".join(base)), (3 * i + 2, " ".join(base[:40] + [f"v{rng.randrange(5000)}" for _ in range(20)]))]
+    spark.createDataFrame(rows + [(900, None), (901, "")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    sigs = {}
+    for i, t in rows:
+        h = [int(hashlib.md5(s.encode()).hexdigest()[:8], 16) % dedup.PRIME for s in dedup.shingles(t, 5)]
+        sigs[i] = [min((a * x + b) % dedup.PRIME for x in h) for a, b in dedup.hash_family(112, 42)]
+    got = {r["doc_id"]: r["sig"] for r in catalog.minhash_signature(spark, str(tmp_path)).collect()}
+    assert got == {i: ",".join(map(str, s)) for i, s in sigs.items()}
+    want = set()
+    for k in range(0, 112, 8):
+        for i, s in sigs.items():
+            least = min(j for j, o in sigs.items() if o[k : k + 8] == s[k : k + 8])
+            want |= {(i, least)} if i != least else set()
+    assert want and {tuple(r) for r in catalog.lsh_edges(spark, str(tmp_path)).collect()} == want
+
+
 def test_semantic(spark):
     rng = np.random.default_rng(0)
     centres = rng.normal(size=(4, 64))
