@@ -264,6 +264,13 @@ def test_pairs(spark, tongues):
     assert pairs.defects(both.limit(0), tongues).count() == 0
 
 
+def test_long_refusals(tongues):
+    long = "I'm sorry, but I cannot answer this question for you today. " * 6 + "Thank you, I hope you understand. " * 6
+    assert len(long.split()) > 90
+    assert pairs.votes(None, Q, long, tongues)["refusal"] == "yyny"
+    assert pairs.votes(None, Q, "The valve is checked twice a year by somebody who knows it. " * 12, tongues)["refusal"] == "nnn0"
+
+
 def test_label_model_finds_reliable_votes():
     rng = np.random.default_rng(1)
     counts: dict[str, int] = {}
