@@ -271,6 +271,10 @@ def test_long_refusals(tongues):
     assert pairs.votes(None, Q, "The valve is checked twice a year by somebody who knows it. " * 12, tongues)["refusal"] == "nnn0"
 
 
+def test_question_repeated_as_answer(tongues):
+    assert pairs.votes(None, Q, " ".join([Q] * 4), tongues)["copied"] == "yn0y"
+
+
 def test_label_model_finds_reliable_votes():
     rng = np.random.default_rng(1)
     counts: dict[str, int] = {}
