@@ -297,7 +297,7 @@ def language(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def embed_text(spark: SparkSession, folder: str) -> DataFrame:
-    return models.EmbedText(dim=64)(table(spark, folder, "documents").select("doc_id", "text")).drop("text")
+    return models.EmbedText()(table(spark, folder, "documents").select("doc_id", "text")).drop("text")
 
 
 def qa_join(spark: SparkSession, folder: str) -> DataFrame:

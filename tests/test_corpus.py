@@ -153,6 +153,13 @@ def test_registered_signatures_and_edges(spark, tmp_path):
     assert want and {tuple(r) for r in catalog.lsh_edges(spark, str(tmp_path)).collect()} == want
 
 
+def test_registered_embedding(spark, tmp_path):
+    from siltstone import catalog
+
+    spark.createDataFrame([(1, "some words of a text")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert [len(r["embedding"]) for r in catalog.embed_text(spark, str(tmp_path)).collect()] == [768]
+
+
 def test_semantic(spark):
     rng = np.random.default_rng(0)
     centres = rng.normal(size=(4, 64))
