@@ -312,13 +312,13 @@ FROM p q JOIN p a ON a.parent_id = q.id WHERE q.post_type_id = 1 AND a.post_type
 
 
 def flagship_pipeline() -> engine.DataEngine:
-    return engine.DataEngine([filters.WordCountFilter(), filters.StopWordDensityFilter(), filters.RepeatedLinesFilter()], "curation")
+    stages = [filters.WordCountFilter(), filters.StopWordDensityFilter(), filters.RepeatedLinesFilter(), dedup.DocumentDeduplicator("doc_id")]
+    return engine.DataEngine(stages, "curation")
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
     """Documents that are long enough, in prose, without repeats, and first of their text."""
-    kept = flagship_pipeline()(table(spark, folder, "documents").select("doc_id", "source", "text"))
-    return dedup.DocumentDeduplicator("doc_id")(kept).select("doc_id", "source")
+    return flagship_pipeline()(table(spark, folder, "documents").select("doc_id", "source", "text")).select("doc_id", "source")
 
 
 _FLAGSHIP_SQL = f"""

@@ -16,21 +16,32 @@ from siltstone.session import materialise, spread
 
 # ---- exact, in the order of a column: the first row wins
 
+SMALL = 1_000_000  # rows of (order) that are broadcast, at most some tens of MB
+
+
+def without(df: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    """``df`` without the rows whose ``key`` is in ``gone`` (materialised, one column). What goes is usually far less than
+    what stays: up to SMALL counted rows are broadcast, so that the texts aren't shuffled; beyond that Spark shuffles."""
+    return df.join(F.broadcast(gone) if gone.count() <= SMALL else gone, key, "left_anti")
+
 
 class FirstByKey:
-    """The first row of each key in ``order`` (unique); rows with a null key all stay.
+    """The first row of each key in ``order`` (unique); rows with a null key all stay, rows with a null order go.
 
     Only digests (MD5, 128 bits) and order values are shuffled, not the keys, which may be whole texts; the first row is
-    found by an aggregate that combines before the shuffle, so that a hot key costs one row a partition."""
+    found by an aggregate that combines before the shuffle, so that a hot key costs one row a partition.
+
+    ``base``: a frame of which ``df`` is some rows, by row filters alone. The result is then taken from it, which leaves
+    out evaluating the filters once more."""
 
     def __init__(self, key: str, order: str, name: str):
         self.key, self.order, self.name = key, order, name
 
-    def __call__(self, df: DataFrame) -> DataFrame:
-        alone = F.concat(F.lit("null "), F.col(self.order).cast("string"))
-        digest = F.coalesce(F.md5(F.col(self.key).cast("binary")), alone)
-        firsts = df.select(digest.alias("_d"), self.order).groupBy("_d").agg(F.min(self.order).alias(self.order))
-        return df.join(firsts.select(self.order), self.order, "left_semi")
+    def digest(self) -> Column:
+        return F.coalesce(F.unhex(F.md5(F.col(self.key).cast("binary"))), F.concat(F.lit("null "), F.col(self.order).cast("string")).cast("binary"))
+
+    def __call__(self, df: DataFrame, base: DataFrame | None = None) -> DataFrame:
+        return DeduplicationStage([self])(df, base)
 
 
 def URLDeduplicator(order: str, url_column: str = "url") -> FirstByKey:
@@ -43,46 +54,95 @@ def DocumentDeduplicator(order: str, input_column: str = "text") -> FirstByKey:
 
 class ParagraphDeduplicator:
     """Keeps of every line its first occurrence in the corpus, in the order of ``order`` (unique) and of the lines; rows
-    without a line left are dropped, null texts too. The empty line is a line like others. Lines are compared by their MD5;
-    the shuffle carries digests and places, not lines."""
+    without a line left are dropped, null texts and orders too. The empty line is a line like others. Lines are compared by
+    their MD5; the shuffle carries digests and places, not lines."""
 
     def __init__(self, order: str, input_column: str = "text"):
         self.order, self.input_column, self.name = order, input_column, "ParagraphDeduplicator"
 
-    def __call__(self, df: DataFrame) -> DataFrame:
-        parts = F.split(F.col(self.input_column), "\n", -1)
-        digests = F.transform(parts, lambda x: F.md5(x.cast("binary")))
-        spread = df.select(F.col(self.order).alias("_o"), F.posexplode(digests).alias("_p", "_d"))
-        firsts = spread.groupBy("_d").agg(F.min(F.struct("_o", "_p")).alias("_f")).select(F.col("_f._o").alias(self.order), "_f._p")
-        places = firsts.groupBy(self.order).agg(F.collect_list("_p").alias("_places"))  # a row's own lines
-        kept = F.filter(parts, lambda x, i: F.array_contains("_places", i))
+    def places(self, df: DataFrame) -> DataFrame:
+        """(order, _places): the sorted places, from 0, of the lines of each row that stay."""
+        digests = F.transform(F.split(F.col(self.input_column), "\n", -1), lambda x: F.unhex(F.md5(x.cast("binary"))))
+        lines = df.select(F.col(self.order).alias("_o"), F.posexplode(digests).alias("_p", "_d")).filter("_o is not null")
+        firsts = lines.groupBy("_d").agg(F.min(F.struct("_o", "_p")).alias("_f")).select(F.col("_f._o").alias(self.order), "_f._p")
+        return firsts.groupBy(self.order).agg(F.array_sort(F.collect_list("_p")).alias("_places"))  # a row's own lines
+
+    def edit(self, df: DataFrame, places: DataFrame) -> DataFrame:
+        """``df`` with the lines at their places only. One pass over the lines: a mask is laid beside them."""
+        before = F.concat(F.array(F.lit(-1)), F.slice("_places", 1, F.size("_places") - 1))
+        mask = F.flatten(F.zip_with("_places", before, lambda p, q: F.concat(F.array_repeat(F.lit(False), p - q - 1), F.array(F.lit(True)))))
+        both = F.arrays_zip(F.split(F.col(self.input_column), "\n", -1).alias("line"), mask.alias("stays"))
+        kept = F.transform(F.filter(both, lambda x: F.coalesce(x["stays"], F.lit(False))), lambda x: x["line"])
         return df.join(places, self.order).withColumn(self.input_column, F.array_join(kept, "\n")).select(df.columns)
 
+    def __call__(self, df: DataFrame) -> DataFrame:
+        return self.edit(df, self.places(df))
+
 
 class DeduplicationStage:
-    """Deduplicators one after the other: each sees the rows that the ones before it have left."""
+    """Deduplicators one after the other: each sees the rows that the ones before it have left.
+
+    The stages are decided on narrow frames: neighbouring FirstByKey stages (of one order column) read the digests of all
+    their keys in one pass and hand on the surviving rows' digests, not a join with the texts; a ParagraphDeduplicator reads
+    line digests in one pass. Each decision is materialised, so that the plan of the result, and every pass, scans the input
+    once however many stages there are. Any other callable is applied as it is."""
 
     def __init__(self, deduplicators: Sequence, name: str = "DeduplicationStage"):
         self.deduplicators, self.name = list(deduplicators), name
 
-    def __call__(self, df: DataFrame) -> DataFrame:
-        for d in self.deduplicators:
-            df = d(df)
+    def __call__(self, df: DataFrame, base: DataFrame | None = None) -> DataFrame:
+        todo, base = list(self.deduplicators), df if base is None else base
+        while todo:
+            first = todo[0]
+            if isinstance(first, FirstByKey):
+                run = [first]
+                while len(run) < len(todo) and isinstance(todo[len(run)], FirstByKey) and todo[len(run)].order == first.order:
+                    run.append(todo[len(run)])
+                del todo[: len(run)]
+                df, base = self._firsts(run, df, base)
+            elif isinstance(first, ParagraphDeduplicator):
+                del todo[0]
+                df = base = first.edit(base, materialise(first.places(df)))
+            else:
+                del todo[0]
+                df = base = first(df)
         return df
 
+    @staticmethod
+    def _firsts(run: list[FirstByKey], df: DataFrame, base: DataFrame) -> tuple[DataFrame, DataFrame]:
+        order = run[0].order
+        names = [f"_d{i}" for i in range(len(run))]
+        rows = materialise(df.select(order, *(d.digest().alias(n) for d, n in zip(run, names))).filter(F.col(order).isNotNull()))
+        left = rows
+        for i, n in enumerate(names):
+            rest = names[i + 1 :]
+            if rest:
+                left = left.groupBy(n).agg(F.min(F.struct(order, *rest)).alias("_f")).select(f"_f.{order}", *(f"_f.{r}" for r in rest))
+            else:
+                left = left.groupBy(n).agg(F.min(order).alias(order)).select(order)
+        if base is not df:  # rows that filters have taken out of ``base`` are no part of it: what stays is asked for
+            stay = materialise(left)
+            out = base.join(F.broadcast(stay) if stay.count() <= SMALL else stay, order, "left_semi")
+        else:
+            out = without(df.filter(F.col(order).isNotNull()), materialise(rows.select(order).join(left, order, "left_anti")), order)
+        return out, out
+
 
 # ---- connected components by star contraction
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(node, root) for every end of ``edges`` (u, v); root: the least node of its component.
+def components(edges: DataFrame) -> DataFrame:
+    """(node, root) for every end of ``edges`` (u, v); root: the least node of its component. Rows with a null end say
+    nothing; self links and repeats change nothing.
 
-    Alternates two steps until nothing moves: all larger neighbours of a node point to its least neighbour, then all
-    smaller ones do. Each step joins with a minimum by key instead of collecting neighbours, so that hubs don't pile up."""
-    e = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct()
+    Two steps alternate until nothing moves: all larger neighbours of a node point to its least neighbour, then all smaller
+    ones do. Each step joins with a minimum by key instead of collecting neighbours, so that hubs don't pile up. The number
+    of rounds grows with the logarithm of the longest path; there is no last round but the one that changes nothing, and
+    every round but that one lessens the sum of all links' ends, so that there is one."""
+    e = edges.filter("u is not null and v is not null").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct()
     e = materialise(e)
     before = None
-    for _ in range(most_rounds):
+    while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))

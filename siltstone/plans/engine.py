@@ -12,15 +12,19 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.operators.extract import html_to_text
 from siltstone.functions.vectorised import per_text
+from siltstone.operators.dedup import DeduplicationStage, FirstByKey
+from siltstone.operators.extract import html_to_text
+from siltstone.operators.filters import RowFilter
 
 Stage = Callable[[DataFrame], DataFrame]
 log = logging.getLogger(__name__)
 
 
 class DataEngine:
-    """Stages one after the other; an engine is itself a stage."""
+    """Stages one after the other; an engine is itself a stage.
+
+    A deduplicator after row filters takes its result from the frame before them, so that they are evaluated once."""
 
     def __init__(self, components: Sequence[Stage] = (), name: str = "DataEngine"):
         self.components, self.name = list(components), name
@@ -30,10 +34,20 @@ class DataEngine:
         return self
 
     def run(self, df: DataFrame) -> DataFrame:
-        for stage in self.components:
-            df = df.transform(stage)
+        base = df  # of which row filters alone have made df
+        for stage in self._stages():
+            if isinstance(stage, (FirstByKey, DeduplicationStage)):
+                df = base = stage(df, base)
+            elif isinstance(stage, RowFilter):
+                df = df.transform(stage)
+            else:
+                df = base = df.transform(stage)
         return df
 
+    def _stages(self) -> list[Stage]:
+        """The stages, those of engines within this one too."""
+        return [s for c in self.components for s in (c._stages() if isinstance(c, DataEngine) else [c])]
+
     __call__ = run
 
     def __repr__(self) -> str:
