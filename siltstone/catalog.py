@@ -239,12 +239,12 @@ SELECT DISTINCT u, v FROM (SELECT u, min(u) OVER (PARTITION BY band, k) AS v FRO
 
 
 def semantic_removal(spark: SparkSession, folder: str) -> DataFrame:
-    return dedup.SemanticDedup(k=32).dropped(table(spark, folder, "vectors"))
+    return dedup.SemanticDedup().dropped(table(spark, folder, "vectors"))
 
 
 def semantic_pairs(spark: SparkSession, folder: str) -> DataFrame:
-    """Components at 0.999 in one part, where every pair meets: exact."""
-    found = dedup.components(dedup.SemanticDedup(k=1, threshold=0.999).pairs(table(spark, folder, "vectors")))
+    """Components at 0.999."""
+    found = dedup.components(dedup.SemanticDedup(threshold=0.999).pairs(table(spark, folder, "vectors")))
     return found.select(F.col("node").alias("uuid"), "root")
 
 

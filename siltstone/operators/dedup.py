@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.functions import text as X
+from siltstone.operators.blocks import Side, block_join, block_pairs, coarse_centres, cosines, product, unit
 from siltstone.session import materialise, spread
 
 # ---- exact, in the order of a column: the first row wins
@@ -285,10 +287,6 @@ def fuzzy_dedupe(df: DataFrame, key: str = "doc_id", text: str = "paragraph_text
 # ---- vectors
 
 
-def _unit(v: np.ndarray) -> np.ndarray:
-    return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
-
-
 def _joined(parent: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
     """Parents (each the least of its tree) after linking u with v."""
     while len(u):
@@ -304,11 +302,12 @@ def _joined(parent: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
 class SemanticDedup:
     """Drops vectors with a cosine of ``threshold`` or more to one that stays.
 
-    Vectors go to their nearest centre and to every other one whose border is so near that a pair at the threshold may lie
-    across it, so that all pairs meet: exact, whatever the centres are. Pairs of all parts form one graph; the least id of
-    each component stays. A part larger than ``tile`` is worked through tile by tile, each pair of tiles in a task of its own."""
+    Exact: a block join compares all groups of at most ``tile`` vectors whose clusters can hold a pair at the threshold. Pairs
+    of all tasks form one graph; the least id of each component stays. ``k``: centres that the vectors are placed by (None: by
+    their number), which only the cost depends on. Null, empty, all-zero vectors, those with null or NaN numbers and those of
+    another length than the commonest take no part and stay."""
 
-    def __init__(self, k: int = 100, threshold: float = 0.95, tile: int = 8192, rounds: int = 25, sample: int = 100_000, seed: int = 1, id_column: str = "uuid", embedding: str = "embedding"):
+    def __init__(self, k: int | None = None, threshold: float = 0.95, tile: int = 200_000, rounds: int = 25, sample: int = 100_000, seed: int = 1, id_column: str = "uuid", embedding: str = "embedding"):
         self.k, self.threshold, self.tile, self.rounds, self.sample, self.seed = k, threshold, tile, rounds, sample, seed
         self.id_column, self.embedding = id_column, embedding
 
@@ -318,71 +317,79 @@ class SemanticDedup:
         return rows.groupBy("id").agg(F.min("vec").alias("vec"))
 
     def train(self, rows: DataFrame) -> np.ndarray:
-        drawn = rows.orderBy(F.xxhash64("id")).limit(self.sample).select("vec").toPandas()
+        """Unit centres by spherical k-means over at most ``sample`` of the rows' vectors."""
+        drawn = rows.select("vec").sample(min(1.0, 1.2 * self.sample / max(1, rows.count())), self.seed).limit(self.sample).toPandas()
         if not len(drawn):
             return np.zeros((0, 1), np.float32)
         size = drawn["vec"].map(len).mode()[0]
-        x = _unit(np.stack([v for v in drawn["vec"] if len(v) == size]).astype(np.float32))
-        rng = np.random.default_rng(self.seed)
-        c = x[rng.choice(len(x), min(self.k, len(x)), replace=False)]
-        for _ in range(self.rounds):
-            near = (x @ c.T).argmax(1)
-            total = np.zeros_like(c)
-            np.add.at(total, near, x)
-            c = np.where(np.abs(total).sum(1, keepdims=True) > 0, _unit(total), c)
-        return c
-
-    def assign(self, rows: DataFrame, centres: np.ndarray) -> DataFrame:
-        """(id, vec, part): a row for the nearest centre and one for each whose border is near.
-
-        Two vectors at the threshold are at most sqrt(2 - 2 threshold) apart. If they have different nearest centres, one of
-        them is within half of that of the plane between the two centres, and meets the other in the other's part."""
+        x = unit(np.stack([v for v in drawn["vec"] if len(v) == size]))
+        return coarse_centres(x, min(self.k or 100, len(x)), self.rounds, self.seed).astype(np.float32)
+
+    def assign(self, rows: DataFrame, centres: np.ndarray, spill: float = 1.0) -> DataFrame:
+        """(id, vec, part, second): for an inverted file, the nearest centre and a second one that makes up for its error: the
+        one with the least |r'|^2 + spill * (r' along r)^2, where r and r' are what the two centres leave of the vector."""
         shared = rows.sparkSession.sparkContext.broadcast(centres)  # k vectors
-        reach = max(0.0, 2 - 2 * self.threshold) ** 0.5 / 2 + 1e-3  # more than what float rounds
 
         @F.pandas_udf("array<int>")
         def parts(vec: pd.Series) -> pd.Series:
             if not len(vec):
                 return pd.Series([], dtype=object)
             c = shared.value
-            x = _unit(np.stack(vec.to_numpy()).astype(np.float32))
+            x = unit(np.stack(vec.to_numpy()))
             cos = x @ c.T
             first = cos.argmax(1)
-            apart = np.linalg.norm(c[:, None] - c[None], axis=2)
-            near = cos[np.arange(len(x)), first][:, None] - cos <= reach * apart[first] + 1e-5  # its own part too
-            return pd.Series([np.flatnonzero(n).tolist() for n in near])
+            left = x - c[first]
+            left /= np.maximum(np.linalg.norm(left, axis=1, keepdims=True), 1e-12)
+            along = np.einsum("ij,ij->i", x, left)[:, None] - left @ c.T
+            loss = 2 - 2 * cos + spill * along**2
+            loss[np.arange(len(x)), first] = np.inf
+            second = loss.argmin(1) if len(c) > 1 else first
+            return pd.Series(np.stack([first, second], 1).tolist())
 
-        return rows.filter(F.size("vec") == centres.shape[1]).select("id", "vec", F.explode(parts("vec")).alias("part"))
+        p = parts("vec")
+        return rows.filter(F.size("vec") == centres.shape[1]).select("id", "vec", p.alias("p")).select("id", "vec", F.col("p")[0].alias("part"), F.col("p")[1].alias("second"))
 
     def pairs(self, df: DataFrame) -> DataFrame:
-        """(u, v), u > v: of every two tiles of a part a spanning forest of the pairs at or above the threshold, never all
-        pairs of a dense group."""
-        rows = self._usable(df)
-        centres = self.train(rows)
-        if not len(centres):
+        """(u, v), u > v: of every task of the block join a spanning forest of the pairs at or above the threshold, never all
+        pairs of a dense group. A vector travels once for every group of ``tile`` rows, however many rows its part has."""
+        rows, kind, threshold = self._usable(df), df.schema[self.id_column].dataType.simpleString(), self.threshold
+        size = rows.groupBy(F.size("vec").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
+        if size is None:
             return rows.select(F.col("id").alias("u"), F.col("id").alias("v")).limit(0)
-        placed = materialise(self.assign(rows, centres))
-        tiles = placed.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / F.lit(self.tile)).cast("int").alias("n"))
-        cut = placed.join(F.broadcast(tiles), "part").withColumn("t", F.pmod(F.xxhash64("id"), F.col("n")).cast("int"))  # a row a centre
-        # tile t meets every tile: its rows go to (t, j) for j >= t and (i, t) for i < t
-        sent = cut.select("id", "vec", "part", "t", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("o"))
-        sent = sent.select("id", "vec", "part", "t", F.least("t", "o").alias("i"), F.greatest("t", "o").alias("j"))
-        kind, threshold = df.schema[self.id_column].dataType.simpleString(), self.threshold
-
-        def near(pdf: pd.DataFrame) -> pd.DataFrame:
-            a, b = pdf[pdf["t"] == pdf["i"]], pdf[pdf["t"] == pdf["j"]]
-            if not len(a) or not len(b):
-                return pd.DataFrame({"u": a["id"].iloc[:0], "v": a["id"].iloc[:0]})
-            x, y = (_unit(np.stack(p["vec"].to_numpy()).astype(np.float32)) for p in (a, b))
-            ids, at = np.unique(np.concatenate([a["id"].to_numpy(), b["id"].to_numpy()]), return_inverse=True)
+        dim = size["d"]
+
+        def as_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                v = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(-1, dim)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in v], pa.binary())], ["id", "vec"])
+
+        vectors = materialise(rows.filter(F.size("vec") == dim).select("id", "vec").mapInArrow(as_bytes, f"id {kind}, vec binary"))
+
+        def work(a: Side, b: Side, same: bool, near) -> pd.DataFrame:
+            ids = a.ids if same else np.concatenate([a.ids, b.ids])
+            ids, at = np.unique(ids, return_inverse=True)
+            beside = 0 if same else len(a.ids)
             parent = np.arange(len(ids))
-            for s in range(0, len(x), 256):
-                r, c = np.nonzero(x[s : s + 256] @ y.T >= threshold)
-                parent = _joined(parent, at[r + s], at[len(x) + c])
+            for x, y, _ in block_pairs(a, b, same, near):
+                for s in range(x.start, x.stop, 512):
+                    cut = slice(s, min(s + 512, x.stop))
+                    cos, e = product(a, cut, b, y)
+                    r, c = np.nonzero(cos >= (threshold - e)[:, None])
+                    if not len(r):
+                        continue
+                    sure = cos[r, c] >= threshold + e[r]
+                    r, c = r + s, c + y.start
+                    parent = _joined(parent, at[r[sure]], at[c[sure] + beside])
+                    r, c = r[~sure], c[~sure]
+                    open_ = parent[at[r]] != parent[at[c + beside]]
+                    r, c = r[open_], c[open_]
+                    true = cosines(a, r, b, c) >= threshold
+                    parent = _joined(parent, at[r[true]], at[c[true] + beside])
             moved = np.flatnonzero(parent != np.arange(len(ids)))
             return pd.DataFrame({"u": ids[moved], "v": ids[parent[moved]]})
 
-        return sent.groupBy("part", "i", "j").applyInPandas(near, f"u {kind}, v {kind}").distinct()
+        angle = float(np.arccos(np.clip(threshold, -1, 1)))
+        return block_join(vectors, dim, angle, work, f"u {kind}, v {kind}", self.sample, self.seed, self.tile * (3 * dim + 8), self.k).distinct()
 
     def dropped(self, df: DataFrame) -> DataFrame:
         return components(self.pairs(df)).filter("node <> root").select(F.col("node").alias(self.id_column))
