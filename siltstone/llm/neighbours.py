@@ -1,198 +1,131 @@
 """Problem 4: the k most similar vectors of every vector.
 
-A block matrix join. Vectors are cut into blocks of one coarse cluster each; block pairs whose clusters cannot hold a
-similar pair (angle between centres less both radii) are left out, which loses nothing. Each remaining pair is a tile:
-an int8 product gives every cosine within a known quantisation error, and only cells that can still be among the best
-k at or above the threshold are computed again in float. Tiles of a row panel share bounded heaps; panels are merged
-by a row number with a limit before the shuffle.
+A block matrix join (siltstone.operators.blocks). Every tile of two blocks is a product of int8 codes, which gives each
+cosine within a known quantisation error; only cells that can still be among the best k of their row or column, at or above
+the threshold, are computed again from the vectors' numbers. A task keeps bounded heaps for the rows of both its groups;
+the heaps of all tasks are merged by a row number with a limit before the shuffle.
 """
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.llm.components import lookup
+from siltstone.operators.blocks import GROUP_BYTES, Side, block_join, block_pairs, cosines, product
 from siltstone.session import materialise
 
 ROWS_AT_ONCE = 512  # rows of a tile held as one product
-PANEL_ROWS = 200_000  # partner rows that one task holds
-
+SMALL = 100_000  # classes or members that are broadcast, at most some tens of MB
 
-def block_rows(total: int) -> int:
-    """Rows of a block: what is moved grows as total^2 / block_rows, what a task holds as block_rows."""
-    return int(min(65_536, max(2_048, 26 * total**0.5)))
 
+def usable_vectors(df: DataFrame, uuid: str, embedding: str, dim: int | None) -> tuple[DataFrame, int]:
+    """((uuid, key, vec), length): rows with a vector of the right length, without null or non-finite numbers, not all zero.
 
-def usable_vectors(df: DataFrame, uuid: str, embedding: str, dim: int | None) -> DataFrame:
-    """(uuid, vec): distinct ids with a vector of the right length, without null or non-finite numbers, not all zero.
-
-    ``dim`` None: the commonest length. Of different vectors under one id the smallest counts."""
-    e = F.col(embedding).cast("array<float>")
-    rows = df.select(F.col(uuid).cast("string").alias("uuid"), e.alias("vec")).filter("uuid is not null and size(vec) > 0")
+    ``dim`` None: the commonest length. vec: its float32 numbers; key: the order of its first four numbers and its MD5."""
+    rows = df.select(F.col(uuid).cast("string").alias("uuid"), F.col(embedding).cast("array<float>").alias("vec")).filter("uuid is not null and size(vec) > 0")
     if dim is None:
         top = rows.groupBy(F.size("vec").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
-        dim = top["d"] if top else 0
-    fine = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(3e38))) & F.exists("vec", lambda x: x != 0)
-    return rows.filter((F.size("vec") == dim) & fine).groupBy("uuid").agg(F.min("vec").alias("vec"))
-
-
-def _unit(v: np.ndarray) -> np.ndarray:
-    return (v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32)
-
-
-def coarse_centres(sample: np.ndarray, k: int, rounds: int = 8, seed: int = 7) -> np.ndarray:
-    """Spherical k-means over a sample of unit vectors; only the cost of the join depends on it, never its result."""
-    rng = np.random.default_rng(seed)
-    k = max(1, min(k, len(sample)))
-    centres = sample[rng.choice(len(sample), 1)]
-    best = sample @ centres[0]
-    while len(centres) < k:  # far points first, so that small groups get a centre too
-        p = np.maximum(1 - best, 0) ** 2 + 1e-9
-        nxt = sample[rng.choice(len(sample), max(1, k // 16), p=p / p.sum())]
-        centres = np.concatenate([centres, nxt])[:k]
-        best = np.maximum(best, (sample @ nxt.T).max(1))
-    for _ in range(rounds):
-        near = np.concatenate([(sample[i : i + 8192] @ centres.T).argmax(1) for i in range(0, len(sample), 8192)])
-        total = np.zeros_like(centres)
-        np.add.at(total, near, sample)
-        norm = np.linalg.norm(total, axis=1, keepdims=True)
-        centres = np.where(norm > 0, total / np.maximum(norm, 1e-12), centres).astype(np.float32)
-    return centres
-
-
-def quantise(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """int8 codes, their scales and the length of what they miss, of unit vectors."""
-    scale = np.abs(v).max(1) / 127
-    codes = np.rint(v / scale[:, None]).astype(np.int8)
-    return codes, scale.astype(np.float32), np.linalg.norm(v - codes * scale[:, None], axis=1).astype(np.float32) + np.float32(1e-6)
+        dim = top["d"] if top else 1
+
+    def as_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            v = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(-1, dim) + np.float32(0)  # no -0
+            fine = np.flatnonzero((np.abs(v) < 3e38).all(1) & (v != 0).any(1))
+            v = v[fine]
+            bits = v[:, :4].copy().view(np.uint32)
+            head = np.where(bits >> 31, ~bits, bits | np.uint32(1 << 31)).astype(">u4")
+            raw = [x.tobytes() for x in v]
+            key = [h.tobytes() + hashlib.md5(x).digest() for h, x in zip(head, raw)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(fine)), pa.array(key, pa.binary()), pa.array(raw, pa.binary())], ["uuid", "key", "vec"])
+
+    return rows.filter(F.size("vec") == dim).mapInArrow(as_bytes, "uuid string, key binary, vec binary"), dim
 
 
 class Heaps:
-    """The best k partners of each row of a panel, over any number of tiles."""
+    """The best k partners of each row of a side, over any number of tiles. Partners are numbers in the order of their ids."""
 
     def __init__(self, n: int, k: int):
         self.k, self.n = k, n
-        self.sim = np.full((n, k), -2, np.float32)
-        self.who = np.full((n, k), "", object)
-
-    def floor(self, rows: slice) -> np.ndarray:
-        return self.sim[rows].min(1)
+        self.sim = np.full((n, k), -2.0)
+        self.who = np.full((n, k), -1, np.int64)
+        self.floor = np.full(n, -2.0)
 
     def push(self, rows: np.ndarray, who: np.ndarray, sim: np.ndarray) -> None:
         """Merge candidates into the rows' heaps; ties go to the smaller id."""
         touched = np.unique(rows)
-        keep = np.zeros(self.n, bool)
-        keep[touched] = True
         r = np.concatenate([np.repeat(touched, self.k), rows])
         w = np.concatenate([self.who[touched].ravel(), who])
         s = np.concatenate([self.sim[touched].ravel(), sim])
-        order = np.lexsort((w.astype(str), -s, r))
+        order = np.lexsort((w, -s, r))
         r, w, s = r[order], w[order], s[order]
-        first = np.r_[True, r[1:] != r[:-1]]
-        start = np.flatnonzero(first)
+        start = np.flatnonzero(np.r_[True, r[1:] != r[:-1]])
         place = np.arange(len(r)) - np.repeat(start, np.diff(np.r_[start, len(r)]))
         top = place < self.k
-        self.sim[touched], self.who[touched] = -2, ""
         self.sim[r[top], place[top]], self.who[r[top], place[top]] = s[top], w[top]
-
-
-def tile(a: np.ndarray, qa: tuple, b: np.ndarray, qb: tuple, floor: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, column, cosine) of the cells of a x b that can be among the best k of their row and reach ``least``.
-
-    The int8 codes are multiplied in float32, where BLAS is fastest and their products are exact up to scale; the
-    difference from the true cosine is at most e_a + (1 + e_a) e_b, with the e of each row what its code misses."""
-    low = np.maximum(floor, np.float32(least))
-    err = qa[2] + (1 + qa[2]) * qb[2].max() + np.float32(1e-5)
-    near = (qa[0].astype(np.float32) * qa[1][:, None]) @ (qb[0].astype(np.float32) * qb[1][:, None]).T
-    rows, cols = np.nonzero(near >= (low - err)[:, None])
-    if len(rows) > 4 * k * len(a):  # many cells pass: keep those that can reach the k-th surest of their row
-        if near.shape[1] > k:
-            low = np.maximum(low, np.partition(near, -k, axis=1)[:, -k] - err)
-            rows, cols = np.nonzero(near >= (low - err)[:, None])
-    sim = np.empty(len(rows), np.float32)
-    for i in range(0, len(rows), 200_000):
-        s = slice(i, i + 200_000)
-        sim[s] = np.einsum("ij,ij->i", a[rows[s]].astype(np.float64), b[cols[s]].astype(np.float64))
-    good = sim >= low[rows]
-    return rows[good], cols[good], sim[good]
-
-
-def knn_classes(classes: DataFrame, k: int, least: float, sample: int, seed: int) -> DataFrame:
-    """(cid, other, sim): of every class vector the best k others (itself left out) with a cosine of at least ``least``."""
-    spark = classes.sparkSession
-    total = classes.count()
-    if not total:
-        return classes.select("cid", F.col("cid").alias("other"), F.lit(0.0).cast("float").alias("sim"))
-    block = block_rows(total)
-    share = min(1.0, 1.2 * sample / total)
-    drawn = classes.select("vec").sample(share, seed).limit(sample).toPandas() if share < 1 else classes.select("vec").limit(sample).toPandas()
-    centre = coarse_centres(_unit(np.stack(drawn["vec"].to_numpy()).astype(np.float64)), min(4096, -(-total // block)), seed=seed)
-    shared = spark.sparkContext.broadcast(centre)  # at most 4096 vectors
-    dim = centre.shape[1]
-
-    @F.pandas_udf("struct<part int, off float>")
-    def assign(vec: pd.Series) -> pd.DataFrame:
-        if not len(vec):
-            return pd.DataFrame({"part": pd.Series(dtype="int32"), "off": pd.Series(dtype="float32")})
-        cos = _unit(np.stack(vec.to_numpy()).astype(np.float64)) @ shared.value.T
-        part = cos.argmax(1)
-        off = np.arccos(np.clip(cos[np.arange(len(part)), part], -1, 1))
-        return pd.DataFrame({"part": part.astype("int32"), "off": off.astype("float32")})
-
-    placed = materialise(classes.withColumn("at", assign("vec")).select("cid", "vec", "at.part", "at.off"))
-    size = placed.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.max("off").alias("radius")).toPandas()  # a row a centre
-    part, chunks, radius = size["part"].to_numpy(), -(-size["n"].to_numpy() // block), size["radius"].to_numpy()
-    angle = np.arccos(np.clip(centre[part] @ centre[part].T, -1, 1))
-    # two vectors are at least this far apart; 0.002 covers the rounding of arccos near 1
-    gap = angle - radius[:, None] - radius[None, :] - 0.002
-    i, j = np.nonzero(gap <= np.arccos(min(1.0, max(-1.0, least))))
-    pairs = spark.createDataFrame(pd.DataFrame({"pa": part[i], "na": chunks[i], "pb": part[j], "nb": chunks[j]}).astype("int32"))
-    per_part = spark.createDataFrame(pd.DataFrame({"part": part, "chunks": chunks}).astype("int32"))
-    blocks = placed.join(F.broadcast(per_part), "part").withColumn("chunk", F.pmod(F.xxhash64("cid"), F.col("chunks")).cast("int"))
-
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        v = _unit(np.stack(pdf["vec"].to_numpy()).astype(np.float64))
-        return pd.DataFrame({"part": pdf["part"].iloc[:1], "chunk": pdf["chunk"].iloc[:1], "ids": ["\n".join(pdf["cid"])], "m": [v.tobytes()]})
-
-    packed = materialise(blocks.select("part", "chunk", "cid", "vec").groupBy("part", "chunk").applyInPandas(pack, "part int, chunk int, ids string, m binary"))
-    nth = F.row_number().over(Window.partitionBy("pa", "ca").orderBy("pb", "cb")) - 1
-    tiles = (
-        pairs.withColumn("ca", F.explode(F.sequence(F.lit(0), F.col("na") - 1)))
-        .withColumn("cb", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-        .withColumn("panel", F.floor(nth / max(1, PANEL_ROWS // block)).cast("int"))
-        .select("pa", "ca", "pb", "cb", "panel")
-    )
-    tiles = materialise(tiles)
-    left = tiles.select("pa", "ca", "panel").distinct().join(packed.select(F.col("part").alias("pa"), F.col("chunk").alias("ca"), "ids", "m"), ["pa", "ca"])
-    fresh = [F.col(c).alias(c) for c in tiles.columns]  # else both sides of the cogroup share their columns' ids
-    right = tiles.select(*fresh).join(packed.select(F.col("part").alias("pb"), F.col("chunk").alias("cb"), F.col("ids").alias("b_ids"), F.col("m").alias("b_m")), ["pb", "cb"])
-
-    def panel(own: pd.DataFrame, partners: pd.DataFrame) -> pd.DataFrame:
-        a = np.frombuffer(own["m"].iloc[0], np.float32).reshape(-1, dim)
-        a_ids = np.array(own["ids"].iloc[0].split("\n"), object)
-        qa, heaps = quantise(a), Heaps(len(a), k)
-        same = (partners["pb"] == own["pa"].iloc[0]).to_numpy()
-        for at in np.argsort(~same, kind="stable"):  # near blocks first: their rows raise the heaps' floors
-            b = np.frombuffer(partners["b_m"].iloc[at], np.float32).reshape(-1, dim)
-            b_ids = np.array(partners["b_ids"].iloc[at].split("\n"), object)
-            qb = quantise(b)
-            for i in range(0, len(a), ROWS_AT_ONCE):
-                cut = slice(i, i + ROWS_AT_ONCE)
-                r, c, s = tile(a[cut], tuple(q[cut] for q in qa), b, qb, heaps.floor(cut), k + 1, least)
-                r = r + i
-                other = a_ids[r] != b_ids[c]
-                if other.any():
-                    heaps.push(r[other], b_ids[c[other]], s[other])
-        r, c = np.nonzero(heaps.sim > -2)
-        return pd.DataFrame({"cid": a_ids[r], "other": heaps.who[r, c], "sim": heaps.sim[r, c]})
-
-    keys = ["pa", "ca", "panel"]
-    best = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(panel, "cid string, other string, sim float")
-    rank = F.row_number().over(Window.partitionBy("cid").orderBy(F.desc("sim"), "other"))
-    return best.withColumn("rank", rank).filter(F.col("rank") <= k).drop("rank")
+        self.floor[touched] = self.sim[touched, -1]
+
+
+def _open(near: np.ndarray, low: np.ndarray, err: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The cells of a tile that can be among the best k of their row and reach ``low``."""
+    if near.shape[1] > k:  # at most what reaches the k-th surest of the row
+        low = np.maximum(low, np.partition(near, -k, axis=1)[:, -k] - err)
+    return np.nonzero(near >= (low - err)[:, None])
+
+
+def tile(a: Side, x: slice, b: Side, y: slice, own: np.ndarray, other: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, column, cosine) of the cells of two blocks that can be among the best k of their row (floors ``own``) or of their
+    column (floors ``other``) and reach ``least``."""
+    near, err = product(a, x, b, y)
+    low, high = np.maximum(own, least), np.maximum(other, least)
+    r, c = np.nonzero(near >= min(low.min(), high.min()) - err.max())
+    if len(r) > 4 * k * sum(near.shape):  # many cells pass: keep those that can reach the k-th surest of their row or column
+        flat = np.union1d(*(np.ravel_multi_index(at, near.shape) for at in (_open(near, low, err, k), _open(near.T, high, np.full(near.shape[1], err.max(), err.dtype), k)[::-1])))
+        r, c = np.unravel_index(flat, near.shape)
+    good = near[r, c] >= np.minimum(low[r], high[c]) - err[r]
+    r, c = r[good] + x.start, c[good] + y.start
+    sim = cosines(a, r, b, c)
+    good = sim >= np.minimum(low[r - x.start], high[c - y.start])
+    return r[good], c[good], sim[good]
+
+
+def knn_classes(classes: DataFrame, dim: int, k: int, least: float, sample: int, seed: int, group_bytes: int = GROUP_BYTES) -> DataFrame:
+    """(cid, other, sim): of every vector of ``classes`` (id, vec) the best k others (itself left out) with a cosine of at least
+    ``least`` within each task; the best k of all are among them."""
+
+    def work(a: Side, b: Side, same: bool, near) -> pd.DataFrame:
+        ids = a.ids if same else np.concatenate([a.ids, b.ids])
+        order = np.argsort(ids.astype(str), kind="stable")
+        place = np.empty(len(ids), np.int64)
+        place[order] = np.arange(len(ids))
+        at_b = place if same else place[len(a.ids) :]
+        ha = Heaps(len(a.ids), k)
+        hb = ha if same else Heaps(len(b.ids), k)
+        for x, y, diagonal in sorted(block_pairs(a, b, same, near), key=lambda t: not t[2]):  # near blocks first: they raise the floors
+            for s in range(x.start, x.stop, ROWS_AT_ONCE):
+                cut = slice(s, min(s + ROWS_AT_ONCE, x.stop))
+                r, c, sim = tile(a, cut, b, y, ha.floor[cut], hb.floor[y], k + 1, least)
+                if same:
+                    r, c, sim = (z[r != c] for z in (r, c, sim))
+                if len(r):
+                    ha.push(r, at_b[c], sim)
+                    if not diagonal:  # a block with itself holds both ways already
+                        hb.push(c, place[: len(a.ids)][r], sim)
+        named = ids[order]
+        out = []
+        for h, own in ((ha, a.ids), (hb, b.ids))[: 1 if same else 2]:
+            r, c = np.nonzero(h.sim >= max(least, -1.5))
+            out.append(pd.DataFrame({"cid": own[r], "other": named[h.who[r, c]], "sim": h.sim[r, c].astype(np.float32)}))
+        return pd.concat(out)
+
+    angle = float(np.arccos(min(1.0, max(-1.0, least))))
+    return block_join(classes.select("id", "vec"), dim, angle, work, "cid string, other string, sim float", sample, seed, group_bytes)
 
 
 def most_similar(
@@ -204,28 +137,43 @@ def most_similar(
     dim: int | None = None,
     sample: int = 20_000,
     seed: int = 7,
+    group_bytes: int = GROUP_BYTES,
 ) -> DataFrame:
     """One row (uuid, other, sim, rank) for each of the ``k`` most similar other vectors, at ``least`` cosine or more.
 
     Exact: no row or partner is dropped or sampled; only the centres, which group rows into blocks, are fitted on
     ``sample`` rows. Null, empty, all-zero, non-finite vectors and vectors of another length than ``dim`` (None: the
     commonest) take no part. Equal vectors under several ids are joined once, as a class; each class shows its k + 1
-    smallest ids, of which every other row can need no more. Ties go to the smaller id. A repeated row counts once.
+    smallest ids, of which every other row can need no more. Ties go to the smaller id. A repeated row counts once; of
+    different vectors under one id the one with the smallest first numbers counts. ``group_bytes``: of the vectors that
+    one side of a task holds.
     """
-    rows = usable_vectors(df, uuid, embedding, dim)
+    rows, dim = usable_vectors(df, uuid, embedding, dim)
     rows = materialise(rows)
-    shown = F.row_number().over(Window.partitionBy("vec").orderBy("uuid"))
-    targets = rows.withColumn("nth", shown).filter(F.col("nth") <= k + 1)
-    targets = materialise(targets.withColumn("cid", F.min("uuid").over(Window.partitionBy("vec"))))
-    classes = targets.filter("nth = 1").select("cid", "vec")
-    near = knn_classes(classes, k, least, sample, seed)
-    own = targets.select("cid", F.col("uuid").alias("other"), F.lit(1.0).cast("float").alias("sim"), F.lit(0).alias("away"))
-    theirs = near.join(targets.select(F.col("cid").alias("other"), "uuid"), "other").select("cid", F.col("uuid").alias("other"), "sim", F.lit(1).alias("away"))
+    members = materialise(rows.select("uuid", "key").groupBy("uuid").agg(F.min("key").alias("key")))
+    named = members.groupBy("key").agg(F.min("uuid").alias("id"), F.count(F.lit(1)).alias("n"))
+    classes = materialise(rows.groupBy("key").agg(F.first("vec").alias("vec")).join(named, "key"))
+    near = knn_classes(classes, dim, k, least, sample, seed, group_bytes)
+
+    many = materialise(classes.filter("n > 1").select("key", F.col("id").alias("cid")))  # classes of several ids
+    few = many.count() <= SMALL
+    inside = members.join(F.broadcast(many), "key").select("uuid", "cid") if few else lookup(members, "key", many).filter("cid is not null").select("uuid", "cid")
+    inside = materialise(inside)
+    nth = F.row_number().over(Window.partitionBy("cid").orderBy("uuid"))
+    shown = inside.withColumn("nth", nth).filter(F.col("nth") <= k + 1)
+    lists = materialise(shown.groupBy("cid").agg(F.array_sort(F.collect_list("uuid")).alias("all")))  # k + 1 ids at most
+    sized = (lambda d: F.broadcast(d)) if few else (lambda d: d)
+    theirs = near.join(sized(lists.withColumnRenamed("cid", "other")), "other", "left").select("cid", F.explode(F.coalesce("all", F.array("other"))).alias("other"), "sim", F.lit(1).alias("away"))
+    own = lists.select("cid", F.explode("all").alias("other"), F.lit(1.0).cast("float").alias("sim"), F.lit(0).alias("away"))
     order = F.row_number().over(Window.partitionBy("cid").orderBy("away", F.desc("sim"), "other"))
-    best = own.unionByName(theirs).withColumn("o", order).filter(F.col("o") <= k + 1)
-    lists = best.groupBy("cid").agg(F.array_sort(F.collect_list(F.struct("o", "other", "sim"))).alias("best"))  # k + 1 entries
-    member = lookup(rows, "vec", classes.select(F.col("vec").alias("key"), "cid")).select("uuid", "cid")
-    out = lookup(member, "cid", lists.withColumnRenamed("cid", "key"))
+    ranked = own.unionByName(theirs).withColumn("rank", order).filter(F.col("rank") <= k + 1)
+    best = ranked.groupBy("cid").agg(F.array_sort(F.collect_list(F.struct("rank", "other", "sim"))).alias("best"))  # k + 1 entries
+    if few and inside.count() <= SMALL:
+        out = best.join(F.broadcast(inside), "cid", "left").select(F.coalesce("uuid", "cid").alias("uuid"), "best")
+    else:
+        best = materialise(best)
+        single = best.join(lists.select("cid"), "cid", "left_anti").select(F.col("cid").alias("uuid"), "best")
+        out = single.unionByName(lookup(inside, "cid", best.withColumnRenamed("cid", "key")).select("uuid", "best"))
     out = out.withColumn("best", F.slice(F.filter("best", lambda x: x["other"] != F.col("uuid")), 1, k))
     out = out.select("uuid", F.posexplode("best").alias("at", "b"))
     return out.select("uuid", F.col("b.other").alias("other"), F.col("b.sim").alias("sim"), (F.col("at") + 1).alias("rank")).filter(F.col("sim") >= least)

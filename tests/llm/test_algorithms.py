@@ -3,10 +3,12 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from siltstone.llm import components, leakage, mixture, neighbours
 from siltstone.llm.tokens import count_tokens
+from siltstone.operators import blocks
 
 
 def union_find(pairs):
@@ -68,8 +70,7 @@ def vector_rows(seed=1, copies=0):
 
 @pytest.mark.parametrize("least", [0.5, 0.9, -1.0])
 def test_neighbours_exact(spark, least, monkeypatch):
-    monkeypatch.setattr(neighbours, "block_rows", lambda n: 40)
-    monkeypatch.setattr(neighbours, "PANEL_ROWS", 90)
+    monkeypatch.setattr(blocks, "ROWS", 40)
     v = vector_rows()
     rows = [(i, [float(x) for x in e], 1) for i, e in v.items()]
     rows += rows[:9] + [("n", None, 1), ("e", [], 1), ("z", [0.0] * 12, 1), ("s", [1.0] * 6, 1), (None, [1.0] * 12, 1), ("nan", [float("nan")] * 12, 1)]
@@ -92,10 +93,18 @@ def test_equal_vectors(spark):
 
 def test_quantised_bound():
     rng = np.random.default_rng(0)
-    a, b = (neighbours._unit(rng.normal(size=(50, 64))) for _ in "ab")
-    qa, qb = neighbours.quantise(a), neighbours.quantise(b)
-    near = (qa[0] * qa[1][:, None]) @ (qb[0] * qb[1][:, None]).T
-    assert (np.abs(near - a @ b.T) <= qa[2][:, None] + (1 + qa[2][:, None]) * qb[2][None]).all()
+    a, b = (blocks.unit(rng.normal(size=(50, 64))) for _ in "ab")
+
+    def side(v):
+        codes, rest, scale = blocks.quantise(v)
+        return blocks.Side(pd.DataFrame({"part": [0], "ids": [list(range(len(v)))], "codes": [codes.tobytes()], "rest": [rest.tobytes()], "scale": [scale.tobytes()]}), 64)
+
+    sa, sb = side(a), side(b)
+    near, off = blocks.product(sa, slice(0, 50), sb, slice(0, 50))
+    assert (np.abs(near - a @ b.T) <= off[:, None]).all()
+    whole = sa.codes.astype(int) @ sb.codes.astype(int).T
+    assert (whole == (sa.number @ sb.number.T)).all()
+    assert np.abs(sa.vectors(np.arange(50)) - a).max() < 1e-7
 
 
 W = [f"wort{i}" for i in range(400)]
