@@ -19,7 +19,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.session import spread
@@ -121,35 +121,49 @@ def block_md5(text: str) -> str:
 _HEADS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
+def _numberless(text: str) -> str:
+    return re.sub(r"\d[\d.,]*", "#", text)
+
+
 def _shape(text: str) -> str:
     """The text without numbers and names, under which furniture of different pages is the same."""
     return re.sub(r"\b[A-ZÀ-Þ][\w’'-]*", "N", re.sub(r"\d[\d.,]*", "#", text[:1].lower() + text[1:]))
 
 
 class Teacher:
-    """Labels from what a sample of pages has in common."""
+    """Labels from what a sample of pages has in common: furniture is what several addresses of one host show, or pages of
+    several hosts. ``places``: the host and the address of each page; fetches of one address count once."""
 
-    def __init__(self, pages: list[tuple[str, list[Block]]]):
-        same, alike = defaultdict(set), defaultdict(set)
+    def __init__(self, pages: list[tuple[str, list[Block]]], places: list[tuple[str, str]] | None = None):
+        self.places = places or [("", str(i)) for i in range(len(pages))]
+        same, alike = defaultdict(set), defaultdict(set)  # pages by text, in all hosts and in each
+        own, addresses = defaultdict(set), defaultdict(set)
         for i, (title, bs) in enumerate(pages):
+            host, address = self.places[i]
+            addresses[host].add(address)
             for b in bs:
                 if b.text != title:
-                    same[re.sub(r"\d[\d.,]*", "#", b.text)].add(i)
-                    alike[_shape(b.text)].add(i)
-        n = max(1, len(pages))
+                    key = _numberless(b.text)
+                    same[key].add(self.places[i])
+                    own[host, key].add(address)
+                    alike[_shape(b.text)].add(self.places[i])
+        n = max(1, sum(map(len, addresses.values())))
         self.same = {t: len(p) / n for t, p in same.items() if len(p) >= max(3, 0.004 * n)}
         self.alike = {t: len(p) / n for t, p in alike.items() if len(p) >= max(4, 0.01 * n) and t.count("N") <= 0.2 * len(t.split())}
+        self.own = {k: len(p) / len(addresses[k[0]]) for k, p in own.items() if k[0] and len(p) >= 3}
 
-    def common(self, b: Block) -> bool:
+    def common(self, b: Block, host: str = "") -> bool:
         """Whether the block is on many pages; items and cells, which are short, have to be on more."""
-        share = max(self.same.get(re.sub(r"\d[\d.,]*", "#", b.text), 0), self.alike.get(_shape(b.text), 0))
-        return share > (0.05 if b.link < 0.5 and len(b.text.split()) <= 6 and b.path and b.path[-1].partition(".")[0] in ("li", "td", "th", "tr", "dd", "dt") else 0)
+        key = _numberless(b.text)
+        share = max(self.same.get(key, 0), self.alike.get(_shape(b.text), 0))
+        short = b.link < 0.5 and len(b.text.split()) <= 6 and b.path and b.path[-1].partition(".")[0] in ("li", "td", "th", "tr", "dd", "dt")
+        return share > (0.05 if short else 0) or self.own.get((host, key), 0) >= (0.5 if short else 0.2)
 
-    def label(self, title: str, bs: list[Block]) -> np.ndarray:
+    def label(self, title: str, bs: list[Block], host: str = "") -> np.ndarray:
         y = np.zeros(len(bs), np.int8)
         heads = [i for i, b in enumerate(bs) if title and b.text == title and b.link < 0.5]
         if not heads:
-            heads = [i for i, b in enumerate(bs) if b.path and b.path[-1].split(".")[0] in ("h1", "h2") and not self.common(b) and b.link < 0.5][:1]
+            heads = [i for i, b in enumerate(bs) if b.path and b.path[-1].split(".")[0] in ("h1", "h2") and not self.common(b, host) and b.link < 0.5][:1]
         if not heads:
             return y
         # of several places with the headline, the one with most plain text after it in the same element
@@ -158,7 +172,7 @@ class Teacher:
             for depth in range(len(bs[h].ids) - 1, -1, -1):
                 e = bs[h].ids[depth]
                 inside = [j for j in range(h + 1, len(bs)) if e in bs[j].ids]
-                size = sum(len(bs[j].text) for j in inside if bs[j].link < 0.5 and not self.common(bs[j]))
+                size = sum(len(bs[j].text) for j in inside if bs[j].link < 0.5 and not self.common(bs[j], host))
                 if size >= 40:
                     if size > best or start < 0:
                         best, start, scope = size, h, e
@@ -174,7 +188,7 @@ class Teacher:
             if skip and skip in b.ids:
                 continue
             skip = 0
-            if self.common(b):
+            if self.common(b, host):
                 if b.path and b.path[-1].split(".")[0] in _HEADS and len(b.ids) >= 2 and b.ids[-2] != scope and b.ids[-2] not in bs[start].ids:
                     skip = b.ids[-2]
                 continue
@@ -186,6 +200,7 @@ class Teacher:
 
 WORDS, TAGS, DENSE = 4096, 1024, 10
 EMB, EMT, HIDDEN = 24, 16, 32
+LONGEST, LARGEST = 600, 500_000  # blocks and characters of the longest page to train on; all pages are labelled
 
 
 def _hash(x: str, size: int) -> int:
@@ -198,26 +213,30 @@ def _word_key(w: str) -> int:
 
 
 def _text(text: str) -> tuple[float, np.ndarray, frozenset, bool, float]:
-    """Share of 40 words, keys of words and of the first pairs of words, distinct words, whether it ends as a sentence,
-    share of digits."""
+    """Share of 40 words, keys of words and of pairs of words, distinct words, whether it ends as a sentence, share of digits."""
     w = _WORD.findall(text.lower())
-    own = frozenset(w)
-    keys = set(map(_word_key, own))
-    keys.update(map(_word_key, map("_".join, zip(w[:12], w[1:13]))))
-    if w:
-        keys.add(_word_key("first:" + w[0]))
+    keys = np.fromiter(map(_word_key, w), np.int64, len(w))
+    keys = np.unique(np.concatenate([keys, (keys[:-1] * 1_009 + keys[1:] * 9_176 + 77) % WORDS, [_word_key("first:" + w[0]) if w else 0]]))
     ended = bool(_ENDED.search(text, max(0, len(text) - 4)))
-    return min(1.0, len(w) / 40), np.fromiter(keys or {0}, np.int32), own, ended, min(1.0, len(_DIGIT.findall(text)) / len(text) * 4)
+    return min(1.0, len(w) / 40), keys.astype(np.int32), frozenset(w), ended, min(1.0, len(_DIGIT.findall(text)) / len(text) * 4)
 
 
 _short = lru_cache(100_000)(_text)  # menus and link lists say the same on page after page
 
 
-@lru_cache(50_000)
+@lru_cache(100_000)
+def _step_keys(step: str, up: int) -> tuple[int, ...]:
+    """Keys of an element of a path ``up`` steps above the text: its tag at that height, its classes and ids at any."""
+    tag, _, names = step.partition(".")
+    return (_hash(f"{up}:{tag}", TAGS), *(_hash(f"c:{x}", TAGS) for x in names.lower().split()))
+
+
+@lru_cache(100_000)
 def _tag_keys(path: tuple[str, ...], inner: frozenset) -> np.ndarray:
-    last = [p.partition(".") for p in path]
-    t = {f"{d}:{last[-d][0]}" for d in range(1, len(last) + 1)} | {f"c:{x}" for _, _, c in last[-4:] for x in c.lower().split()} | {"in:" + x for x in inner} | {">".join(x for x, _, _ in last[-3:])}
-    return np.fromiter({_hash(x, TAGS) for x in t}, np.int32)
+    """Keys of the whole path, of the last three tags together and of the tags within the text."""
+    t = {k for up, step in enumerate(reversed(path), 1) for k in _step_keys(step, up)}
+    t |= {_hash("in:" + x, TAGS) for x in inner} | {_hash(">".join(x.partition(".")[0] for x in path[-3:]), TAGS)}
+    return np.fromiter(t, np.int32)
 
 
 def features(title: str, bs: list[Block]) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
@@ -229,7 +248,7 @@ def features(title: str, bs: list[Block]) -> tuple[list[np.ndarray], list[np.nda
         path, size = b.path, len(b.text)
         w, keys, own, ended, digits = _short(b.text) if size <= 120 else _text(b.text)
         ws.append(keys)
-        ts.append(_tag_keys(path[-5:], b.tags))
+        ts.append(_tag_keys(path, b.tags))
         like = len(own & in_title) / len(own) if own else 0.0
         dense.append((b.link, w, min(1.0, size / 400), b.text == title, like, i / n, len(path) / 12, ended, path == before, digits))
         before = path
@@ -350,7 +369,7 @@ class Labeller:
 
     def fit(self, pages: list, labels: list[np.ndarray], rounds: int = 10, size: int = 64, rate: float = 0.006, seed: int = 2) -> Labeller:
         rng = np.random.default_rng(seed)
-        keep = [i for i, x in enumerate(pages) if 0 < len(x[2]) <= 600]
+        keep = [i for i, x in enumerate(pages) if 0 < len(x[2]) <= LONGEST]
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         s = {k: np.zeros_like(v) for k, v in self.p.items()}
         step = 0
@@ -389,23 +408,36 @@ class Labeller:
         return out
 
 
-def train(pages: list[str]) -> Labeller:
-    """The labeller from sample pages, by way of the teacher."""
-    parsed = [blocks(x) for x in dict.fromkeys(pages)]
-    teacher = Teacher(parsed)
-    return Labeller().fit([features(*x) for x in parsed], [teacher.label(*x) for x in parsed])
+def train(pages: list[str], places: list[tuple[str, str]] | None = None) -> Labeller:
+    """The labeller from sample pages, by way of the teacher. ``places``: their hosts and addresses."""
+    first = {x: i for i, x in reversed(list(enumerate(pages)))}
+    kept = sorted(first.values())
+    parsed = [blocks(pages[i]) for i in kept]
+    teacher = Teacher(parsed, [places[i] for i in kept] if places else None)
+    return Labeller().fit([features(*x) for x in parsed], [teacher.label(*x, host) for x, (host, _) in zip(parsed, teacher.places)])
+
+
+def sample_pages(df: DataFrame, record_id: str, page: str, uri: str, sample: int, each: int = 8) -> pd.DataFrame:
+    """(i, h, host, u): at most ``sample`` pages for training, of hosts chosen by a hash: ``each`` pages of sample / each hosts,
+    and more of the same hosts where there aren't as many. The pages' text is read for those alone that are chosen."""
+    host = F.lower(F.regexp_extract(F.coalesce(F.col(uri).cast("string"), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#]*@)?([^/:?#]*)", 1))
+    rows = df.select(F.col(record_id).cast("string").alias("i"), host.alias("host"), F.coalesce(F.col(uri).cast("string"), F.lit("")).alias("u")).filter("i is not null")
+    nth = F.row_number().over(Window.partitionBy("host").orderBy(F.xxhash64("i"), "i"))
+    near = rows.distinct().withColumn("nth", nth).filter(F.col("nth") <= sample)
+    chosen = near.orderBy(F.floor((F.col("nth") - 1) / each), F.xxhash64("host"), "host", "nth").limit(sample)
+    text = df.select(F.col(record_id).cast("string").alias("i"), F.col(page).cast("string").alias("h")).filter(f"h is not null and length(h) between 1 and {LARGEST}")
+    return text.join(F.broadcast(chosen), "i").groupBy("i").agg(F.min("h").alias("h"), F.min("host").alias("host"), F.min("u").alias("u")).orderBy("i").toPandas()  # sample rows
 
 
-def fit(df: DataFrame, record_id: str = "warc_record_id", page: str = "html", sample: int = 1200) -> Labeller:
-    """The labeller from at most ``sample`` pages, chosen by a hash of their record's id."""
-    ids = df.select(F.col(record_id).cast("string").alias("i")).filter("i is not null").distinct().orderBy(F.xxhash64("i"), "i").limit(sample)
-    rows = df.select(F.col(record_id).cast("string").alias("i"), F.col(page).cast("string").alias("h")).filter("h is not null and length(h) between 1 and 500000")
-    got = rows.join(F.broadcast(ids), "i").groupBy("i").agg(F.min("h").alias("h")).orderBy("i").toPandas()  # sample rows
-    return train(got["h"].tolist())
+def fit(df: DataFrame, record_id: str = "warc_record_id", page: str = "html", uri: str = "warc_target_uri", sample: int = 1200) -> Labeller:
+    """The labeller from at most ``sample`` pages, several of each of some hosts. Pages of more than LARGEST characters or
+    LONGEST blocks aren't trained on."""
+    got = sample_pages(df, record_id, page, uri, sample)
+    return train(got["h"].tolist(), list(zip(got["host"], got["u"])))
 
 
-def _labelled(df: DataFrame, model: Labeller | None, record_id: str, page: str, sample: int, schema: str, rows_of) -> DataFrame:
-    shared = df.sparkSession.sparkContext.broadcast(model or fit(df, record_id, page, sample))  # weights of fixed size
+def _labelled(df: DataFrame, model: Labeller | None, record_id: str, page: str, uri: str, sample: int, schema: str, rows_of) -> DataFrame:
+    shared = df.sparkSession.sparkContext.broadcast(model or fit(df, record_id, page, uri, sample))  # weights of fixed size
     names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -420,16 +452,16 @@ def _labelled(df: DataFrame, model: Labeller | None, record_id: str, page: str,
     return spread(rows).mapInPandas(run, schema)
 
 
-def main_blocks(df: DataFrame, model: Labeller | None = None, record_id: str = "warc_record_id", page: str = "html", sample: int = 1200) -> DataFrame:
+def main_blocks(df: DataFrame, model: Labeller | None = None, record_id: str = "warc_record_id", page: str = "html", uri: str = "warc_target_uri", sample: int = 1200) -> DataFrame:
     """(warc_record_id, block_md5) of every block of a page's main body, each once.
 
     Null or empty pages, pages without text and pages without a main body give no rows; records delivered again count
     once; a null id is left out. Whole pages are read. ``sample``: pages that the labeller is trained on."""
     rows_of = lambda k, bs, q: [(k, block_md5(b.text)) for b, x in zip(bs, q) if x >= 0.5]
-    return _labelled(df, model, record_id, page, sample, "warc_record_id string, block_md5 string", rows_of).distinct()
+    return _labelled(df, model, record_id, page, uri, sample, "warc_record_id string, block_md5 string", rows_of).distinct()
 
 
-def main_text(df: DataFrame, model: Labeller | None = None, record_id: str = "warc_record_id", page: str = "html", sample: int = 1200) -> DataFrame:
+def main_text(df: DataFrame, model: Labeller | None = None, record_id: str = "warc_record_id", page: str = "html", uri: str = "warc_target_uri", sample: int = 1200) -> DataFrame:
     """(warc_record_id, text, confidence): the main body of each page, a line a block; '' for a page without one."""
     rows_of = lambda k, bs, q: [(k, "\n".join(b.text for b, x in zip(bs, q) if x >= 0.5), round(float(np.abs(q - 0.5).mean() * 2), 6) if len(q) else 0.0)]
-    return _labelled(df, model, record_id, page, sample, "warc_record_id string, text string, confidence double", rows_of).distinct()
+    return _labelled(df, model, record_id, page, uri, sample, "warc_record_id string, text string, confidence double", rows_of).distinct()
