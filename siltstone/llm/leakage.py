@@ -5,7 +5,7 @@ its n-gram that fewest documents hold, so that none can be missed while phrases
 For edited copies every n-gram is a seed, however many documents hold it: a copy edited in one way may lack just the
 n-grams that are rare because few copies are edited in another. A document that holds a seed is aligned with the seed's
 item by Smith-Waterman over words, which scores edited copies too; the longest verbatim run comes from the same pass.
-Both passes are maps over the documents: only n-gram counts are shuffled.
+All passes are maps over the documents: only n-gram counts are shuffled.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.session import spread
+from siltstone.session import materialise, spread
 
 _WORD = re.compile(r"[^\W_]+")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -61,6 +61,21 @@ class Items:
         get = self.vocab.get
         return np.array([get(w, -1) for w in words(text)], np.int64)
 
+    def holds(self, keys: np.ndarray) -> np.ndarray:
+        """Which keys are those of an n-gram of an item."""
+        if not len(keys) or not len(self.all):
+            return np.zeros(len(keys), bool)
+        at = np.minimum(np.searchsorted(self.all, keys), len(self.all) - 1)
+        return (self.all[at] == keys) & (keys != 0)
+
+    def may_run(self, t: np.ndarray) -> bool:
+        """Whether as many of the text's n-grams in a row as a run of ``run`` words has are all in items."""
+        known, need = self.holds(self.keys(t)), max(1, self.run - self.n + 1)
+        if known.sum() < need:
+            return False
+        gaps = np.flatnonzero(np.concatenate([[True], ~known, [True]]))
+        return bool((np.diff(gaps) > need).any())
+
     def seeds(self, df_of: dict[int, int], edited: bool = True) -> dict[int, list[tuple[int, int]]]:
         """Key -> (item, place) of the n-grams at which alignments start. With ``edited``: every n-gram that documents hold.
         Else, for verbatim copies only: the rarest of every window of ``run`` words (of the whole item, if shorter) all of
@@ -96,10 +111,9 @@ def align(a: np.ndarray, b: np.ndarray, match: int = 2, miss: int = -1, gap: int
     return best, longest
 
 
-def _scan(items: Items, seeds: dict[int, list[tuple[int, int]]], text: str | None, share: float = 0.0) -> Iterator[tuple[int, int, int, int]]:
+def _scan(items: Items, seeds: dict[int, list[tuple[int, int]]], t: np.ndarray, share: float = 0.0) -> Iterator[tuple[int, int, int, int]]:
     """(item number, score, longest run, length of the item) of every item that has a seed in the text. Places that have too
     few of the item's words for ``share`` of its own score and for a verbatim run aren't aligned."""
-    t = items.numbers(text)
     keys = items.keys(t)
     hits: dict[int, list[int]] = {}
     for at in np.flatnonzero(keys):
@@ -139,7 +153,8 @@ def leaked_passages(
     """(doc_id, item_id, score, longest_run, item_words) for each document that shares an n-gram with an item.
 
     score: Smith-Waterman over words, 2 a match, -1 a change or gap; longest_run: most consecutive equal words.
-    ``edited`` False: only rows with a verbatim run of ``run`` words are sure to be there. ``share``: rows that reach
+    ``edited`` False: only rows with a verbatim run of ``run`` words are there for sure, and the texts are read once instead
+    of twice. ``share``: rows that reach
     neither this share of the item's own score nor such a run may be left out, which saves most alignments.
     Items are worked through in slices of at most ``slice_words`` words, so that what a worker holds has a bound
     however many items there are; no item is dropped. Null ids and null, blank or wordless texts give no rows;
@@ -155,23 +170,30 @@ def leaked_passages(
         def count(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
             items, seen = held.value, Counter()
             for pdf in batches:
-                for t in pdf["text"]:
-                    k = items.keys(items.numbers(t))
-                    k = k[k != 0]
-                    if len(k) and len(items.all):
-                        at = np.minimum(np.searchsorted(items.all, k), len(items.all) - 1)
-                        seen.update(set(k[items.all[at] == k].tolist()))
+                for w in pdf["words"] if "words" in pdf else map(items.numbers, pdf["text"]):
+                    k = items.keys(np.asarray(w, np.int64))
+                    seen.update(set(k[items.holds(k)].tolist()))
             yield pd.DataFrame({"key": np.fromiter(seen.keys(), np.uint64, len(seen)).view(np.int64), "n": np.fromiter(seen.values(), np.int64, len(seen))})
 
-        held_in = d.mapInPandas(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).collect()  # keys of the slice only
+        def runs(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
+            items = held.value
+            for pdf in batches:
+                words = [items.numbers(t) for t in pdf["text"]]
+                kept = [i for i, w in enumerate(words) if items.may_run(w)]
+                yield pd.DataFrame({"doc_id": pdf["doc_id"].iloc[kept].to_numpy(), "words": pd.Series([words[i].astype(np.int32) for i in kept], dtype=object)})
+
+        # verbatim: the texts are read once, and only documents that may hold a run go on, as word numbers
+        read = d if edited else materialise(d.mapInPandas(runs, "doc_id long, words array<int>"))
+        held_in = read.mapInPandas(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).collect()  # keys of the slice only
         seeds = spark.sparkContext.broadcast(held.value.seeds({r["key"] & 0xFFFFFFFFFFFFFFFF: r["n"] for r in held_in}, edited))
 
         def find(batches: Iterator[pd.DataFrame], held=held, seeds=seeds) -> Iterator[pd.DataFrame]:
             for pdf in batches:
-                rows = [(i, held.value.ids[k], s, r, w) for i, t in zip(pdf["doc_id"], pdf["text"]) for k, s, r, w in _scan(held.value, seeds.value, t, share)]
+                numbers = pdf["words"] if "words" in pdf else map(held.value.numbers, pdf["text"])
+                rows = [(i, held.value.ids[k], s, r, w) for i, t in zip(pdf["doc_id"], numbers) for k, s, r, w in _scan(held.value, seeds.value, np.asarray(t, np.int64), share)]
                 yield pd.DataFrame(rows, columns=["doc_id", "item_id", "score", "longest_run", "item_words"])
 
-        found = d.mapInPandas(find, "doc_id long, item_id long, score int, longest_run int, item_words int")
+        found = read.mapInPandas(find, "doc_id long, item_id long, score int, longest_run int, item_words int")
         out = found if out is None else out.unionByName(found)
     if out is None:
         return spark.createDataFrame([], "doc_id long, item_id long, score int, longest_run int, item_words int")
