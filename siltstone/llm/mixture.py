@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from siltstone.llm.tokens import count_tokens
 from siltstone.session import materialise, spread
 
-BITS = 10
-LEVELS = 6
+BITS = 12
+LEVELS = 5
 SOURCES_AT_ONCE = 200_000  # targets that are broadcast, about 10 MB
 
 
@@ -81,18 +81,20 @@ def _mix(docs: DataFrame, targets: DataFrame, doc_id: str, source: str, text: st
         step = 1 << (BITS * (LEVELS - 1 - level))
         inside = F.col("open") & (F.col("h") >= F.col("below")) & (F.col("h") < F.col("below") + F.lit(step << BITS))
         hist = sized.join(each(state.filter("open and left > 0")), "source").filter(inside)
-        hist = hist.groupBy("source", F.floor((F.col("h") - F.col("below")) / F.lit(step)).cast("long").alias("bucket")).agg(F.sum("tokens").alias("t"))
+        hist = hist.groupBy("source", F.floor((F.col("h") - F.col("below")) / F.lit(step)).cast("long").alias("bucket")).agg(F.sum("tokens").alias("t"), F.count(F.lit(1)).alias("n"))
         running = F.sum("t").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0))
         edge = hist.withColumn("run", running).join(state.select("source", "left"), "source").filter(F.col("run") > F.col("left"))
-        edge = edge.groupBy("source").agg(F.min_by(F.struct("bucket", (F.col("run") - F.col("t")).alias("before")), "bucket").alias("e"))
+        edge = edge.groupBy("source").agg(F.min_by(F.struct("bucket", (F.col("run") - F.col("t")).alias("before"), "n"), "bucket").alias("e"))
         state = state.join(edge, "source", "left").select(
             "source",
             "full",
             (F.col("left") - F.coalesce("e.before", F.lit(0))).alias("left"),
             F.when(F.col("e").isNotNull(), F.col("below") + F.col("e.bucket") * step).otherwise(F.when(F.col("open") & (F.col("left") > 0), F.col("below") + F.lit(step << BITS)).otherwise(F.col("below"))).alias("below"),
-            (F.col("open") & F.col("e").isNotNull()).alias("open"),
+            (F.col("open") & F.col("e").isNotNull() & (F.col("e.n") > 1)).alias("open"),  # a bucket of one document is settled
         )
         state = materialise(state)
+        if not state.filter("open").head(1):
+            break
     copies = F.col("full") + F.when(F.col("h") < F.col("below"), 1).otherwise(0)
     chosen = sized.join(each(state.select("source", "full", "below")), "source").withColumn("copies", copies).filter("copies > 0")
     return chosen.select("doc_id", "source", "tokens", "copies"), plan
