@@ -29,13 +29,15 @@ COMMON = frozenset(
 _MARK = re.compile(r"^\s*(?:[-*+•‣◦▪·–—>○●→⇒✓✔☐☑■□]|o(?= )|(?:No|Nr|Nº|N°)\.? ?\d+[.:)]?|\(?\d{1,3}[.)]|\(?[a-zA-Z][.)]|[ivxIVX]{1,4}[.)]|\[[ x]\]|#\d+)\s+\S")
 _CELLS = re.compile(r"[|\t;]| & |\S {2,}\S")
 _BORDER = re.compile(r"^[\s|+:=_-]+$")
-_STOP = re.compile(r"[.!?…](?=[\"'”’»)\]]*(?:\s|$))")
+_STOP = re.compile(r"[.!?…](?=[\"'”’»)\]]*(?:\s|$))|[。！？؟۔।॥።]")
 _ALPHA = re.compile(r"[^\W\d_]+")
 _HARD = re.compile(r"[^\W\d_aeiouyäöüáàâãéèêëíìîïóòôõúùûåæøœаеёиоуыэюяAEIOUYÄÖÜÁÀÂÃÉÈÊËÍÌÎÏÓÒÔÕÚÙÛАЕЁИОУЫЭЮЯ]{4,}")
 _VOWEL = re.compile("[aeiouyäöüáàâãéèêëíìîïóòôõúùûåæøœаеёиоуыэюя]")
 _BROKEN = re.compile("[ÂÃâ€¤�ï»¿™œ¢£¥¦§¨©«¬®¯±²³´¶·¸¹º¼½¾ð]")
 _SYMBOL = re.compile(r"[^\w\s]|_")
-_LINE_END = re.compile(r"[.!?…:;][\"'”’»)\]]*$")
+_LINE_END = re.compile(r"[.!?…:;。！？：；؟۔।॥።][\"'”’»)\]」』]*$")
+_ELSEWHERE = re.compile(r"[^\W\d_\u0000-\u024F\u0400-\u052F\u1E00-\u1EFF]")  # letters neither Latin nor Cyrillic
+_UNSPACED = re.compile(r"[\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u3040-\u30FF\u3400-\u9FFF\uF900-\uFAFF\U00020000-\U0003FFFF]")
 _SPLITS = (("·•|/>»→", re.compile(r"\s+[·•|/>»→]+\s+")), (";", re.compile(r";\s+")), (",", re.compile(r",\s+")), ("-–—", re.compile(r"\s+[-–—]\s+")))
 _LEADER = re.compile(r"(?:\.\s?){4,}\s*\d+\s*$")
 # Articles by language, and words that can't come after one of them.
@@ -48,7 +50,7 @@ _AFTER_ARTICLE = (
     ("o os uma", "os um uma de e em com por mas"),
     ("het een", "het een en is van dat in op met voor maar niet"),
 )
-_NEVER_NEXT = {a: frozenset(w for names, words in _AFTER_ARTICLE if a in names.split() for w in words.split()) for names, _ in _AFTER_ARTICLE for a in names.split()}
+NEVER_NEXT = {a: frozenset(w for names, words in _AFTER_ARTICLE if a in names.split() for w in words.split()) for names, _ in _AFTER_ARTICLE for a in names.split()}
 
 
 def _cells(line: str) -> int:
@@ -100,11 +102,19 @@ def measure(text: str | None) -> dict:
     body = [x for x in lines if not _BORDER.match(x)]
     low = lower.split()
     common = share(sum(w in COMMON for w in alpha), len(alpha))
-    odd = " ".join(alpha) if common < 0.1 else ""  # only texts without common words are looked at for odd ones
+    symbols, n_words, elsewhere = len(_SYMBOL.findall(t)), len(words), 0.0
+    if not t.isascii() and _ELSEWHERE.search(t):
+        elsewhere = share(len(_ELSEWHERE.findall(t)), letters)
+        marks = sum(unicodedata.category(c)[0] == "M" for c in t)  # vowel signs and the like are part of words
+        letters, symbols = letters + marks, symbols - marks
+        unspaced = len(_UNSPACED.findall(t))
+        n_words += unspaced // 2 if unspaced > len(words) else 0  # scripts without spaces: about two letters a word
+    odd = " ".join(alpha) if common < 0.1 and elsewhere <= 0.5 else ""  # only texts without common words are looked at for odd ones
     return {
-        "words": len(words),
-        "mean_word_length": share(solid, len(words)),
-        "symbol_ratio": share(len(_SYMBOL.findall(t)), len(t)),
+        "words": n_words,
+        "mean_word_length": share(solid, n_words),
+        "elsewhere": elsewhere,
+        "symbol_ratio": share(symbols, len(t)),
         "letter_ratio": share(letters, solid),
         "line_punct": share(sum(bool(_LINE_END.search(x, max(0, len(x) - 6))) for x in lines), len(lines)),
         "common_words": common,
@@ -130,7 +140,7 @@ def measure(text: str | None) -> dict:
 
 def _jumbled(words: list[str]) -> float:
     """Share of articles with a word after them that can't follow one; in word salad every third or so."""
-    after = [b in _NEVER_NEXT[a] for a, b in zip(words, words[1:]) if a in _NEVER_NEXT]
+    after = [b in NEVER_NEXT[a] for a, b in zip(words, words[1:]) if a in NEVER_NEXT]
     return sum(after) / len(after) if len(after) >= 3 else 0.0
 
 
@@ -138,9 +148,9 @@ def _enumerated(lines: list[str]) -> float:
     """How far the text is one enumeration: the share of its characters in short parts between separators, after at most
     one sentence. 0 where that is less than six parts."""
     t = " ".join(lines)
-    if len(lines) > 4 or not t:
+    if not t:
         return 0.0
-    lead = re.match(r"^[^.!?:]{0,300}[.!?:]\s+", t)
+    lead = re.match(r"^[^.!?:]*[.!?:]\s+", t)
     best = 0.0
     for s in {t, t[lead.end() :] if lead else t}:
         for signs, cut in _SPLITS:
@@ -155,10 +165,11 @@ def _enumerated(lines: list[str]) -> float:
 
 
 def form_of(m: dict) -> str:
-    """prose, list, table, junk or empty, from the statistics."""
+    """prose, list, table, junk or empty, from the statistics. Where most letters are neither Latin nor Cyrillic, what rests on
+    common words, vowels and the length of words says nothing and isn't asked."""
     if not m["words"]:
         return "empty"
-    w = m["words"]
+    w, known = m["words"], m["elsewhere"] <= 0.5
     if m["lines"] >= 2 and m["leaders"] > 0.5:
         return "list"
     if m["lines"] >= 2 and m["cell_rows"] > 0.5 and m["dup_lines"] < 0.5 and m["symbol_ratio"] < 0.6:
@@ -169,22 +180,22 @@ def form_of(m: dict) -> str:
         return "junk"
     if m["lines"] >= 4 and m["dup_lines"] > 0.5:
         return "junk"
-    if m["mean_word_length"] > 18 and m["longest_word"] > 40:
+    if known and m["mean_word_length"] > 18 and m["longest_word"] > 40:
         return "junk"
     if w >= 8 and m["vowels"] < 0.3 and m["hard_words"] > 0.3 and m["common_words"] < 0.1:
         return "junk"
     sentences = m["stops"] / w
-    if w >= 12 and m["distinct_words"] < 0.25 and m["stops"] <= 1 and m["marked_lines"] < 0.5:
+    if w >= 12 and (known or m["mean_word_length"] > 2.5) and m["distinct_words"] < 0.25 and m["stops"] <= 1 and m["marked_lines"] < 0.5:
         return "junk"
     if w >= 16 and m["top_ngram"] > 0.35 and sentences < 0.03 and m["marked_lines"] < 0.5:
         return "junk"
     if m["lines"] >= 3 and m["marked_lines"] > 0.5:
         return "list"
-    if m["lines"] >= 4 and m["short_lines"] > 0.5 and m["stops"] <= 0.15 * m["lines"] + 1:
+    if m["lines"] >= 4 and m["short_lines"] > 0.5 and (known or m["mean_word_length"] < 12) and m["stops"] <= 0.15 * m["lines"] + 1:
         return "list"
     if m["enumeration"] > 0.7 and m["common_words"] < 0.3:
         return "list"
-    if w >= 20 and m["common_words"] < 0.06 and m["stops"] <= 1:
+    if known and w >= 20 and m["common_words"] < 0.06 and m["stops"] <= 1:
         return "junk"
     return "prose"
 
