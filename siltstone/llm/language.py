@@ -36,8 +36,14 @@ CODES = {
 # Labels that say nothing.
 MEANINGLESS = ("", "-", "?", "??", "und", "unk", "unknown", "none", "null", "n/a", "na", "xx", "zxx", "mul", "mis")
 
+MARGIN = 1.2  # how far below the sample's least likely sentences a text is still in a known language
+OTHER = "other"  # the language of what is in none of those the model knows
+
 _SENTENCE = re.compile(r"(?<=[.!?…])[\"'”’»)\]]*\s+|[\r\n]+")
 _RUN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
+# what isn't prose: links, code, formulas, tags, citation marks, words grown together with signs of code
+_SPAN = re.compile(r"https?://\S+|www\.\S+|`[^`]*`|\$[^$\n]*\$|\[\d+\]|<[^<>\n]*>|\w+\([^\s)]*\)?\S*|\S*[{}\[\]=<>_\\|@#^~+]\S*|[$*]")
+_CODE_LINE = re.compile(r"^ {4}|^\t|[;{}]\s*$|\)\s*:\s*$|^[QA]:\s*$|^\s*(?:#|//|\$ |>>> )")
 _CODE = re.compile(r"[{}\[\]=<>_\\|@#$^~*+]|\w\(|\)\s*[:;]\s*$|;\s*$|^ {4}|^\t|https?://|^[QA]:\s*$")
 
 
@@ -72,10 +78,11 @@ class PieceModel:
         self.unknown = np.full(log_p.shape[1], float(log_p.min()) - 1.0)
         self.held: dict[str, np.ndarray] = {}
         self.row: dict[str, int] = {}
-        self.table = np.zeros((1024, log_p.shape[1]))
+        self.table = np.zeros((1024, log_p.shape[1] + 2))
+        self.floor = -np.inf  # the least log probability a letter of text in a known language
 
     def __getstate__(self):
-        return self.__dict__ | {"held": {}, "row": {}, "table": np.zeros((1024, self.log_p.shape[1]))}
+        return self.__dict__ | {"held": {}, "row": {}, "table": np.zeros((1024, self.log_p.shape[1] + 2))}
 
     def cuts(self, word: str) -> list[tuple[int, int, int]]:
         """(start, end, piece) of every vocabulary piece in the word; one unknown (-1) for a letter without any."""
@@ -103,23 +110,32 @@ class PieceModel:
             self.held[word] = got
         return got
 
-    def score(self, words: list[str]) -> np.ndarray:
-        """Log scores of a list of words: of each word what it says for a language against its best, at least -6, so that
-        one name can't decide."""
+    def sums(self, words: list[str]) -> np.ndarray:
+        """Of a list of words, added up: of each word what it says for each language against its best, at least -6, so that
+        one name can't decide; then the log probability in the best language, and the letters. A full table starts anew."""
+        if len(self.row) + len(words) > 400_000:
+            self.row, self.table = {}, self.table[:1024]
         at = []
         for w in words:
             i = self.row.get(w)
             if i is None:
-                if len(self.row) >= 400_000:
-                    return sum((np.maximum(x - x.max(), -6.0) for x in map(self.word, words)), np.zeros(self.log_p.shape[1]))
                 i = self.row[w] = len(self.row)
                 if i >= len(self.table):
                     self.table = np.concatenate([self.table, np.zeros_like(self.table)])
                 x = self.word(w)
-                self.table[i] = np.maximum(x - x.max(), -6.0)
+                self.table[i, :-2] = np.maximum(x - x.max(), -6.0)
+                self.table[i, -2:] = x.max(), len(w) + 1
                 self.held.pop(w, None)
             at.append(i)
-        return self.table[at].sum(0) if at else np.zeros(self.log_p.shape[1])
+        return self.table[at].sum(0)
+
+    def score(self, words: list[str]) -> np.ndarray:
+        return self.sums(words)[:-2]
+
+    def likeness(self, words: list[str]) -> float:
+        """Log probability a letter when each word is in its best language: far below ``floor`` for text in none of them."""
+        top, size = self.sums(words)[-2:]
+        return float(top / size) if size else 0.0
 
     def expect(self, counts: dict[str, np.ndarray], size: int) -> np.ndarray:
         """Expected uses of each piece in each language, from words with their counts in each language."""
@@ -175,6 +191,8 @@ def train(texts: list[str], labels: list[str], path: str, languages: tuple[str,
             use = model.expect(counts, len(pieces))
             smooth = use + 0.02
             model = PieceModel(pieces, np.log(smooth / smooth.sum(0)), languages, longest)
+    like = [model.likeness(w) for w in (tokens(s) for s, _ in spans) if len(w) >= 6]
+    model.floor = float(np.quantile(like, 0.001)) - MARGIN if like else -np.inf
     return model
 
 
@@ -191,36 +209,53 @@ def verdict(s: np.ndarray) -> tuple[int, float, np.ndarray]:
     return best, float(1.0 / np.exp(s - s[best]).sum()), s
 
 
+def spoken(sentence: str) -> list[str]:
+    """The words of a sentence that are prose; none of a line of code, or where code, links and signs are most of it."""
+    w = tokens(sentence)
+    rest, least = sentence, 1
+    if _CODE.search(sentence):
+        if _CODE_LINE.search(sentence):
+            return []
+        rest = _SPAN.sub(" ", sentence)
+        before, w, least = len(w), [x for x in tokens(rest) if len(x) > 1], 5
+        least = max(least, 0.6 * before)
+    return w if len(w) >= least and sum(map(len, w)) >= 0.55 * (len(rest) - rest.count(" ")) else []
+
+
 def analyse(model: PieceModel, text: str | None, least_words: int = 3) -> tuple[list[tuple[int, int, str, float]], str, float]:
     """(segments, language, confidence). A segment is a run of sentences of one language: (start, end, language, confidence)."""
     t = unicodedata.normalize("NFC", text or "").replace("﻿", " ")
-    parts = []
+    parts, strange = [], []
     for a, b in sentences(t):
-        s = t[a:b]
-        if _CODE.search(s):
-            continue
-        w = tokens(s)
-        letters = sum(map(len, w))
-        if w and letters >= 0.55 * (b - a - s.count(" ")):
-            parts.append((a, b, w, judge(model, w)))
-    if not parts:
+        w = spoken(t[a:b])
+        if w:
+            got = model.sums(w)
+            far = got[-2] / got[-1] - model.floor if got[-1] >= 16 else 0.0
+            (strange if far < 0 else parts).append((a, b, w, verdict(got[:-2]), far))
+    if not parts and not strange:
         w = tokens(t)
         lang, p, _ = judge(model, w)
         return ([], model.languages[lang], p) if w else ([], "", 0.0)
-    total = sum(j[2] for *_, j in parts)
+    total = sum((j[2] for *_, j, _ in parts), np.zeros(len(model.languages)))
     main = int(np.argmax(total))
     p = np.exp(total - total.max())
+    whole = float(p[main] / p.sum()) if parts else 0.0
     out: list[tuple[int, int, str, float]] = []
-    for a, b, w, (lang, post, score) in parts:
+    for a, b, w, (lang, post, score), far in sorted(parts + strange):
+        name = model.languages[lang]
+        if far < 0:
+            name, post = OTHER, 1 - float(np.exp(4 * far)) / 2
         # a sentence stands against the document's language only with clear evidence of its own
-        if lang != main and (len(w) < least_words or score[lang] - score[main] < 4.0 + 0.25 * len(w)):
-            lang = main
-            post = 1.0 - post
-        if out and out[-1][2] == model.languages[lang]:
-            out[-1] = (out[-1][0], b, out[-1][2], max(out[-1][3], post))
+        elif lang != main and (len(w) < least_words or post < 0.9 or score[lang] - score[main] < 4.0 + 0.25 * len(w)):
+            name, post = model.languages[main], 1.0 - post
+        if out and out[-1][2] == name:
+            out[-1] = (out[-1][0], b, name, max(out[-1][3], post))
         else:
-            out.append((a, b, model.languages[lang], post))
-    return out, model.languages[main], float(p[main] / p.sum())
+            out.append((a, b, name, post))
+    letters = lambda rows: sum(len(x) for _, _, w, *_ in rows for x in w)
+    if letters(strange) > letters(parts):
+        return out, OTHER, max(c for *_, name, c in out if name == OTHER)
+    return out, model.languages[main], whole
 
 
 def fit(df: DataFrame, doc_id: str, text: str, lang: str, per_language: int = 250, path: str | None = None) -> PieceModel:
@@ -239,7 +274,7 @@ _SCHEMA = "doc_id long, label string, language string, confidence double, segmen
 def identify_languages(df: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", model: PieceModel | None = None, per_language: int = 250, path: str | None = None) -> DataFrame:
     """(doc_id, label, language, confidence, segments) of every document.
 
-    label: the code its label means, '' for none. segments: runs of sentences of one language, with offsets in the NFC
+    language: one of the model's, or 'other' where the text is far less likely than any text of those. label: the code its label means, '' for none. segments: runs of sentences of one language, with offsets in the NFC
     form; code, formulas and bare symbols belong to none. Null or blank texts get language '' and no segments; so do
     texts without a letter. A document with null id is left out. ``per_language``: labelled documents to fit on."""
     model = model or fit(df, doc_id, text, lang, per_language, path)
@@ -264,9 +299,10 @@ def identify_languages(df: DataFrame, doc_id: str = "doc_id", text: str = "text"
 
 
 def language_cases(df: DataFrame, **names) -> DataFrame:
-    """(doc_id, found_lang): documents without a meaningful label, with a wrong one or in several languages; a row a language."""
+    """(doc_id, found_lang): documents without a meaningful label, with a wrong one or in several languages; a row for each of
+    the languages that the model knows."""
     got = identify_languages(df, **names)
     found = F.when(F.size("segments") > 0, F.array_distinct(F.transform("segments", lambda s: s["language"]))).otherwise(F.array("language"))
-    rows = got.filter("language <> ''").select("doc_id", "label", found.alias("found"))
+    rows = got.filter("language <> ''").select("doc_id", "label", F.array_remove(found, OTHER).alias("found"))
     wrong = (F.col("label") == "") | (F.size("found") > 1) | ~F.array_contains("found", F.col("label"))
     return rows.filter(wrong).select("doc_id", F.explode("found").alias("found_lang")).distinct()
