@@ -57,6 +57,11 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return pairs.main_defect(table(spark, folder, "qa_pairs"), language.fit(docs, "doc_id", "text", "lang"))
 
 
+def p7_defects(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return pairs.defects(table(spark, folder, "qa_pairs"), language.fit(docs, "doc_id", "text", "lang"))
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return markup.residue(table(spark, folder, "posts"))
 
@@ -84,7 +89,7 @@ def p2_text(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = [p1_found, p4_found, p8_found, p8_items, p9_mixture, p9_documents, p10_found, p10_segments, p5_found, p5_statistics, p7_found, p3_found, p3_clean, p6_found, p6_rates, p2_found, p2_text]
+    found = [p1_found, p4_found, p8_found, p8_items, p9_mixture, p9_documents, p10_found, p10_segments, p5_found, p5_statistics, p7_found, p7_defects, p3_found, p3_clean, p6_found, p6_rates, p2_found, p2_text]
     return {f.__name__: f for f in found}
 
 
