@@ -1,5 +1,7 @@
 """Pages, markup, quality, abuse, pairs and languages on small inputs, and how well what is trained does on what it hasn't seen."""
 
+import hashlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -23,7 +25,7 @@ def test_blocks():
     assert bs[3].link == 1 and bs[4].link == 0 and bs[0].path[-1] == "p"
     assert pages.blocks(None) == ("", []) and pages.blocks("")[1] == [] and pages.blocks("   ")[1] == []
     assert [b.text for b in pages.blocks("x<script>never closed <p>y")[1]] == ["x"]
-    assert pages.block_md5("é") == "f76aed1e4a3b9d0a5a0f1e3b0e4d9d7e" or len(pages.block_md5("é")) == 32
+    assert pages.block_md5("") == "d41d8cd98f00b204e9800998ecf8427e" and pages.block_md5("é") == hashlib.md5(b"\xc3\xa9").hexdigest()
 
 
 def test_pages_against_held_out_teacher(spark):
@@ -43,6 +45,54 @@ def test_pages_against_held_out_teacher(spark):
     assert pages.main_blocks(df.limit(0), model).count() == 0
 
 
+def invented_site(rng, n, pages_each=8):
+    """Pages of one invented host with their true main blocks: the layout, names and furniture are the host's own."""
+    word = lambda: "".join(rng.choice(list("bdfgklmnprstv")) + rng.choice(list("aeiou")) for _ in range(rng.integers(2, 4)))
+    line = lambda a, b: " ".join(word() for _ in range(rng.integers(a, b)))
+    box, menu, foot, crumb = f"c-{word()}", [line(1, 3) for _ in range(6)], [line(3, 8) for _ in range(2)], line(1, 2)
+    aside = [line(2, 5) for _ in range(4)]
+    out = []
+    for k in range(pages_each):
+        title = line(4, 8).capitalize()
+        body = [line(15, 40).capitalize() + "." for _ in range(rng.integers(3, 8))]
+        nav = "".join(f"<li><a href='/{i}'>{m}</a></li>" for i, m in enumerate(menu))
+        side = "".join(f"<li><a href='#'>{x}</a></li>" for x in aside)
+        text = "".join(f"<p>{b}</p>" for b in body)
+        end = "".join(f"<p>{f}</p>" for f in foot)
+        html = f"<html><head><title>{title}</title></head><body><div class='top'><ul>{nav}</ul></div><div class='{box}'><h1>{title}</h1>{text}</div><div class='rail'><h3>{crumb}</h3><ul>{side}</ul></div><div class='bottom'>{end}</div></body></html>"
+        out.append((html, (f"host{n}.test", f"https://host{n}.test/{k}"), {title, *body}))
+    return out
+
+
+def test_pages_of_unseen_hosts():
+    """Trained on some hosts, asked about others, against bodies known from how the pages were made."""
+    rng = np.random.default_rng(8)
+    sites = [invented_site(rng, n) for n in range(40)]
+    seen = [p for s in sites[:30] for p in s]
+    model = pages.train([p[0] for p in seen], [p[1] for p in seen])
+    hit = said = true = 0
+    for html, _, body in (p for s in sites[30:] for p in s):
+        title, bs = pages.blocks(html)
+        got = {b.text for b, q in zip(bs, model.predict([pages.features(title, bs)])[0]) if q >= 0.5}
+        hit, said, true = hit + len(got & body), said + len(got), true + len(body)
+    assert hit / said > 0.95 and hit / true > 0.95
+
+
+def test_words_and_steps_beyond_the_first():
+    """Blocks that differ only after their twelfth word, or only far up the path, don't look the same."""
+    one, two = ("w " * 20 + x for x in ("alpha beta", "beta alpha"))
+    assert set(pages._text(one)[1].tolist()) != set(pages._text(two)[1].tolist())
+    path = ("html", "body", "div.main", "div", "div", "div", "div", "p")
+    assert set(pages._tag_keys(path, frozenset()).tolist()) != set(pages._tag_keys(("html", "body", "div.side", *path[3:]), frozenset()).tolist())
+
+
+def test_page_sample_has_several_pages_of_each_host(spark):
+    rows = [(f"r{h}-{k}", "<p>x</p>", f"https://h{h}.test/{k}") for h in range(30) for k in range(12)] + [("n", "<p>y</p>", None), (None, "<p>z</p>", "https://h1.test/")]
+    df = spark.createDataFrame(rows, "warc_record_id string, html string, warc_target_uri string")
+    got = pages.sample_pages(df, "warc_record_id", "html", "warc_target_uri", 40)
+    assert len(got) == 40 and got["host"].nunique() <= 6 and got["i"].is_unique
+
+
 def test_labeller_gradients():
     """The backward pass against differences."""
     rng = np.random.default_rng(0)
@@ -101,7 +151,7 @@ def test_clean(marks):
     def clean(t):
         return markup.convert(t, marks.judge(t))
 
-    assert clean("<h2>Head</h2>\n\n<p>One <b>two</b> &amp; three</p>\n\n<ul>\n<li>a</li>\n<li>b</li>\n</ul>") == "Head\n\nOne two & three\n\n- a\n\n- b" or "- a" in clean("<ul>\n<li>a</li>\n</ul>")
+    assert clean("<h2>Head</h2>\n\n<p>One <b>two</b> &amp; three</p>\n\n<ul>\n<li>a</li>\n<li>b</li>\n</ul>") == "Head\n\nOne two & three\n\n- a\n\n- b"
     assert clean("== Head ==\n\nSee '''this''' and [[page|that]].\n\n{{math|x^2}}") == "Head\n\nSee this and that.\n\n$x^2$"
     assert clean("See **this** and [that](https://a.example).\n\n$$x^2$$") == "See this and that.\n\n$x^2$"
     assert "\n    x = 1" in clean("See **this**.\n\n```\nx = 1\n```\n\nSee [that](https://a.example).")
@@ -182,6 +232,17 @@ def test_abuse(spark, machine):
     assert toxicity.train([], []).score("any text") < 0.5 and machine.score(None) == 0
 
 
+def test_innocent_words_and_few_labels(spark):
+    """Trained on the labels of the tables: everyday words in innocent use aren't abusive; too few labels are said to be so."""
+    docs, said = (spark.read.parquet(f"/root/testdata/sf0.1/{n}.parquet") for n in ("web_docs", "text_labels"))
+    model = toxicity.fit(docs, said)
+    for t in ("The crowbar was used to beat and hurt the old lock.", "Strip the dirty paint and burn the garbage.", "She felt lonely and naked in the cold.", "The lazy pig slept in the rotten straw.", "A nude by the painter hangs in the museum."):
+        assert model.score(t) < model.cut, t
+    assert model.score("Shut your mouth, you pathetic idiot, nobody here can stand you.") >= model.cut
+    with pytest.warns(UserWarning, match="at least 20"):
+        assert toxicity.train(["You idiot.", "A lamp.", "A boat."], [1, 0, 0]).score("You idiot.") < 1
+
+
 # ---- 10 and 7
 
 
@@ -219,6 +280,28 @@ def test_languages(spark, tongues):
     assert language.language_cases(df.limit(0), model=tongues).count() == 0
 
 
+UNKNOWN = {
+    "Polish": "Stary most naprawiono przed pierwszym mrozem. Mieszkańcy wsi pomogli robotnikom i przynieśli drewno z lasu, żeby praca szybko się skończyła.",
+    "Greek": "Η παλιά γέφυρα επισκευάστηκε πριν από τον πρώτο παγετό. Οι κάτοικοι του χωριού βοήθησαν τους εργάτες και έφεραν ξύλα από το δάσος.",
+    "Arabic": "تم إصلاح الجسر القديم قبل أول صقيع في الوادي. ساعد سكان القرية العمال وأحضروا الخشب من الغابة حتى ينتهي العمل بسرعة.",
+    "Chinese": "老桥在第一场霜冻之前修好了。村里的居民帮助工人们从森林里运来木材，使工作很快完成。",
+    "Hindi": "घाटी में पहली ठंड से पहले पुराने पुल की मरम्मत की गई। गाँव के लोगों ने मजदूरों की मदद की और जंगल से लकड़ी लाए।",
+}
+
+
+@pytest.mark.parametrize("name", UNKNOWN)
+def test_unknown_languages_and_scripts(name, tongues):
+    assert language.analyse(tongues, UNKNOWN[name])[1] == language.OTHER
+    assert quality.form_of(quality.measure(UNKNOWN[name])) == "prose"
+
+
+def test_sentences_with_signs_are_judged(tongues):
+    """Citations, prices, emphasis and links don't hide a sentence; a line of code still is no language."""
+    t = SAYS["en"] + " Die alte Brücke [1] wurde für 40 $ von *allen* Bewohnern des Tals repariert, siehe https://a.example/b und dort."
+    assert {s[2] for s in language.analyse(tongues, t)[0]} == {"en", "de"}
+    assert {s[2] for s in language.analyse(tongues, SAYS["de"] + "\n    return the_list[index] if the_list else None\nfor item in the_list_of_items:")[0]} == {"de"}
+
+
 def test_all_cuts_are_summed():
     m = language.PieceModel({"▁": 0, "a": 1, "b": 2, "ab": 3, "▁ab": 4}, np.log(np.array([[0.2], [0.2], [0.2], [0.2], [0.2]])), ("x",), 3)
     want = 0.2**3 + 0.2**2 + 0.2  # ▁ a b, ▁ ab, ▁ab
@@ -271,6 +354,21 @@ def test_long_refusals(tongues):
     assert pairs.votes(None, Q, "The valve is checked twice a year by somebody who knows it. " * 12, tongues)["refusal"] == "nnn0"
 
 
+def test_truncated_behind_code_and_in_lists(tongues):
+    assert pairs.votes(None, Q, "Twice a year.\n\n    total = scan(row);\n    print(key, idx[-10:]) This happens because the", tongues)["truncated"][0] == "y"
+    assert pairs.votes(None, Q, "1. It should be checked twice.\n2. The valve is opened first.\n3. The second", tongues)["truncated"][0] == "y"
+    assert pairs.votes(None, Q, "You need\n- a valve\n- a gasket", tongues)["truncated"][0] == "n"
+
+
+def test_several_defects_and_made_ones(spark, tongues):
+    both = "Die Anlage sollte zweimal im Jahr von einem Fachmann geprüft werden. Das Ventil muss vor dem Winter ersetzt werden, weil es"
+    real = table(spark, "qa_pairs").select("pair_id", "title", "question", "answer")
+    df = real.unionByName(spark.createDataFrame([(1, None, Q, both)], real.schema))
+    assert {r["defect"] for r in pairs.defects(df, tongues).filter("pair_id = 1").collect()} == {"truncated", "other_language"}
+    made = pairs.broken(Q, "It should be checked twice a year by somebody who knows.", "Zweimal im Jahr.", 0.5)
+    assert set(made) == {"empty", "truncated", "copied", "other_language"} and not made["truncated"][1].endswith(".")
+
+
 def test_question_repeated_as_answer(tongues):
     assert pairs.votes(None, Q, " ".join([Q] * 4), tongues)["copied"] == "yn0y"
 
