@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import text as X
 from siltstone.operators.blocks import Side, block_join, block_pairs, coarse_centres, cosines, product, unit
-from siltstone.session import materialise, spread
+from siltstone.session import Stages, materialise, spread
 
 # ---- exact, in the order of a column: the first row wins
 
@@ -238,8 +238,9 @@ def _signature_of_keys(c: Column, num_hashes: int, seed: int) -> Column:
 
 def lsh_edges(signatures: DataFrame, key: str, b: int, r: int) -> DataFrame:
     """Star edges (u, v): in every bucket of a band each key is linked to the least, however large the bucket."""
-    bands = signatures.select(F.col(key).alias("u"), F.posexplode(F.array(*(F.slice("sig", i * r + 1, r) for i in range(b)))).alias("band", "rows"))
-    bands = bands.select("u", "band", F.md5(F.array_join("rows", ",").cast("binary")).alias("bucket"))
+    parts = F.array(*(F.md5(F.array_join(F.slice("sig", i * r + 1, r), ",").cast("binary")) for i in range(b)))
+    # read twice below; made once, as digests
+    bands = materialise(signatures.select(F.col(key).alias("u"), parts.alias("parts"))).select("u", F.posexplode("parts").alias("band", "bucket"))
     least = bands.groupBy("band", "bucket").agg(F.min("u").alias("v"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("band", "bucket", "v")
     return bands.join(least, ["band", "bucket"]).filter("u <> v").select("u", "v").distinct()
 
@@ -251,31 +252,33 @@ def _similar(pairs: DataFrame, sets: DataFrame, key: str, threshold: float) -> D
     return both.filter(same >= threshold * (F.size("a") + F.size("b") - same)).select("u", "v")
 
 
-def fuzzy_groups(df: DataFrame, key: str = "doc_id", text: str = "paragraph_text", num_hashes: int = 112, ngram: int = 5, seed: int = 42, b: int = 28, r: int = 4, threshold: float = 0.8) -> DataFrame:
+def fuzzy_groups(df: DataFrame, key: str = "doc_id", text: str = "paragraph_text", num_hashes: int = 112, ngram: int = 5, seed: int = 42, b: int = 28, r: int = 4, threshold: float = 0.8, folder: str | None = None) -> DataFrame:
     """(key, root): rows that are to go, with the row that stays for them: the least key of their group.
 
     A group is linked by pairs whose shingles have a Jaccard similarity of ``threshold`` or more. Candidates are the keys
     that share a bucket of a band: 28 bands of 4 rows miss a pair at 0.8 with probability (1 - 0.8^4)^28 = 4e-7. Each bucket's
     keys are compared with its least first, then with those of its keys that aren't in their group yet, so that a hot
     bucket of one group costs no square. Equal shingles are one row before banding. Null and token-less texts have no
-    shingles and stay."""
+    shingles and stay. ``folder``: keep the stages there and go on from those that an earlier run has finished."""
     if b * r != num_hashes:
         raise ValueError("b * r must be num_hashes")
-    rows = materialise(spread(df.select(key, text)).select(F.col(key), shingle_keys(F.col(text), ngram).alias("keys")).filter("keys is not null"))
+    stage = Stages(df.sparkSession, folder)
+    rows = stage("shingles", spread(df.select(key, text)).select(F.col(key), shingle_keys(F.col(text), ngram).alias("keys")).filter("keys is not null"))
     digests = rows.select(key, F.md5(F.array_join("keys", ",").cast("binary")).alias("_d"))
-    exact = materialise(digests.groupBy("_d").agg(F.min(key).alias("_first")))
+    exact = stage("exact", digests.groupBy("_d").agg(F.min(key).alias("_first")))
     sets = rows.join(exact.select(F.col("_first").alias(key)), key, "left_semi")
     same = digests.join(exact, "_d").filter(F.col(key) != F.col("_first")).select(F.col(key).alias("u"), F.col("_first").alias("v"))
     sigs = sets.select(F.col(key).alias("u"), _signature_of_keys(F.col("keys"), num_hashes, seed).alias("sig"))
     bands = sigs.select("u", F.explode(F.array(*(F.xxhash64(F.lit(i), F.slice("sig", i * r + 1, r)) for i in range(b)))).alias("bucket"))
     full = bands.groupBy("bucket").agg(F.min("u").alias("v"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket", "v")
-    held = materialise(bands.join(full, "bucket"))
-    stars = materialise(_similar(held.filter("u <> v").select("u", "v").distinct(), sets, key, threshold))
+    held = stage("buckets", bands.join(full, "bucket"))
+    stars = stage("stars", _similar(held.filter("u <> v").select("u", "v").distinct(), sets, key, threshold))
     grouped = held.select("u", "bucket").join(components(stars).withColumnRenamed("node", "u"), "u", "left").select("bucket", "u", F.coalesce("root", "u").alias("root"))
-    grouped = materialise(grouped)
+    grouped = stage("grouped", grouped)
     others = grouped.select("bucket", F.col("u").alias("v"), F.col("root").alias("other"))
     rest = _similar(grouped.join(others, "bucket").filter("root < other").select("u", "v").distinct(), sets, key, threshold)
-    found = components(stars.unionByName(rest).unionByName(same))
+    links = stage("links", stars.unionByName(rest).unionByName(same))
+    found = stage("groups", components(links))
     return found.filter("node <> root").select(F.col("node").alias(key), "root")
 
 

@@ -1,21 +1,28 @@
 """Stages that score or write text with a model. The model is a plain object given by the caller, loaded once a worker;
-what comes with the library needs no network: a profile of common words for language, a hashed embedder, linear probes."""
+what comes with the library needs no network: a trainable classifier of hashed character grams, a profile of common words for
+languages where nothing is labelled, a hashed embedder, linear probes."""
 
 from __future__ import annotations
 
 import json
 import math
 import re
+import uuid
+import zlib
+from collections import Counter, OrderedDict
 from collections.abc import Callable, Iterator, Sequence
 from typing import Protocol
 
 import numpy as np
 import pandas as pd
+from pyspark.resource import ResourceProfile
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructField, StructType
 
 Batch = Callable[[list[str]], list]
-_LOADED: dict[int, object] = {}
+_LOADED: OrderedDict[str, Batch] = OrderedDict()  # of this worker process, by stage
+MOST_LOADED = 4
 
 
 class Loader(Protocol):
@@ -24,29 +31,70 @@ class Loader(Protocol):
     def __call__(self) -> Batch: ...
 
 
-class ModelStage:
-    """Adds ``output_column``: ``load()`` applied to the input column in batches. Null is handed over as ''."""
+def loaded(key: str, load: Loader) -> Batch:
+    """What ``load()`` gave in this worker process; a process keeps the MOST_LOADED models used last."""
+    if key not in _LOADED:
+        _LOADED[key] = load()
+        while len(_LOADED) > MOST_LOADED:
+            _LOADED.popitem(last=False)
+    _LOADED.move_to_end(key)
+    return _LOADED[key]
+
 
-    def __init__(self, load: Loader, kind: str, input_column: str = "text", output_column: str = "output", batch_size: int = 64, name: str = "ModelStage", empty=None, prepare: Callable[[str], str] | None = None):
+class ModelStage:
+    """Adds ``output_column``: ``load()`` applied to the input column in batches. Null is handed over as ''.
+
+    A worker process loads a stage's model once, for all its tasks. ``profile``: a ResourceProfile (GPUs, memory) for the
+    executors that run the model, where the cluster manager supports one."""
+
+    def __init__(
+        self,
+        load: Loader,
+        kind: str,
+        input_column: str = "text",
+        output_column: str = "output",
+        batch_size: int = 64,
+        name: str = "ModelStage",
+        empty=None,
+        prepare: Callable[[str], str] | None = None,
+        profile: ResourceProfile | None = None,
+    ):
         self.load, self.kind, self.input_column, self.output_column, self.batch_size, self.name, self.empty, self.prepare = load, kind, input_column, output_column, batch_size, name, empty, prepare
+        self.key, self.profile = f"{name}-{uuid.uuid4()}", profile
+
+    def _results(self) -> Callable[[pd.Series], pd.Series]:
+        load, size, empty, prepare, key = self.load, self.batch_size, self.empty, self.prepare, self.key
+
+        def results(s: pd.Series) -> pd.Series:
+            model = loaded(key, load)
+            texts = ["" if t is None else t for t in s]
+            if prepare is not None:
+                texts = [prepare(t) for t in texts]
+            out: list = [empty] * len(texts)
+            todo = [i for i, t in enumerate(texts) if empty is None or t.strip()]
+            for k in range(0, len(todo), size):
+                part = todo[k : k + size]
+                for i, r in zip(part, model([texts[i] for i in part])):
+                    out[i] = r
+            return pd.Series(out, dtype=object)
+
+        return results
 
     def __call__(self, df: DataFrame) -> DataFrame:
-        load, size, empty, prepare = self.load, self.batch_size, self.empty, self.prepare
+        results, column, output = self._results(), self.input_column, self.output_column
+        if self.profile is not None:
+            fields = [f for f in df.schema.fields if f.name != output]
+            kind = spark_type(self.kind)
+
+            def batches(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+                for pdf in parts:
+                    yield pdf.drop(columns=[output], errors="ignore").assign(**{output: results(pdf[column]).to_numpy()})
+
+            return df.mapInPandas(batches, StructType([*fields, StructField(output, kind)]), profile=self.profile)
 
         @F.pandas_udf(self.kind)
-        def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            model = load()
-            for s in batches:
-                texts = ["" if t is None else t for t in s]
-                if prepare is not None:
-                    texts = [prepare(t) for t in texts]
-                out: list = [empty] * len(texts)
-                todo = [i for i, t in enumerate(texts) if empty is None or t.strip()]
-                for k in range(0, len(todo), size):
-                    part = todo[k : k + size]
-                    for i, r in zip(part, model([texts[i] for i in part])):
-                        out[i] = r
-                yield pd.Series(out, dtype=object)
+        def run(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            yield from map(results, series)
 
         # non-deterministic, so that the planner doesn't evaluate the model again for every use of its column
         return df.withColumn(self.output_column, run.asNondeterministic()(F.col(self.input_column)))
@@ -55,6 +103,70 @@ class ModelStage:
         return self.name
 
 
+def spark_type(kind: str) -> DataType:
+    return StructType.fromDDL(f"x {kind}")["x"].dataType
+
+
+class HashedClassifier:
+    """A softmax over hashed character 1- to 4-grams of words and over words, trained by Adagrad in numpy on a bounded sample."""
+
+    def __init__(self, labels: Sequence[str], bits: int = 16):
+        self.labels, self.size = list(labels), 1 << bits
+        self.w = np.zeros((self.size, len(self.labels)), np.float32)
+        self.b = np.zeros(len(self.labels), np.float32)
+
+    def features(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """(places, weights): every different piece of the text, weighed by the root of how often it is there."""
+        grams: Counter[str] = Counter()
+        for w, n in Counter(re.findall(r"[^\W\d_]+", text.lower())).items():
+            padded = f" {w} "
+            for size in (1, 2, 3, 4):
+                for i in range(len(padded) - size + 1):
+                    grams[padded[i : i + size]] += n
+            grams[f"={w}"] += n
+        at = np.fromiter((zlib.crc32(g.encode()) % self.size for g in grams), np.int64, len(grams))
+        weight = np.sqrt(np.fromiter(grams.values(), np.float32, len(grams)))
+        return at, weight / max(1e-6, float(np.linalg.norm(weight)))
+
+    def fit(self, texts: Sequence[str], labels: Sequence[str], rounds: int = 8, rate: float = 1.0, seed: int = 1) -> HashedClassifier:
+        rng, place = np.random.default_rng(seed), {x: i for i, x in enumerate(self.labels)}
+        rows = [(*self.features(t), place[y]) for t, y in zip(texts, labels) if y in place]
+        seen, seen_b = np.full_like(self.w, 1e-2), np.full_like(self.b, 1e-2)
+        for _ in range(rounds):
+            for k in rng.permutation(len(rows)):
+                at, x, y = rows[k]
+                z = x @ self.w[at] + self.b
+                g = np.exp(z - z.max())
+                g /= g.sum()
+                g[y] -= 1
+                grad = x[:, None] * g
+                seen[at] += grad * grad
+                seen_b += g * g
+                self.w[at] -= rate * grad / np.sqrt(seen[at])
+                self.b -= rate * g / np.sqrt(seen_b)
+        return self
+
+    def probabilities(self, text: str) -> np.ndarray:
+        at, x = self.features(text)
+        z = x @ self.w[at] + self.b if len(at) else self.b
+        e = np.exp(z - z.max())
+        return e / e.sum()
+
+    def best(self, texts: list[str]) -> list[str]:
+        return [self.labels[int(self.probabilities(t).argmax())] for t in texts]
+
+    def chance(self, label: str) -> Callable[[list[str]], list[float]]:
+        at = self.labels.index(label)
+        return lambda texts: [float(self.probabilities(t)[at]) for t in texts]
+
+
+def fit_classifier(df: DataFrame, text: str, label: str, sample: int = 4_000) -> HashedClassifier:
+    """A classifier from at most ``sample`` labelled rows, chosen by a hash of their text. Null texts and labels say nothing."""
+    rows = df.select(F.col(text).cast("string").alias("t"), F.col(label).cast("string").alias("y")).filter("t is not null and y is not null")
+    got = rows.orderBy(F.xxhash64("t"), "y").limit(sample).toPandas()  # sample rows
+    return HashedClassifier(sorted(set(got["y"]))).fit(got["t"].tolist(), got["y"].tolist())
+
+
 # Common words by ISO 639-3 code.
 PROFILES = {
     "eng": "the and of to in is that it was for with as on are this be have from not by you we",
@@ -96,8 +208,14 @@ def LanguageID(input_column: str = "text", output_column: str = "language", load
     return ModelStage(load, "string", input_column, output_column, 4096, "LanguageID", prepare=lambda t: re.sub(r"[\r\n]+", " ", t).strip())
 
 
+def trained(model: HashedClassifier, label: str | None = None) -> Loader:
+    """A loader for a fitted classifier: the likeliest label of a text, or the probability of one."""
+    return lambda: model.best if label is None else model.chance(label)
+
+
 def NSFW(load: Loader, input_column: str = "text", output_column: str = "nsfw_score") -> ModelStage:
-    """The probability of unsafe content, from the model given; 0 for null and blank texts."""
+    """The probability of unsafe content, from the model given, such as ``trained(fit_classifier(...), "1")``; 0 for null and
+    blank texts."""
     return ModelStage(load, "double", input_column, output_column, 256, "NSFW", empty=0.0)
 
 
@@ -124,8 +242,6 @@ def hashing_embedder(dim: int = 768) -> Loader:
     """Unit vectors of signed hashed words and word pairs: the same everywhere, without a download."""
 
     def load() -> Batch:
-        import zlib
-
         def embed(texts: list[str]) -> list[list[float]]:
             out = np.zeros((len(texts), dim), np.float32)
             for i, t in enumerate(texts):
@@ -222,7 +338,10 @@ def GenerateText(load: Loader, instruction: str = "", input_column: str = "text"
 QUALITY_SCHEMA = "reasoning string, score int"
 MATH_LEVEL_SCHEMA = "level int"
 MATH_TOPICS_SCHEMA = "topics array<string>"
-GENERATION_DEFAULTS = {"temperature": 0.0, "max_new_tokens": 256, "context": 8192, "batch_size": 64}
+MATH_TOPICS = (
+    "arithmetic algebra geometry number_theory combinatorics probability statistics calculus differential_equations analysis linear_algebra abstract_algebra topology_geometry logic_foundations "
+    "optimization computation applied other"
+).split()
 
 # Our own prompts for the usual tasks.
 PROMPTS = {
@@ -242,17 +361,34 @@ def parsed_quality(response: Column) -> Column:
     return F.when(s["score"].between(0, 5) & (F.length(s["reasoning"]) <= 400), s)
 
 
+def parsed_level(response: Column) -> Column:
+    """The school level, 0 to 7, of an answer that keeps the contract, else null."""
+    level = F.from_json(response, MATH_LEVEL_SCHEMA)["level"]
+    return F.when(level.between(0, 7), level)
+
+
+def parsed_topics(response: Column) -> Column:
+    """The topics of an answer that keeps the contract (at most three, different, all of MATH_TOPICS; perhaps none), else null."""
+    t = F.from_json(response, MATH_TOPICS_SCHEMA)["topics"]
+    known = F.array(*map(F.lit, MATH_TOPICS))
+    fine = (F.size(t) <= 3) & (F.size(F.array_distinct(t)) == F.size(t)) & F.forall(t, lambda x: F.coalesce(F.array_contains(known, x), F.lit(False)))
+    return F.when(fine, t)
+
+
 def OCRText(load: Callable, input_column: str = "image", output_column: str = "text", batch_size: int = 16):
     """Text of images (binary): blocks that only stand for pictures are left out, a degenerate repeated end is cut."""
     from siltstone.functions.vectorised import trim_repeats
 
     class Stage:
         name = "OCRText"
+        key = f"OCRText-{uuid.uuid4()}"
 
         def __call__(self, df: DataFrame) -> DataFrame:
+            key = self.key
+
             @F.pandas_udf("string")
             def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-                model = load()
+                model = loaded(key, load)
                 for s in batches:
                     out = [None] * len(s)
                     todo = [i for i, b in enumerate(s) if b is not None]

@@ -13,9 +13,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.functions.vectorised import per_text
-from siltstone.operators.dedup import DeduplicationStage, FirstByKey
+from siltstone.operators.dedup import DeduplicationStage, FirstByKey, fuzzy_dedupe
 from siltstone.operators.extract import html_to_text
 from siltstone.operators.filters import RowFilter
+from siltstone.operators.models import PROMPTS, GenerateText, Loader, parsed_quality
+from siltstone.session import build_session
+from siltstone.sources.storage import list_files
 
 Stage = Callable[[DataFrame], DataFrame]
 log = logging.getLogger(__name__)
@@ -80,8 +83,7 @@ class JobRunner:
         return cls(a.input, a.output, a.task_id, a.num_tasks)
 
     def files(self) -> list[str]:
-        found = [os.path.join(d, f) for d, _, fs in os.walk(self.input_path) for f in fs if f.endswith(".parquet")]
-        found.sort(key=lambda p: (-os.path.getsize(p), p))
+        found = [p for p, _ in sorted(list_files(self.input_path, (".parquet",)), key=lambda x: (-x[1], x[0]))]
         return found[self.task_id :: self.num_tasks] if self.task_id is not None else found
 
     def run(self, spark: SparkSession, pipeline: Stage) -> str | None:
@@ -101,6 +103,22 @@ class JobRunner:
 # ---- forum posts
 
 
+def fuzzy_job(args: Sequence[str] | None = None, spark: SparkSession | None = None) -> str:
+    """Near duplicates of parquet files out, as one job: --input, --output, --work (stages are kept there and not run again
+    after a failure), --key, --text, --threshold. Command line: python -m siltstone.plans.fuzzy_job ..."""
+    p = argparse.ArgumentParser()
+    for name in ("--input", "--output", "--work"):
+        p.add_argument(name, required=True)
+    p.add_argument("--key", default="doc_id")
+    p.add_argument("--text", default="paragraph_text")
+    p.add_argument("--threshold", type=float, default=0.8)
+    a = p.parse_args(args)
+    spark = spark or build_session("fuzzy_job")
+    kept = fuzzy_dedupe(spark.read.parquet(a.input), a.key, a.text, threshold=a.threshold, folder=a.work)
+    kept.write.mode("overwrite").parquet(a.output)
+    return a.output
+
+
 def posts_to_text(posts: DataFrame, min_length: int = 0, max_length: int = 10_000_000) -> DataFrame:
     """Posts with ``text`` in place of ``html``; only texts longer than the one and shorter than the other bound."""
     wrapped = F.concat(F.lit("<html><body>"), F.col("html"), F.lit("</body></html>"))
@@ -136,5 +154,18 @@ def persona_prompts(docs: DataFrame, personas: Sequence[str], doc_id: str = "doc
     return docs.withColumn("prompt", F.concat(F.lit("You are: "), "persona", F.lit('\nWrite one search query that the text below answers, as JSON {"query": ...}.\n\n'), F.coalesce(F.col(text), F.lit(""))))
 
 
+def generate_queries(docs: DataFrame, personas: Sequence[str], load: Loader, doc_id: str = "doc_id", text: str = "text", seed: int = 0) -> DataFrame:
+    """``docs`` with ``persona``, the model's ``response`` to the prompt and the ``query`` in it (null where it isn't JSON with one)."""
+    asked = GenerateText(load, input_column="prompt", output_column="response")(persona_prompts(docs, personas, doc_id, text, seed))
+    return asked.withColumn("query", query_of(F.col("response"))).drop("prompt")
+
+
+def edu_scores(docs: DataFrame, load: Loader, prompt: str = "webpage_edu_score", text: str = "text", truncate_to: int | None = None) -> DataFrame:
+    """``docs`` with ``response`` and what it says by the contract: ``reasoning`` and ``score`` (both null where it breaks it)."""
+    asked = GenerateText(load, PROMPTS[prompt], text, "response", truncate_to)(docs)
+    said = parsed_quality(F.col("response"))
+    return asked.withColumn("reasoning", said["reasoning"]).withColumn("score", said["score"])
+
+
 def query_of(response: Column) -> Column:
     return F.get_json_object(response, "$.query")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 import os
 import tempfile
 
@@ -19,6 +20,7 @@ def build_session(app: str = "siltstone", master: str | None = None, **conf: str
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.ui.enabled": "false",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",  # checkpoints go when nothing refers to them any more
     } | {k.replace("__", "."): v for k, v in conf.items()}
     for k, v in settings.items():
         b = b.config(k, v)
@@ -40,6 +42,38 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return jsc.getCheckpointDir().get()
 
 
+class Stages:
+    """Results of a pipeline's stages in a folder, so that a run that was broken off goes on where it was.
+
+    ``stages(name, df)`` writes ``df`` once as parquet and gives what was written; a stage that is complete (Spark's _SUCCESS
+    mark) is read instead. Without a folder stages are checkpoints and nothing is kept."""
+
+    def __init__(self, spark: SparkSession, folder: str | None = None):
+        self.spark, self.folder = spark, folder
+
+    def done(self, name: str) -> bool:
+        return self.folder is not None and exists(self.spark, f"{self.folder}/{name}/_SUCCESS")
+
+    def __call__(self, name: str, df: DataFrame) -> DataFrame:
+        if self.folder is None:
+            return materialise(df)
+        path = f"{self.folder}/{name}"
+        if not self.done(name):
+            df.write.mode("overwrite").parquet(path)
+        return self.spark.read.parquet(path)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def configure_logging(level: str | int = "INFO") -> None:
+    """Times and levels on standard error; Spark's own Python bridge only from warnings on."""
+    logging.basicConfig(level=level, format="%(asctime)s %(levelname)s %(name)s: %(message)s", force=True)
+    logging.getLogger("py4j").setLevel(logging.WARNING)
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared checkpoint folder and go on from there: lineage is cut, executor loss is survived."""
     checkpoint_dir(df.sparkSession)
@@ -48,7 +82,8 @@ def materialise(df: DataFrame) -> DataFrame:
 
 def spread(df: DataFrame, least_mb: int = 1) -> DataFrame:
     """``df`` over all cores where it is so small that the scan would leave most of them idle (less than ``least_mb`` MB a
-    core by the planner's estimate, which costs no job); any larger input goes on as it is, without a shuffle."""
+    core by the planner's estimate, which costs no job); any larger input goes on as it is, without a shuffle. Rows are the
+    same either way. This is for tables of a few files or row groups, where a scan can't be cut any finer."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(cores) if 0 < size < cores * least_mb * (1 << 20) else df

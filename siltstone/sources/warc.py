@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import glob
 import gzip
-import os
+import io
 from collections.abc import Iterator
 
 import pandas as pd
@@ -13,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from siltstone.operators.extract import decode_page
+from siltstone.sources.storage import list_files, open_file
 
 COLUMNS = ("WARC-Type", "WARC-Record-ID", "WARC-Target-URI", "WARC-Date")
 
@@ -20,7 +20,7 @@ COLUMNS = ("WARC-Type", "WARC-Record-ID", "WARC-Target-URI", "WARC-Date")
 def records(path: str) -> Iterator[tuple]:
     """The records of a file, plain or gzip (a member a record): the headers of COLUMNS, the payload, the path. A payload
     is read by its length, one record in memory at a time."""
-    with (gzip.open if path.endswith(".gz") else open)(path, "rb") as f:
+    with open_file(path) as raw, (gzip.open(raw) if path.endswith(".gz") else io.BufferedReader(raw)) as f:
         while True:
             line = f.readline()
             if not line:
@@ -37,25 +37,19 @@ def records(path: str) -> Iterator[tuple]:
             yield (*(head.get(c.lower()) for c in COLUMNS), body, path)
 
 
-def files(path: str, suffixes: tuple[str, ...] = (".warc", ".warc.gz")) -> list[str]:
-    path = path.removeprefix("file://")
-    if os.path.isfile(path):
-        return [path]
-    found = glob.glob(os.path.join(path, "**", "*"), recursive=True) if os.path.isdir(path) else glob.glob(path)
-    return sorted(p for p in found if p.endswith(suffixes))
-
-
 class _File(InputPartition):
     def __init__(self, path: str):
         self.path = path
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, path: str, paths: str | None = None):
+        self.path, self.paths = path, paths
 
     def partitions(self) -> list[_File]:
-        return [_File(p) for p in files(self.path)] or [_File("")]
+        if self.paths is not None:
+            return [_File(p) for p in self.paths.split("\n")]
+        return [_File(p) for p, _ in list_files(self.path, (".warc", ".warc.gz"))] or [_File("")]
 
     def read(self, partition: _File) -> Iterator[tuple]:
         if partition.path:
@@ -63,7 +57,9 @@ class _Reader(DataSourceReader):
 
 
 class WarcSource(DataSource):
-    """``spark.read.format("warc").load(path)``: a partition a file, on storage that every executor sees."""
+    """``spark.read.format("warc").load(path)``: a partition a file, on any storage that Arrow opens and every executor sees. A
+    file is a stream of gzip members, which can't be entered in the middle, so it is read by one task, a record at a time.
+    ``paths`` (option, one a line): these files instead of a listing."""
 
     @classmethod
     def name(cls) -> str:
@@ -73,12 +69,13 @@ class WarcSource(DataSource):
         return ", ".join(f"`{c}` string" for c in COLUMNS) + ", warc_content binary, source_path string"
 
     def reader(self, schema) -> DataSourceReader:
-        return _Reader(self.options["path"])
+        return _Reader(self.options["path"], self.options.get("paths"))
 
 
-def read_warc(spark: SparkSession, path: str, file_path_column_name: str | None = None) -> DataFrame:
+def read_warc(spark: SparkSession, path: str, file_path_column_name: str | None = None, paths: list[str] | None = None) -> DataFrame:
     spark.dataSource.register(WarcSource)
-    df = spark.read.format("warc").load(path)
+    reader = spark.read.format("warc")
+    df = (reader if paths is None else reader.option("paths", "\n".join(paths))).load(path)
     return df.withColumnRenamed("source_path", file_path_column_name) if file_path_column_name else df.drop("source_path")
 
 

@@ -210,7 +210,7 @@ def test_posts_xml(spark, tmp_path):
     got = e.posts_to_text(posts, 2, 100)
     assert [(r["id"], r["text"], r["parent_id"]) for r in got.collect()] == [(1, "Hello there", None)]
     io.write_parquet(got, str(tmp_path / "out"), partition_by="post_type_id")
-    assert os.path.isdir(tmp_path / "out" / "post_type_id=1") and io.list_files(str(tmp_path / "out"), ".parquet")
+    assert os.path.isdir(tmp_path / "out" / "post_type_id=1") and io.list_files(str(tmp_path / "out"), (".parquet",))
 
 
 def test_streams(spark, tmp_path):
