@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -189,9 +190,8 @@ def three_sentence(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def line_stats(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents").select("doc_id", "source", "text")
-    stage = corpus.BoilerPlateLineStatsFilter(doc_id="doc_id", domain=F.col("source"))
-    return stage(docs).select("doc_id", "text")
+    docs = table(spark, folder, "documents").select("doc_id", "url", "text")
+    return corpus.BoilerPlateLineStatsFilter(doc_id="doc_id")(docs).select("doc_id", "text")
 
 
 _FIRST = "SELECT doc_id FROM (SELECT *, row_number() OVER (PARTITION BY {k} ORDER BY doc_id) AS n FROM {t}) WHERE n = 1 OR {k} IS NULL"
@@ -206,6 +206,36 @@ WITH p AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_
 f AS (SELECT *, row_number() OVER (PARTITION BY line ORDER BY doc_id, pos) AS n FROM p)
 SELECT doc_id, string_agg(line, chr(10) ORDER BY pos) AS text FROM f WHERE n = 1 GROUP BY doc_id"""
 
+_KEY = f"{_STRIP % chr(0)}".replace(chr(0), r"regexp_replace(nfc_normalize(lower(line)), '[^\p{L}\p{M}]+', ' ', 'g')")
+_LINE_STATS_SQL = rf"""
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts, {_HOST_SQL.format(u='url')} AS h FROM documents),
+l AS (SELECT doc_id, h, unnest(parts) AS line, generate_subscripts(parts, 1) AS pos FROM d),
+k AS (SELECT *, {_KEY} AS key FROM l),
+n AS (SELECT h, count(*) AS n FROM d GROUP BY h),
+c AS (SELECT h, key, count(DISTINCT doc_id) AS c FROM k WHERE key <> '' GROUP BY h, key),
+g AS (SELECT key, sum(c) AS s FROM c GROUP BY key),
+bad AS (SELECT h, key, true AS bad FROM c JOIN n USING (h) JOIN g USING (key) WHERE (c >= 3 AND c >= n * 0.05) OR s >= 1000),
+e AS (SELECT k.*, coalesce(bad, false) AS bad, min(CASE WHEN length(line) >= 30 THEN pos END) OVER (PARTITION BY doc_id, key) AS long_at FROM k LEFT JOIN bad USING (h, key)),
+t AS (SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE key = '' OR (NOT bad AND (long_at IS NULL OR pos <= long_at))), '') AS t FROM e GROUP BY doc_id)
+SELECT doc_id, {_STRIP % "regexp_replace(t, '\n{3,}', chr(10) || chr(10), 'g')"} AS text FROM t"""
+
+# folds over places carry two numbers in one: what is counted, times 10^9, and the place from which on words are free
+_GRAMS = f"""
+WITH r AS (SELECT row_number() OVER () AS rid, record_id, text, regexp_extract_all(text, '{X.WORD}') AS w FROM web_docs),
+g AS (SELECT rid, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS gram, unnest(range(1, len(w))) AS pos FROM r WHERE len(w) >= 2)"""
+_NGRAM_TOP_SQL = f"""{_GRAMS},
+b AS (SELECT rid, gram, list(pos ORDER BY pos) AS spots, row_number() OVER (PARTITION BY rid ORDER BY count(*) DESC, min(pos)) AS nth FROM g GROUP BY rid, gram),
+m AS (SELECT record_id, CASE WHEN text IS NOT NULL THEN coalesce((list_reduce(list_prepend(0::BIGINT, spots), lambda a, p: CASE WHEN p >= a % 1000000000 THEN (a // 1000000000 + 1) * 1000000000 + p + 2 ELSE a END) // 1000000000)
+  * length(gram)::DOUBLE / length(text), 1.0) END AS m FROM r LEFT JOIN (SELECT * FROM b WHERE nth = 1) USING (rid))
+SELECT record_id, round(m, 6) AS metric, coalesce(m <= 0.2, false) AS kept FROM m"""
+_NGRAM_DUP_SQL = f"""{_GRAMS},
+f AS (SELECT rid, pos, min(pos) OVER (PARTITION BY rid, gram) AS first FROM g),
+d AS (SELECT rid, list(pos ORDER BY pos) AS spots FROM f WHERE pos > first GROUP BY rid),
+s AS (SELECT r.*, spots, list_transform(range(1, len(w) + 2), lambda k: coalesce(list_sum(list_transform(w[1:k - 1], lambda x: length(x))), 0)::BIGINT) AS before FROM r LEFT JOIN d USING (rid)),
+m AS (SELECT record_id, CASE WHEN text IS NULL THEN NULL WHEN len(w) < 2 THEN 1.0 WHEN spots IS NULL THEN 0.0 ELSE
+  (list_reduce(list_prepend(0::BIGINT, spots), lambda a, p: (a // 1000000000 + before[p + 2] - before[greatest(p, a % 1000000000)] + least(p + 2 - greatest(p, a % 1000000000), 1)) * 1000000000 + p + 2) // 1000000000)::DOUBLE / length(text) END AS m FROM s)
+SELECT record_id, round(m, 6) AS metric, coalesce(m <= 0.2, false) AS kept FROM m"""
+
 _HASHES, _BANDS, _ROWS = 112, 14, 8
 
 
@@ -219,6 +249,31 @@ def fuzzy_removal(spark: SparkSession, folder: str) -> DataFrame:
     return dedup.fuzzy_groups(docs, "doc_id", "text")
 
 
+#: The least member of what is linked, from pairs (a, b) of both directions in a table ``linked``.
+_REACH = """reach(node, root) AS (SELECT a, least(a, min(b)) FROM linked GROUP BY a UNION SELECT l.a, r.root FROM reach r JOIN linked l ON l.b = r.node WHERE r.root < l.a),
+groups AS (SELECT node, min(root) AS root FROM reach GROUP BY node)"""
+_FUZZY_SQL = rf"""
+WITH RECURSIVE t AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{M}}\p{{N}}_]+') AS w FROM documents WHERE text IS NOT NULL),
+g AS (SELECT DISTINCT doc_id, md5(unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, (len(w) - 3)::BIGINT), lambda i: array_to_string(w[i:i+4], ' ')) ELSE [array_to_string(w, ' ')] END)) AS s FROM t WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+c AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM g x JOIN g y USING (s) WHERE x.doc_id <> y.doc_id GROUP BY 1, 2),
+linked AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE c >= 0.8 * (x.n + y.n - c)),
+{_REACH}
+SELECT node AS doc_id, root FROM groups WHERE node <> root"""
+_VECTOR_LINKS = """
+WITH RECURSIVE v AS (SELECT uuid, min(embedding)::DOUBLE[64] AS e FROM vectors WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x))) = 0
+  AND len(list_filter(embedding, lambda x: x <> 0)) > 0 AND uuid IS NOT NULL GROUP BY uuid),
+linked AS (SELECT a.uuid AS a, b.uuid AS b FROM v a JOIN v b ON a.uuid <> b.uuid WHERE array_cosine_similarity(a.e, b.e) >= {t}),
+""" + _REACH
+_EMBED_SQL = r"""
+WITH t AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+') AS w FROM documents),
+x AS (SELECT doc_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS x FROM t),
+h AS (SELECT doc_id, ('0x' || substr(md5(x), 1, 8))::BIGINT AS h FROM x),
+c AS (SELECT doc_id, h % 768 AS spot, sum(CASE WHEN h >= 2147483648 THEN 1 ELSE -1 END) AS c FROM h GROUP BY 1, 2),
+n AS (SELECT doc_id, greatest(sqrt(sum(c * c)), 1e-30)::FLOAT AS n FROM c GROUP BY 1),
+f AS (SELECT d.doc_id, i.spot, coalesce(c.c::FLOAT / n.n, 0)::FLOAT AS v FROM documents d CROSS JOIN (SELECT unnest(range(768)) AS spot) i LEFT JOIN c ON c.doc_id = d.doc_id AND c.spot = i.spot LEFT JOIN n ON n.doc_id = d.doc_id)
+SELECT doc_id, list(v ORDER BY spot) AS embedding FROM f GROUP BY doc_id"""
+
 _FAMILY = dedup.hash_family(_HASHES, 42)
 _SIG_CTE = rf"""
 t AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{M}}\p{{N}}_]+') AS w FROM documents WHERE text IS NOT NULL),
@@ -300,6 +355,49 @@ def embed_text(spark: SparkSession, folder: str) -> DataFrame:
     return models.EmbedText()(table(spark, folder, "documents").select("doc_id", "text")).drop("text")
 
 
+def language_id(spark: SparkSession, folder: str) -> DataFrame:
+    """Labels by a classifier fitted on labelled documents."""
+    docs = table(spark, folder, "documents")
+    known = docs.filter(F.lower("lang").isin("en", "de", "fr", "es", "it", "pt", "nl", "ru")).select("text", F.concat(F.lit("__label__"), F.lower("lang")).alias("lang"))
+    model = models.fit_classifier(known, "text", "lang", 1_500)
+    return models.LanguageID(load=models.trained(model))(docs.select("doc_id", "text")).drop("text")
+
+
+def nsfw(spark: SparkSession, folder: str) -> DataFrame:
+    """Scores by a classifier fitted on the reviewers' labels."""
+    docs = table(spark, folder, "web_docs").select("record_id", "text")
+    known = docs.join(table(spark, folder, "text_labels").filter("toxic is not null").select("record_id", "toxic"), "record_id")
+    model = models.fit_classifier(known, "text", "toxic", 3_000)
+    return models.NSFW(models.trained(model, "1"))(docs).select("record_id", F.round("nsfw_score", 6).alias("score")).distinct()
+
+
+def _counting():
+    """Stands for a language model: answers by the contract with a score that the text's length gives."""
+    return lambda asked: [json.dumps({"reasoning": "by length", "score": len(json.loads(a)[-1]["content"]) % 8}) for a in asked]
+
+
+def generate_text(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return models.GenerateText(lambda: lambda asked: [json.loads(a)[-1]["content"] for a in asked], "Say it again.", truncate_to=200)(docs).drop("text")
+
+
+def edu_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return engine.edu_scores(table(spark, folder, "documents").select("doc_id", "text"), lambda: _counting()).select("doc_id", "reasoning", "score")
+
+
+def ocr_text(spark: SparkSession, folder: str) -> DataFrame:
+    """Texts as bytes stand for images, and decoding them for a model; degenerate ends and picture blocks are taken out."""
+    pages = table(spark, folder, "web_docs").select("record_id", F.concat(F.lit('<img src="images/bbox_1.png">\n\n'), "text").cast("binary").alias("image"))
+    return models.OCRText(lambda: lambda images: [bytes(b).decode() for b in images])(pages).drop("image")
+
+
+def unfinished(spark: SparkSession, folder: str) -> DataFrame:
+    """Posts that aren't among the finished ones: an anti join by two keys."""
+    posts = table(spark, folder, "posts").select("site", "id").distinct()
+    done = table(spark, folder, "posts").filter("score >= 3").select("site", "id")
+    return posts.join(done, ["site", "id"], "left_anti")
+
+
 def qa_join(spark: SparkSession, folder: str) -> DataFrame:
     posts = table(spark, folder, "posts").select("id", "post_type_id", "parent_id", "score", "accepted_answer_id", "title", "text").distinct()
     return engine.qa_pairs(posts).select("question_id", "answer_id", "question_score", "answer_score", "accepted")
@@ -335,12 +433,13 @@ def queries() -> dict[str, Query]:
     out |= {
         "ai_phrase": _flag("web_docs", "record_id", "text", detectors.ai_phrase),
         "ai_style": _count_of("web_docs", "record_id", "text", detectors.ai_style_hits),
+        "ai_style_flag": _flag("web_docs", "record_id", "text", lambda c: detectors.ai_style(c, min_hits=1)),
         "ai_trace": _flag("warc_pages", "warc_record_id", "html", detectors.ai_trace),
         "has_code": _flag("posts", "id", "body", _lazy(detectors.html_has_code)),
         "has_math": _flag("posts", "id", "body", _lazy(detectors.html_has_math)),
     }
     plain = [url_domain, url_blacklist, url_blacklist_table, dedup_document, dedup_url, dedup_paragraph, dedup_chained, three_sentence, line_stats, minhash_signature, lsh_edges, fuzzy_removal]
-    plain += [semantic_removal, semantic_pairs, linear_probe, pii_mask, html_text, mojibake, token_count, tokenize, fasttext_tokens, language, embed_text, qa_join]
+    plain += [semantic_removal, semantic_pairs, linear_probe, pii_mask, html_text, mojibake, token_count, tokenize, fasttext_tokens, language, language_id, nsfw, generate_text, edu_scores, ocr_text, embed_text, qa_join, unfinished]
     return out | {f.__name__: f for f in plain}
 
 
@@ -361,6 +460,18 @@ def oracle_sql() -> dict[str, str]:
         "ai_phrase": f"SELECT record_id, coalesce(regexp_matches(text, '(?im){_q(detectors.AI_PHRASE_PATTERN)}'), false) AS flag FROM web_docs",
         "ai_style": f"SELECT record_id, len(regexp_extract_all(text, '(?i){_q(detectors.AI_STYLE_PATTERN)}')) AS hits FROM web_docs",
         "ai_trace": f"SELECT warc_record_id, coalesce(regexp_matches(html, '(?i){_q(detectors.AI_TRACE_PATTERN)}'), false) AS flag FROM warc_pages",
+        "ai_style_flag": f"SELECT record_id, coalesce(h >= 1 AND h * 1000.0 / length(text) >= 0.5, false) AS flag FROM (SELECT *, len(regexp_extract_all(text, '(?i){_q(detectors.AI_STYLE_PATTERN)}')) AS h FROM web_docs)",
+        "ngram_top": _NGRAM_TOP_SQL,
+        "ngram_dup": _NGRAM_DUP_SQL,
+        "line_stats": _LINE_STATS_SQL,
+        "fuzzy_removal": _FUZZY_SQL,
+        "semantic_removal": _VECTOR_LINKS.format(t=0.95) + " SELECT node AS uuid FROM groups WHERE node <> root",
+        "semantic_pairs": _VECTOR_LINKS.format(t=0.999) + " SELECT node AS uuid, root FROM groups",
+        "embed_text": _EMBED_SQL,
+        "generate_text": "SELECT doc_id, substr(coalesce(text, ''), 1, 200) AS response FROM documents",
+        "edu_scores": "SELECT doc_id, CASE WHEN n <= 5 THEN 'by length' END AS reasoning, CASE WHEN n <= 5 THEN n END::INT AS score FROM (SELECT doc_id, length(coalesce(text, '')) % 8 AS n FROM documents)",
+        "ocr_text": "SELECT record_id, text FROM web_docs",
+        "unfinished": "SELECT DISTINCT site, id FROM posts p WHERE NOT EXISTS (SELECT 1 FROM posts d WHERE d.score >= 3 AND d.site = p.site AND d.id = p.id)",
         "url_domain": f"SELECT record_id, {_HOST_SQL.format(u='url')} AS host FROM web_docs",
         "url_blacklist": _BLACKLIST_SQL,
         "url_blacklist_table": _BLACKLIST_SQL,

@@ -5,7 +5,6 @@ from __future__ import annotations
 import gzip
 import re
 import unicodedata
-from collections import Counter
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -25,17 +24,16 @@ def top_ngram_share(text: str | None, n: int) -> float | None:
     if text is None:
         return None
     w = text.split()
-    counts = Counter(tuple(w[i : i + n]) for i in range(len(w) - n + 1))
-    if not counts:
+    places: dict[tuple[str, ...], list[int]] = {}
+    for i, gram in enumerate(zip(*(w[k:] for k in range(n)))):
+        places.setdefault(gram, []).append(i)
+    if not places:
         return 1.0
-    best = max(counts.values())
-    gram = next(g for g, c in counts.items() if c == best)
-    used, at = 0, 0
-    while at <= len(w) - n:
-        if tuple(w[at : at + n]) == gram:
-            used, at = used + 1, at + n
-        else:
-            at += 1
+    gram, found = max(places.items(), key=lambda x: (len(x[1]), -x[1][0]))
+    used = free = 0
+    for i in found:  # occurrences that overlap the one before don't count
+        if i >= free:
+            used, free = used + 1, i + n
     return used * (sum(map(len, gram)) + n - 1) / len(text)
 
 

@@ -17,41 +17,77 @@ from siltstone.functions.vectorised import fix_mojibake, per_text
 from siltstone.session import spread
 
 # Elements by what they mean for text.
-_SILENT = "script|style|noscript|template|svg|iframe|object|head"
-_FURNITURE = "nav|footer|aside|form|button|menu"
-_BLOCK = "address|article|blockquote|body|br|center|dd|div|dl|dt|fieldset|figcaption|figure|h[1-6]|header|hr|li|main|ol|p|pre|section|table|tbody|td|tfoot|th|thead|tr|ul"
+_SILENT = frozenset("script style noscript template svg iframe object head".split())
+_FURNITURE = frozenset("nav footer aside form button menu".split())
+_RAW = frozenset("script style".split())  # hold no tags
+_BLOCK = frozenset("address article blockquote body br center dd div dl dt fieldset figcaption figure h1 h2 h3 h4 h5 h6 header hr html li main ol p pre section table tbody td tfoot th thead tr ul".split())
+_APART = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre table ul ol dl figure article section".split())
+_MARKUP = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+
+
+def tags(page: str, silent: frozenset[str]) -> Iterator[tuple[str, str, bool, bool]]:
+    """(text before, tag name, closing, whole tag) of a page in order, in one pass, without comments and without what lies in
+    elements of ``silent``, however deep they are nested; at the end the rest with the name ''."""
+    at, inside, depth = 0, "", 0
+    m = _MARKUP.search(page)
+    while m:
+        before, name, closing = page[at : m.start()], (m[2] or "").lower(), m[1] == "/"
+        at = m.end()
+        if inside:
+            if name == inside:
+                depth += -1 if closing else 0 if m[3].endswith("/") else 1
+                if not depth:
+                    inside = ""
+        elif name in silent and not closing and not m[3].endswith("/"):
+            yield before, "", False, ""
+            inside, depth = name, 1
+        else:
+            yield before, name if name not in silent else "", closing, m[0] if name and name not in silent else ""
+        if inside in _RAW:  # no tags in it: on to its end
+            end = re.compile(rf"</{inside}\s*>", re.I).search(page, at)
+            at, inside = (end.end() if end else len(page)), ""
+        m = _MARKUP.search(page, at)
+    if not inside:
+        yield page[at:], "", False, ""
 
 
 def clean_html(page: str) -> str:
     """The page without what is never main content: scripts, styles, navigation, footers, sidebars and forms."""
-    t = re.sub(r"(?s)<!--.*?-->", "", page)
-    for names in (_SILENT, _FURNITURE):
-        t = re.sub(rf"(?is)<({names})\b[^>]*>.*?</\1\s*>", " ", t)
-    return t
+    return "".join(text + tag for text, _, _, tag in tags(page, _SILENT | _FURNITURE))
 
 
 def html_to_text(page: str | None, main_content: bool = True) -> str | None:
     """Plain text with a line for every block, '- ' before items and preformatted text as it stands."""
     if page is None:
         return None
-    t = clean_html(page) if main_content else re.sub(rf"(?is)<!--.*?-->|<({_SILENT})\b[^>]*>.*?</\1\s*>", " ", page)
+    out: list[str] = []  # runs of text, line ends, and preformatted text behind a mark
+    pre = 0
+    for text, name, closing, _ in tags(page, _SILENT | _FURNITURE if main_content else _SILENT):
+        if text:
+            text = html.unescape(text)
+            out.append("\x00" + text if pre else re.sub(r"\s+", " ", text))
+        if name == "pre":
+            pre = max(0, pre + (-1 if closing else 1))
+        if name == "li":
+            out.append("" if closing else "\n- ")
+        elif name in _APART:
+            out.append("\n\n")
+        elif name in _BLOCK:
+            out.append("\n")
     kept: list[str] = []
-
-    def keep(m: re.Match) -> str:
-        kept.append(html.unescape(re.sub(r"<[^>]+>", "", m[1])).strip("\n"))
-        return f"\n\n\x00{len(kept) - 1}\x00\n\n"
-
-    t = re.sub(r"(?is)<pre\b[^>]*>(.*?)</pre\s*>", keep, t)
-    t = re.sub(r"\s+", lambda m: "\n\n" if "\x00" in m[0] else " ", t)
-    t = re.sub(r"(?i)\s*</li\s*>\s*", "", t)
-    t = re.sub(r"(?i)\s*<li\b[^>]*>\s*", "\n- ", t)
-    t = re.sub(r"(?i)</?(?:p|h[1-6]|blockquote|pre|table|ul|ol|dl|figure|article|section)\b[^>]*>", "\n\n", t)
-    t = re.sub(rf"(?i)</?(?:{_BLOCK})\b[^>]*>", "\n", t)
-    t = html.unescape(re.sub(r"<[^>]*>", "", t)).replace("\xa0", " ")
+    pieces: list[str] = []
+    for x in out:
+        if x[:1] == "\x00":
+            if not (pieces and pieces[-1][:1] == "\x00"):
+                kept.append("")
+                pieces.append(f"\x00{len(kept) - 1}\x00")
+            kept[-1] += x[1:]
+        else:
+            pieces.append(x)
+    t = "".join(pieces)
     t = "\n".join(re.sub(r"[ \t]+", " ", line).strip() for line in t.split("\n"))
-    t = re.sub(r"\n{3,}", "\n\n", t)
-    t = re.sub(r"(?m)^-\s*\n+(?=\S)", "- ", t)
-    return re.sub("\x00(\\d+)\x00", lambda m: kept[int(m[1])], t).strip()
+    t = re.sub(r"(?m)^-\s*\n+(?=\S)", "- ", re.sub(r"\n{3,}", "\n\n", t))
+    return re.sub("\x00(\\d+)\x00", lambda m: kept[int(m[1])].strip("\n"), t).strip()
 
 
 def _longest_run(page: str | None) -> str | None:
@@ -60,7 +96,14 @@ def _longest_run(page: str | None) -> str | None:
     if not text:
         return text
     blocks = [b for b in text.split("\n\n") if b.strip()]
-    linked = " ".join(html.unescape(re.sub(r"<[^>]+>", "", x)) for x in re.findall(r"(?is)<a\b[^>]*>(.*?)</a>", page or ""))
+    links, depth = [], 0
+    for before, name, closing, _ in tags(page or "", _SILENT):
+        if depth:
+            links.append(before)
+        if name == "a":
+            depth = 0 if closing else 1
+            links.append(" ")
+    linked = " ".join(html.unescape("".join(links)).split())
     good = [i for i, b in enumerate(blocks) if len(b) >= 60 and b not in linked]
     return "\n\n".join(b for i, b in enumerate(blocks[good[0] : good[-1] + 1]) if b not in linked) if good else text
 
@@ -80,20 +123,25 @@ def browser_dump(command: list[str], timeout: float = 10.0) -> Callable[[str | N
     return run
 
 
+# The first three are this library's own heuristics: blocks as they stand, the densest run of them, and the cleaned page. The
+# names of packages that do the like are kept as aliases; none of those packages is used.
 EXTRACTORS: dict[str, Callable[[], Callable[[str | None], str | None]]] = {
-    "resiliparse": lambda: html_to_text,
-    "trafilatura": lambda: _longest_run,
-    "magic-html": lambda: lambda page: None if page is None else clean_html(page),
+    "blocks": lambda: html_to_text,
+    "densest": lambda: _longest_run,
+    "cleaned": lambda: lambda page: None if page is None else clean_html(page),
     "lynx": lambda: browser_dump(["lynx", "-stdin", "-dump", "-nolist"]),
     "w3m": lambda: browser_dump(["w3m", "-T", "text/html", "-dump"]),
     "elinks": lambda: browser_dump(["elinks", "-dump", "-no-references"]),
 }
 
 
+EXTRACTORS |= {alias: EXTRACTORS[name] for alias, name in (("resiliparse", "blocks"), ("trafilatura", "densest"), ("magic-html", "cleaned"))}
+
+
 class ExtractHTML:
     """Adds the text of a page by one of EXTRACTORS; ``clean`` takes furniture out first."""
 
-    def __init__(self, extractor_type: str = "resiliparse", clean: bool = False, input_column: str = "html", output_column: str = "text"):
+    def __init__(self, extractor_type: str = "blocks", clean: bool = False, input_column: str = "html", output_column: str = "text"):
         if extractor_type not in EXTRACTORS:
             raise ValueError(f"Extractor not available: {extractor_type}")
         self.kind, self.clean, self.input_column, self.output_column, self.name = extractor_type, clean, input_column, output_column, "ExtractHTML"
@@ -119,11 +167,12 @@ class FixEncoding:
 
 
 def decode_page(raw: bytes | None) -> str | None:
-    """Bytes as UTF-8, else by the table that the page names, else as cp1252; null where none of them fits."""
+    """Bytes as UTF-8, else by the table that the page names, else as cp1252 if no control byte speaks against text; else null."""
     if raw is None:
         return None
     named = re.search(rb"charset\s*=\s*[\"']?([A-Za-z0-9_-]+)", raw[:2048])
-    for code in ["utf-8", *([named[1].decode("ascii")] if named else []), "cp1252"]:
+    text = not re.search(rb"[\x00-\x08\x0e-\x1f\x7f]", raw)
+    for code in ["utf-8", *([named[1].decode("ascii")] if named else []), *(["cp1252"] if text else [])]:
         try:
             return raw.decode(code)
         except (UnicodeDecodeError, LookupError):

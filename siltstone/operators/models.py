@@ -4,6 +4,7 @@ languages where nothing is labelled, a hashed embedder, linear probes."""
 
 from __future__ import annotations
 
+import hashlib
 import json
 import math
 import re
@@ -247,7 +248,7 @@ def hashing_embedder(dim: int = 768) -> Loader:
             for i, t in enumerate(texts):
                 w = re.findall(r"\w+", t.lower())
                 for x in w + [f"{a} {b}" for a, b in zip(w, w[1:])]:
-                    h = zlib.crc32(x.encode())
+                    h = int.from_bytes(hashlib.md5(x.encode()).digest()[:4], "big")
                     out[i, h % dim] += 1 if h & (1 << 31) else -1
             norm = np.linalg.norm(out, axis=1, keepdims=True)
             return (out / np.where(norm > 0, norm, 1)).tolist()
@@ -258,14 +259,17 @@ def hashing_embedder(dim: int = 768) -> Loader:
 
 
 def EmbedText(load: Loader | None = None, dim: int = 768, truncate_dim: int | None = None, input_column: str = "text", output_column: str = "embedding") -> ModelStage:
-    """A unit vector of every text, cut to ``truncate_dim`` and made unit again."""
+    """A unit vector of every text; with ``truncate_dim`` cut to that and made unit again."""
     inner = load or hashing_embedder(dim)
 
     def start() -> Batch:
         model = inner()
 
         def embed(texts: list[str]) -> list[list[float]]:
-            v = np.asarray(model(texts), np.float32)[:, : truncate_dim or None]
+            v = np.asarray(model(texts), np.float32)
+            if not truncate_dim:
+                return v.tolist()
+            v = v[:, :truncate_dim]
             n = np.linalg.norm(v, axis=1, keepdims=True)
             return (v / np.where(n > 0, n, 1)).tolist()
 

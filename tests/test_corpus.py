@@ -1,5 +1,7 @@
 import math
 import random
+import re
+import unicodedata
 
 import numpy as np
 
@@ -26,19 +28,113 @@ def test_line_stats_by_domain(spark):
 
 
 def test_line_stats_global_ratio_repeats_unicode_empty(spark):
-    rows = [(1, "https://a.com", "Skip to content\nOne"), (2, "https://b.com", "Skip to content\nTwo")]
+    rows = [(1, "https://a.com", "Jump down\nOne"), (2, "https://b.com", "Jump down\nTwo")]
     assert texts(corpus.BoilerPlateLineStatsFilter(min_global_docs=2)(pages(spark, rows))) == {1: "One", 2: "Two"}
-    rows = [(i, "https://a.com", "Rare sidebar line." if i < 3 else "Common sidebar line." if i < 8 else "") for i in range(100)]
+    rows = [(i, "https://a.com", "seldom shown" if i < 3 else "often shown" if i < 8 else "") for i in range(100)]
     got = texts(corpus.BoilerPlateLineStatsFilter()(pages(spark, rows)))
-    assert got[0] == "Rare sidebar line." and got[5] == ""
+    assert got[0] == "seldom shown" and got[5] == ""
     long = "This is a rather long line of text, said twice."
     got = texts(corpus.BoilerPlateLineStatsFilter()(pages(spark, [(1, "https://a.com", f"{long}\nYes\n---\n}}\nYes\n{long}\n}}")])))
     assert got[1] == f"{long}\nYes\n---\n}}\nYes\n}}"
-    rows = [(1, "https://a.com", "Café | Menü"), (2, "https://a.com", "Café | Menü"), (3, "https://a.com", "Café | Menü")]
+    rows = [(1, "https://a.com", "Ünter | Façade"), (2, "https://a.com", "Ünter | Façade"), (3, "https://a.com", unicodedata.normalize("NFD", "Ünter | Façade"))]
     assert set(texts(corpus.BoilerPlateLineStatsFilter()(pages(spark, rows))).values()) == {""}
     assert texts(corpus.BoilerPlateLineStatsFilter()(pages(spark, [(1, None, ""), (2, "https://a.com", None)]))) == {1: "", 2: ""}
 
 
+def test_line_edits_keep_places(spark):
+    """Against line after line: dropped keys go, and all after the first long line of a key."""
+    from siltstone.functions.vectorised import line_keys
+
+    rng = random.Random(5)
+    pool = ["Alpha beta", "alpha  BETA!", "A rather long line of letters, alpha and beta", "a rather long line of letters alpha and beta", "12 34", "", "gamma"]
+    for _ in range(200):
+        text = "\n".join(rng.choice(pool) for _ in range(12))
+        gone = {k for k in line_keys(text) if k and rng.random() < 0.2}
+        want = []
+        for i, (line, key) in enumerate(zip(text.split("\n"), line_keys(text))):
+            before = [x for x, k in zip(text.split("\n")[:i], line_keys(text)) if k == key]
+            if key == "" or (key not in gone and not any(len(x) >= 30 for x in before)):
+                want.append(line)
+        got = corpus._rewritten(text, [corpus._digest(k) for k in gone], 30)
+        assert got == re.sub("\n{3,}", "\n\n", "\n".join(want)).strip()
+
+
+def scans(df):
+    return df._jdf.queryExecution().optimizedPlan().toString().count("parquet")
+
+
+def test_chained_stages_scan_once(spark, tmp_path):
+    """Whatever the number of stages, the result reads the input once, and so does every pass on the way."""
+    from siltstone.operators.filters import WordCountFilter
+    from siltstone.plans.engine import DataEngine
+
+    rng = random.Random(3)
+    rows = [(i, f"u{rng.randrange(60)}", " ".join(rng.choice("abcdefgh") for _ in range(3)) + f"\nline {rng.randrange(90)}") for i in range(200)]
+    spark.createDataFrame(rows, ROWS).write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    url, doc, lines = dedup.URLDeduplicator("n"), dedup.DocumentDeduplicator("n"), dedup.ParagraphDeduplicator("n")
+    for stages in ([url], [url, doc], [url, doc, lines], [url, lines, doc, url, lines]):
+        got = dedup.DeduplicationStage(stages)(df)
+        assert scans(got) == 1, stages
+        one = df
+        for s in stages:
+            one = spark.createDataFrame(s(one).collect(), ROWS)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, one.collect()))
+    engine = DataEngine([WordCountFilter(5, 100), doc])
+    got = engine(df)
+    assert scans(got) == 1 and "regexp_count" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, doc(WordCountFilter(5, 100)(df)).collect()))
+
+
+def test_long_documents_and_orders_without_value(spark):
+    long = "\n".join(str(i % 30_000) for i in range(60_000))
+    df = spark.createDataFrame([(1, "a", long), (2, "b", "5\nnew\n7"), (None, "c", "lost")], ROWS)
+    got = texts(dedup.ParagraphDeduplicator("n")(df), "n")
+    assert got[2] == "new" and got[1] == "\n".join(map(str, range(30_000))) and set(got) == {1, 2}
+    assert sorted(r["n"] for r in dedup.URLDeduplicator("n")(df).collect()) == [1, 2]
+    assert dedup.DeduplicationStage([dedup.URLDeduplicator("n"), dedup.ParagraphDeduplicator("n")])(df.limit(0)).count() == 0
+
+
+def test_components_of_long_paths(spark):
+    """More rounds than a fixed bound of a few would allow."""
+    n = 1 << 12
+    order = list(range(n))
+    random.Random(2).shuffle(order)
+    path = spark.createDataFrame(list(zip(order, order[1:])) + [(None, 1), (7, None)], "u long, v long")
+    got = dedup.components(path)
+    assert got.count() == n and {r["root"] for r in got.select("root").distinct().collect()} == {0}
+
+
+def test_fuzzy_job_goes_on(spark, tmp_path):
+    from siltstone.plans.engine import fuzzy_job
+
+    words = " ".join(f"w{i}" for i in range(60))
+    spark.createDataFrame([(1, words), (2, words + " x"), (3, "other text")], "doc_id long, paragraph_text string").write.parquet(str(tmp_path / "in"))
+    args = ["--input", str(tmp_path / "in"), "--output", str(tmp_path / "out"), "--work", str(tmp_path / "work")]
+    fuzzy_job(args, spark)
+    assert sorted(r["doc_id"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [1, 3]
+    marks = {p.parent.name: p.stat().st_mtime_ns for p in (tmp_path / "work").glob("*/_SUCCESS")}
+    assert {"shingles", "groups"} <= set(marks)
+    fuzzy_job(args, spark)  # nothing is made again
+    assert marks == {p.parent.name: p.stat().st_mtime_ns for p in (tmp_path / "work").glob("*/_SUCCESS")}
+
+
+def test_inverted_file_second_centres(spark):
+    """The second centre is the one with the least spilled error, by its formula."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(50, 8))
+    s = dedup.SemanticDedup(k=6)
+    df = spark.createDataFrame([(i, [float(y) for y in v]) for i, v in enumerate(x)], "id long, vec array<float>")
+    c = s.train(df)
+    got = {r["id"]: (r["part"], r["second"]) for r in s.assign(df, c).collect()}
+    for i, v in enumerate(x):
+        u = v / np.linalg.norm(v)
+        first = int(np.argmax(c @ u))
+        r = (u - c[first]) / np.linalg.norm(u - c[first])
+        loss = [np.inf if k == first else ((u - c[k]) ** 2).sum() + ((u - c[k]) @ r) ** 2 for k in range(len(c))]
+        assert got[i][0] == first and loss[got[i][1]] < min(loss) + 1e-4
+
+
 def test_blacklist(spark):
     rows = [(1, "https://user:x@SUB.bad.com:8080/p"), (2, "https://notbad.com"), (3, None), (4, "bad.com/x"), (5, "http://bad.com")]
     df = spark.createDataFrame(rows, "id long, url string")

@@ -65,6 +65,9 @@ def test_extractors(spark):
         assert "Residents planted apple trees" in got[0] and "free workshops" in got[0] and "marker" not in got[0] and got[1] is None and got[2] == ""
     assert "- One\n- Two" in x.html_to_text(PAGE) and "a\n  b" in x.html_to_text(PAGE) and "Home" not in x.html_to_text(PAGE)
     assert "<nav>" not in x.EXTRACTORS["magic-html"]()(PAGE)
+    assert x.html_to_text("<nav><nav>a</nav>menu left</nav><p>Main</p>") == "Main"
+    assert x.html_to_text("<p>a</p><script>if (1 < 2) { '</p>' }</script><p>b &lt; c</p><style>p {}") == "a\n\nb < c"
+    assert x.clean_html("<p>x</p><aside><div><aside>y</aside></div>z</aside><svg/><p>w</p>") == "<p>x</p><p>w</p>"
     with pytest.raises(ValueError, match="Extractor not available: unknown"):
         x.ExtractHTML("unknown")
 
@@ -72,6 +75,7 @@ def test_extractors(spark):
 def test_encoding():
     assert [V.fix_mojibake(t) for t in ["cafÃ©", "FranÃ§ais", "Already correct.", "", None, "naïve café"]] == ["café", "Français", "Already correct.", "", None, "naïve café"]
     assert x.decode_page("é".encode()) == "é" and x.decode_page(b'<meta charset="latin-1">\xe9').endswith("é") and x.decode_page(None) is None and x.decode_page(b"\xe9") == "é"
+    assert x.decode_page(b"\x89PNG\r\n\x1a\n\x00\x00\xff") is None and x.decode_page(b"") == ""
 
 
 def test_tokens(spark):
@@ -108,6 +112,47 @@ def test_models(spark):
     assert [r["response"] for r in gen(df).orderBy("i").collect()] == ["THE", "DER", "LE ", "", ""]
 
 
+def test_models_load_once_a_worker(spark, tmp_path):
+    folder = str(tmp_path)
+
+    def load():
+        import uuid
+
+        open(os.path.join(folder, f"{os.getpid()}-{uuid.uuid4()}"), "w").close()
+        return lambda ts: [t.upper() for t in ts]
+
+    df = spark.createDataFrame([(f"t{i}",) for i in range(64)], "text string").repartition(16)
+    stage = m.ModelStage(load, "string")
+    for _ in range(3):
+        assert stage(df).filter("output like 'T%'").count() == 64
+    loads = [f.split("-")[0] for f in os.listdir(folder)]
+    assert 0 < len(loads) == len(set(loads))  # never twice in one process, in 48 tasks
+
+
+def test_trained_classifier(spark):
+    rows = [("the cat sat in the house", "en"), ("die Katze saß in dem Haus", "de"), ("where is the old mill", "en"), ("wo ist die alte Mühle", "de"), (None, "en"), ("x", None)] * 5
+    model = m.fit_classifier(spark.createDataFrame(rows, "text string, lang string"), "text", "lang")
+    df = spark.createDataFrame([(0, "the old house"), (1, "das alte Haus"), (2, None), (3, "")], "i int, text string")
+    got = [r["language"] for r in m.Whichlang(load=m.trained(model))(df).orderBy("i").collect()]
+    assert got[:2] == ["en", "de"] and got[2] == got[3]
+    p = [r["nsfw_score"] for r in m.NSFW(m.trained(model, "de"))(df).orderBy("i").collect()]
+    assert p[0] < 0.5 < p[1] and p[2] == p[3] == 0
+
+
+def test_contracts(spark):
+    df = spark.createDataFrame([('{"level": 7}', '{"topics": ["algebra", "logic_foundations"]}'), ('{"level": 8}', '{"topics": ["algebra", "algebra"]}'), ("{}", '{"topics": []}'), (None, '{"topics": ["cooking"]}'), ("x", None)], "a string, b string")
+    got = df.select(m.parsed_level(F.col("a")), m.parsed_topics(F.col("b"))).collect()
+    assert [r[0] for r in got] == [7, None, None, None, None] and [r[1] for r in got] == [["algebra", "logic_foundations"], None, [], None, None]
+
+
+def test_generated_queries(spark):
+    docs = spark.createDataFrame([(1, "t"), (2, None)], "doc_id long, text string")
+    out = e.generate_queries(docs, ["p1"], lambda: lambda asked: ['{"query": "q"}' if i == 0 else "no" for i, _ in enumerate(asked)])
+    assert out.columns == ["doc_id", "text", "persona", "response", "query"] and {r["query"] for r in out.coalesce(1).collect()} <= {"q", None}
+    scored = e.edu_scores(docs, lambda: lambda asked: ['{"reasoning": "r", "score": 9}' for _ in asked])
+    assert [(r["reasoning"], r["score"]) for r in scored.collect()] == [(None, None)] * 2
+
+
 def test_probe(spark):
     df = spark.createDataFrame([([1.0, 2.0],), ([0.0, 0.0],), (None,), ([1.0],)], "e array<float>")
     p = [r[0] for r in df.select(m.linear_probe(F.col("e"), [[1.0, -0.5]], [0.0], "binary", 1)).collect()]
@@ -187,6 +232,37 @@ def test_loaders_and_resume(spark, tmp_path):
         io.HuggingFaceLoader().read_data(spark, "x")
 
 
+def test_finished_files_are_not_opened(spark, tmp_path):
+    files, done = tmp_path / "files", str(tmp_path / "done")
+    spark.createDataFrame([(1,), (2,)], "id long").coalesce(1).write.parquet(str(files / "a"))
+    one = io.ParquetLoader(checkpoint_path=done)
+    assert one.read_data(spark, str(files)).count() == 2
+    one.commit()
+    for f in (files / "a").glob("*.parquet"):
+        f.write_bytes(b"no longer readable")
+    spark.createDataFrame([(3,)], "id long").coalesce(1).write.parquet(str(files / "b"))
+    two = io.ParquetLoader(checkpoint_path=done, schema="id long")
+    df = two.read_data(spark, str(files))
+    assert [r["id"] for r in df.collect()] == [3] and len(df.inputFiles()) == 1
+    two.commit()
+    assert io.ParquetLoader(checkpoint_path=done, schema="id long").read_data(spark, str(files)).count() == 0
+    keyed = io.JsonLoader(checkpoint_path=str(tmp_path / "keys"), checkpoint_on="id")
+    spark.createDataFrame([(1, "x"), (2, "y")], "id long, t string").write.json(str(tmp_path / "json"))
+    assert keyed.read_data(spark, str(tmp_path / "json")).count() == 2
+    keyed.commit()
+    assert io.JsonLoader(checkpoint_path=str(tmp_path / "keys"), checkpoint_on="id").read_data(spark, str(tmp_path / "json")).count() == 0
+
+
+def test_storage(tmp_path):
+    (tmp_path / "d" / "e").mkdir(parents=True)
+    for n in ("d/a.warc", "d/e/b.warc.gz", "d/c.txt"):
+        (tmp_path / n).write_bytes(b"x" * len(n))
+    names = lambda p: [(os.path.relpath(f, tmp_path), n) for f, n in io.list_files(p, (".warc", ".warc.gz"))]
+    assert names(str(tmp_path / "d")) == [("d/a.warc", 8), ("d/e/b.warc.gz", 13)] == names(f"file://{tmp_path}/d")
+    assert names(str(tmp_path / "d" / "*.warc")) == [("d/a.warc", 8)] and names(str(tmp_path / "d" / "a.warc")) == [("d/a.warc", 8)]
+    assert names(str(tmp_path / "none")) == []
+
+
 def record(kind, body, uri="https://a.example/"):
     head = f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <urn:uuid:1>\r\nWARC-Target-URI: {uri}\r\nWARC-Date: 2024-01-01T00:00:00Z\r\nContent-Length: {len(body)}\r\n\r\n"
     return head.encode() + body + b"\r\n\r\n"
