@@ -1,10 +1,13 @@
 """Problem 3: markup residue in text documents.
 
-A text is a tree: the document, its lines, and in each line the signs that may be markup. Every node has a hidden
-state: the document clean, of one markup or mixed; a line clean, code or of one markup; a sign content, part of code or residue of
-one markup. Parent-child potentials tie them; sum-product messages go up and down once and give the marginals of every
-sign. The potentials are counted on labelled pages made from the raw bodies, whose signs are markup where they stand,
-and content once the body is converted. Signs taken for residue are then turned into plain text.
+A text is a tree. Its root is the document; below it are lines, and in them the signs that may be markup. An element that is
+opened and closed is a node above what it holds: the signs behind its tag on the line, the lines that begin inside it, and
+its end tag; so elements nest as in the DOM. Every node has a hidden state: the document clean, of one markup or mixed; a
+line clean, code or of one markup; a sign, element tags among them, content, part of code or residue of one markup.
+Parent-child potentials tie document to line, element to line, line to sign and element to sign; sum-product messages go up
+and down once and give the marginals of every sign. The potentials are counted on labelled pages made from the raw bodies,
+whose signs are markup where they stand, and content once the body is converted. Signs taken for residue are then turned
+into plain text.
 """
 
 from __future__ import annotations
@@ -21,6 +24,7 @@ from pyspark.sql import functions as F
 
 from siltstone.session import spread
 
+LARGEST = 50_000  # characters of the longest body to train on; texts are judged whole, however long
 KINDS = ("html", "markdown", "wiki", "latex")
 DOC = ("clean", *KINDS, "mixed")
 LINE = ("clean", "code", *KINDS)
@@ -109,15 +113,89 @@ def lex(text: str) -> list[tuple[str, list[tuple[int, int, int]]]]:
     return out
 
 
+_TAG_NAME = re.compile(r"<(/?)\s*([a-z0-9]+)", re.I)
+_VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+
+
+class Node:
+    """A line (kind: its look) or an element's opening tag (kind: its class): ``leaves`` are the signs right below it that hold
+    nothing, by class; ``kids`` the elements and lines below it; ``number`` that of the line, or of the tag among all signs."""
+
+    __slots__ = ("line", "kind", "number", "leaves", "kids", "own")
+
+    def __init__(self, line: bool, kind: int, number: int):
+        self.line, self.kind, self.number, self.leaves, self.kids = line, kind, number, {}, []
+
+    def key(self) -> tuple:
+        """What the marginals below it depend on."""
+        return self.line, self.kind, tuple((c, len(x)) for c, x in sorted(self.leaves.items())), tuple(k.key() for k in self.kids)
+
+
+def nest(text: str, lines: list[tuple[str, list[tuple[int, int, int]]]]) -> list[Node]:
+    """The lines right below the document, with all that is below them; signs are numbered in order."""
+    closes: dict[int, int] = {}  # end tag -> its start tag
+    tag, open_, k = _AT["tag"], [], 0
+    for _, signs in lines:
+        for a, b, c in signs:
+            if c == tag:
+                m = _TAG_NAME.match(text, a)
+                name = m[2].lower() if m else ""
+                if m and m[1]:
+                    for i in range(len(open_) - 1, -1, -1):
+                        if open_[i][0] == name:
+                            closes[k] = open_[i][1]
+                            del open_[i:]
+                            break
+                elif name not in _VOID and text[b - 2] != "/":
+                    open_.append((name, k))
+            k += 1
+    starts = set(closes.values())
+    roots: list[Node] = []
+    up: list[tuple[int, Node, int]] = []  # open elements: number of the start tag, node, line
+    k = 0
+    for n, (look, signs) in enumerate(lines):
+        line = Node(True, _LINES.index(look), n)
+        (up[-1][1].kids if up else roots).append(line)
+        for *_, c in signs:
+            here = up[-1][1] if up and up[-1][2] == n else line
+            if k in closes:
+                while up and up[-1][0] != closes[k]:
+                    up.pop()
+                if up:
+                    up[-1][1].leaves.setdefault(c, []).append(k)
+                    up.pop()
+                else:
+                    line.leaves.setdefault(c, []).append(k)
+            elif k in starts:
+                node = Node(False, c, k)
+                here.kids.append(node)
+                up.append((k, node, n))
+            else:
+                here.leaves.setdefault(c, []).append(k)
+            k += 1
+    return roots
+
+
+def _log_mean(own: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """log(table @ exp(own)), and log(exp(own) @ table.T), without underflow."""
+    top = own.max()
+    return np.log(table @ np.exp(own - top)) + top
+
+
 class Potentials:
-    """Counts of (document, line) and (line, sign) states and of what lines and signs look like, and inference with them."""
+    """Counts of parent and child states and of what lines and signs look like, and inference with them."""
 
     def __init__(self):
         self.doc = np.full(len(DOC), 1.0)
         self.line = np.full((len(DOC), len(LINE)), 0.02)
         self.line[:, :2] += 0.5  # any document may have clean lines and code
+        self.within = np.full((len(SIGN), len(LINE)), 0.02)  # a line that begins inside an element
+        self.within[:, :2] += 0.5
         self.sign = np.full((len(LINE), len(SIGN)), 0.02)
-        self.sign[2:, 2:] += 2.0  # a line of one markup may hold a sign of another
+        self.sign[2:, 2:] += 4.0  # a line of one markup may hold a sign of another
+        self.inside = np.full((len(SIGN), len(SIGN)), 0.02)  # a sign inside an element on its line, and its end tag
+        self.inside[2:, 2:] += 1.0
+        self.inside += np.eye(len(SIGN))
         self.look = np.full((len(LINE), len(_LINES)), 0.5)
         self.shape = np.full((len(SIGN), len(_CLASSES)), 0.002)
         for n, kinds in _OF.items():  # a sign is residue of its own markups only, and seldom content until pages show it
@@ -125,53 +203,86 @@ class Potentials:
                 self.shape[k, _AT[n]] = 0.05 if s == "code" else (0.5 if s in kinds else 1e-9) if s != "content" else 0.5 if not kinds else 0.004
         self.seen: dict = {}
 
-    def add(self, doc: str, lines: list[tuple[str, str, list[tuple[int, str]]]], weight: float = 1.0) -> None:
-        """A labelled page: its state, and of each line state, look and signs as (class, state)."""
-        d = DOC.index(doc)
-        self.doc[d] += weight
-        for state, look, signs in lines:
-            li = LINE.index(state)
-            self.line[d, li] += weight
-            self.look[li, _LINES.index(look)] += weight
-            for c, s in signs:
-                self.sign[li, SIGN.index(s)] += weight
-                self.shape[SIGN.index(s), c] += weight
+    def add(self, doc: str, text: str, states: list[tuple[str, list[str | None]]], weight: float = 1.0) -> None:
+        """A labelled page: its state, and of each of its lines with signs the state and those of the signs (None: not said)."""
+        said = [s for _, signs in states for s in signs]
+
+        def count(line: bool, kind: int, label: str | None, table: np.ndarray | None, parent: int | None) -> int | None:
+            if label is None:
+                return None
+            state = (LINE if line else SIGN).index(label)
+            (self.look if line else self.shape)[state, kind] += weight
+            if table is not None:
+                table[parent, state] += weight
+            return state
+
+        def visit(node: Node, table: np.ndarray | None, parent: int | None) -> None:
+            state = count(node.line, node.kind, states[node.number][0] if node.line else said[node.number], table, parent)
+            below = None if state is None else self.sign if node.line else self.inside
+            for c, numbers in node.leaves.items():
+                for k in numbers:
+                    count(False, c, said[k], below, state)
+            for kid in node.kids:
+                visit(kid, self.within if kid.line and below is not None else below, state)
+
+        self.doc[DOC.index(doc)] += weight
+        for root in nest(text, lex(text)):
+            visit(root, self.line, DOC.index(doc))
 
     def ready(self) -> Potentials:
         norm = lambda a: a / a.sum(-1, keepdims=True)
-        self.p_doc, self.p_line, self.p_sign, self.p_look, self.p_shape = map(norm, (self.doc, self.line, self.sign, self.look, self.shape))
-        self.up = self.p_sign @ self.p_shape  # line state x sign class: the message of a sign
-        self.log_up = np.log(self.up)
+        self.p_doc, self.p_look, self.p_shape = map(norm, (self.doc, self.look, self.shape))
+        self.edge = {(True, "doc"): norm(self.line), (True, False): norm(self.within), (False, True): norm(self.sign), (False, False): norm(self.inside)}
+        self.leaf = {line: np.log(self.edge[False, line] @ self.p_shape) for line in (True, False)}  # parent state x class
+        self.log_look, self.log_shape = np.log(self.p_look), np.log(self.p_shape)
         return self
 
     def __getstate__(self):
         return self.__dict__ | {"seen": {}}
 
-    def marginals(self, signature: tuple) -> list[dict[int, np.ndarray]]:
-        """Of each line (look, ((class, count), ...)) the marginal of each of its sign classes."""
-        got = self.seen.get(signature)
+    def _up(self, node: Node) -> None:
+        """What the node's looks and all below it say of its state, kept in ``own``."""
+        own = (self.log_look if node.line else self.log_shape)[:, node.kind].copy()
+        leaf = self.leaf[node.line]
+        for c, numbers in node.leaves.items():
+            own += len(numbers) * leaf[:, c]
+        for kid in node.kids:
+            self._up(kid)
+            own += _log_mean(kid.own, self.edge[kid.line, node.line])
+        node.own = own
+
+    def _down(self, node: Node, prior: np.ndarray, out: list[int]) -> None:
+        """``prior``: what all else says of the node's state. Adds the likeliest state of each class of leaves, then of kids."""
+        belief = prior + node.own
+        if not node.line:
+            out.append(int(belief.argmax()))
+        leaf, table = self.leaf[node.line], self.edge[False, node.line]
+        for c in sorted(node.leaves):
+            cavity = belief - leaf[:, c]
+            out.append(int((np.log(np.exp(cavity - cavity.max()) @ table) + self.log_shape[:, c]).argmax()))
+        for kid in node.kids:
+            edge = self.edge[kid.line, node.line]
+            cavity = belief - _log_mean(kid.own, edge)
+            self._down(kid, np.log(np.exp(cavity - cavity.max()) @ edge), out)
+
+    def states(self, roots: list[Node]) -> list[int]:
+        """The states with the largest marginals: of elements and classes of leaves, depth first."""
+        key = tuple(r.key() for r in roots)
+        got = self.seen.get(key)
         if got is not None:
             return got
-        own = []
-        for look, signs in signature:
-            own.append(np.log(self.p_look[:, look]) + sum(n * self.log_up[:, c] for c, n in signs))
-        own = np.array(own)  # line x state
-        top = own.max(1, keepdims=True)
-        up = np.log(np.exp(own - top) @ self.p_line.T) + top  # line x document state: upward messages
-        doc = np.log(self.p_doc) + up.sum(0)
-        out = []
-        for i, (_, signs) in enumerate(signature):
-            rest = doc - up[i]
-            down = np.log(np.exp(rest - rest.max()) @ self.p_line)  # from the document to this line
-            marg = {}
-            for c, _n in signs:
-                line = down + own[i] - self.log_up[:, c]  # without the sign's own message
-                s = (np.exp(line - line.max()) @ self.p_sign) * self.p_shape[:, c]
-                marg[c] = s / s.sum()
-            out.append(marg)
+        edge, doc, messages = self.edge[True, "doc"], np.log(self.p_doc), []
+        for r in roots:
+            self._up(r)
+            messages.append(_log_mean(r.own, edge))
+        doc = doc + sum(messages)
+        out: list[int] = []
+        for r, m in zip(roots, messages):
+            cavity = doc - m
+            self._down(r, np.log(np.exp(cavity - cavity.max()) @ edge), out)
         if len(self.seen) > 50_000:
             self.seen.clear()
-        self.seen[signature] = out
+        self.seen[key] = out
         return out
 
     def judge(self, text: str | None) -> list[tuple[int, int, int, str]]:
@@ -179,12 +290,22 @@ class Potentials:
         lines = lex(text or "")
         if not lines:
             return []
-        signature = tuple((_LINES.index(look), tuple(sorted(Counter(c for *_, c in signs).items()))) for look, signs in lines)
-        out = []
-        for (_, signs), marg in zip(lines, self.marginals(signature)):
-            best = {c: int(m.argmax()) for c, m in marg.items()}
-            out += [(a, b, c, SIGN[best[c]]) for a, b, c in signs if best[c] > 1]
-        return out
+        roots = nest(text, lines)
+        states, of = iter(self.states(roots)), {}
+
+        def name(node: Node) -> None:
+            if not node.line:
+                of[node.number] = next(states)
+            for c in sorted(node.leaves):
+                state = next(states)
+                of.update((k, state) for k in node.leaves[c])
+            for kid in node.kids:
+                name(kid)
+
+        for r in roots:
+            name(r)
+        signs = (x for _, line in lines for x in line)
+        return [(a, b, c, SIGN[of[k]]) for k, (a, b, c) in enumerate(signs) if of[k] > 1]
 
 
 def dialect(body: str) -> str:
@@ -201,13 +322,13 @@ def dialect(body: str) -> str:
     return k if n > 4 * sum(x for _, x in rest) else ""
 
 
-def _labelled(text: str, state: str) -> list[tuple[str, str, list[tuple[int, str]]]]:
-    out = []
+def _labelled(text: str, state: str) -> list[tuple[str, list[str | None]]]:
+    """Of each line with signs its state and those of its signs, if all that can be of markup ``state`` is."""
+    out: list[tuple[str, list[str | None]]] = []
     for look, signs in lex(text):
         code = look in ("codey", "fenced")
-        own = [(c, state if state in _OF[_CLASSES[c]] and (not code or _CLASSES[c] in ("tag", "entity", "comment", "md_fence", "tex_environment")) else "code" if code else "content") for *_, c in signs]
-        line = "code" if code and all(s == "code" for _, s in own) else state if state != "clean" else "clean"
-        out.append((line, look, own))
+        own = [state if state in _OF[_CLASSES[c]] and (not code or _CLASSES[c] in ("tag", "entity", "comment", "md_fence", "tex_environment")) else "code" if code else "content" for *_, c in signs]
+        out.append(("code" if code and all(s == "code" for s in own) else state, own))
     return out
 
 
@@ -226,12 +347,12 @@ def train(bodies: list[str], seed: int = 5) -> Potentials:
         pages.append((b, d, plain))
     for b, d, plain in pages:
         if d != "clean":
-            p.add(d, _labelled(b, d))
+            p.add(d, b, _labelled(b, d))
         for _ in range(3):  # signs within signs
             if d != "clean":
                 plain = convert(plain, [(s, e, c, d) for look, x in lex(plain) for s, e, c in x if d in _OF[_CLASSES[c]] and look in ("plain", "list")])
-        left = _labelled(plain, "clean")
-        p.add("clean", [(line, look, [(c, s) for c, s in x if look not in ("plain", "list") or not _OF[_CLASSES[c]]]) for line, look, x in left], 3.0)
+        left = zip(lex(plain), _labelled(plain, "clean"))
+        p.add("clean", plain, [(line, [s if look not in ("plain", "list") or not _OF[_CLASSES[c]] else None for (*_, c), s in zip(x, own)]) for (look, x), (line, own) in left], 3.0)
         if spare and rng.random() < 0.3:
             words = plain.split(" ")
             kinds = {}
@@ -240,18 +361,19 @@ def train(bodies: list[str], seed: int = 5) -> Potentials:
                 words.insert(int(rng.integers(len(words) + 1)), s)
                 kinds[s] = k
             text = " ".join(words)
-            lines = []
+            lines: list[tuple[str, list[str | None]]] = []
             for look, signs in lex(text):
-                own = []
+                own: list[str | None] = []
                 for s, e, c in signs:
                     k = kinds.get(text[s:e])
                     if k is None and _OF[_CLASSES[c]] and look in ("plain", "list"):
-                        continue  # left over or grown together: not labelled
-                    own.append((c, k if k and k in _OF[_CLASSES[c]] else "code" if look in ("codey", "fenced") else "content"))
-                found = [s for _, s in own if s in KINDS]
-                lines.append((found[0] if found else "code" if look in ("codey", "fenced") else "clean", look, own))
-            if any(s in KINDS for _, _, own in lines for _, s in own):
-                p.add("mixed", lines)
+                        own.append(None)  # left over or grown together: not labelled
+                    else:
+                        own.append(k if k and k in _OF[_CLASSES[c]] else "code" if look in ("codey", "fenced") else "content")
+                found = [s for s in own if s in KINDS]
+                lines.append((found[0] if found else "code" if look in ("codey", "fenced") else "clean", own))
+            if any(s in KINDS for _, own in lines for s in own):
+                p.add("mixed", text, lines)
     return p.ready()
 
 
@@ -366,9 +488,9 @@ def _indent(code: str) -> str:
 
 
 def fit(df: DataFrame, post_id: str = "id", body: str = "body", sample: int = 1500) -> Potentials:
-    """Potentials from ``sample`` bodies, chosen by a hash of the id."""
+    """Potentials from at most ``sample`` bodies of up to LARGEST characters, chosen by a hash of the id."""
     ids = df.select(F.col(post_id).alias("i")).filter("i is not null").distinct().orderBy(F.xxhash64("i"), "i").limit(sample)
-    rows = df.select(F.col(post_id).alias("i"), F.col(body).cast("string").alias("b")).filter("b is not null and length(b) between 1 and 50000")
+    rows = df.select(F.col(post_id).alias("i"), F.col(body).cast("string").alias("b")).filter(f"b is not null and length(b) between 1 and {LARGEST}")
     got = rows.join(F.broadcast(ids), "i").groupBy("i").agg(F.min("b").alias("b")).orderBy("i").select("b").toPandas()  # sample rows
     return train(got["b"].tolist())
 
