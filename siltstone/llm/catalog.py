@@ -36,6 +36,15 @@ def p9_documents(spark: SparkSession, folder: str) -> DataFrame:
     return mixture.mix_sources(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))
 
 
+def p9_by_length(spark: SparkSession, folder: str) -> DataFrame:
+    """The mixture with sizes in characters, which SQL knows too."""
+    return mixture.mix_sources(table(spark, folder, "documents"), table(spark, folder, "mix_targets"), size="n_chars")
+
+
+def p9_report_by_length(spark: SparkSession, folder: str) -> DataFrame:
+    return mixture.mixture_report(table(spark, folder, "documents"), table(spark, folder, "mix_targets"), size="n_chars")
+
+
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     return language.language_cases(table(spark, folder, "documents"))
 
@@ -89,7 +98,7 @@ def p2_text(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = [p1_found, p4_found, p8_found, p8_items, p9_mixture, p9_documents, p10_found, p10_segments, p5_found, p5_statistics, p7_found, p7_defects, p3_found, p3_clean, p6_found, p6_rates, p2_found, p2_text]
+    found = [p1_found, p4_found, p8_found, p8_items, p9_mixture, p9_documents, p9_by_length, p9_report_by_length, p10_found, p10_segments, p5_found, p5_statistics, p7_found, p7_defects, p3_found, p3_clean, p6_found, p6_rates, p2_found, p2_text]
     return {f.__name__: f for f in found}
 
 
@@ -125,5 +134,23 @@ SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)
 """
 
 
+# a source's last round takes the documents whose hash is below that at which the budget runs out
+P9_CTE = """
+WITH d AS (SELECT doc_id, source, n_chars AS tokens, ('0x' || substr(md5(doc_id::VARCHAR || ' 0'), 1, 15))::BIGINT AS h FROM documents WHERE doc_id IS NOT NULL AND source IS NOT NULL AND n_chars > 0),
+z AS (SELECT source, count(*) AS docs, sum(tokens)::BIGINT AS tokens FROM d GROUP BY source),
+b AS (SELECT m.source, target_share, max_repeats::BIGINT AS max_repeats, coalesce(docs, 0) AS docs, coalesce(tokens, 0) AS tokens FROM mix_targets m LEFT JOIN z USING (source)),
+g AS (SELECT *, least(round(target_share * sum(tokens) OVER ())::BIGINT, max_repeats * tokens) AS budget FROM b),
+p AS (SELECT *, CASE WHEN tokens > 0 THEN budget // tokens ELSE 0 END AS full_rounds FROM g),
+r AS (SELECT d.*, full_rounds, budget - full_rounds * p.tokens AS rest, sum(d.tokens) OVER (PARTITION BY d.source ORDER BY h RANGE UNBOUNDED PRECEDING) AS run FROM d JOIN p USING (source)),
+c AS (SELECT doc_id, source, tokens, full_rounds + CASE WHEN run <= rest THEN 1 ELSE 0 END AS copies FROM r)"""
+P9_SQL = P9_CTE + " SELECT doc_id, source, tokens, copies::BIGINT AS copies FROM c WHERE copies > 0"
+P9_REPORT_SQL = (
+    P9_CTE
+    + """, u AS (SELECT source, count(*) AS used_docs, sum(tokens * copies)::BIGINT AS used_tokens FROM c WHERE copies > 0 GROUP BY source)
+SELECT source, target_share, max_repeats, docs, tokens, budget, coalesce(used_docs, 0) AS used_docs, coalesce(used_tokens, 0) AS used_tokens,
+  round(coalesce(used_tokens, 0)::DOUBLE / sum(used_tokens) OVER (), 9) AS actual_share FROM p LEFT JOIN u USING (source)"""
+)
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1_SQL, "p4_found": P4_SQL, "p8_found": P8_SQL}
+    return {"p1_found": P1_SQL, "p4_found": P4_SQL, "p8_found": P8_SQL, "p9_by_length": P9_SQL, "p9_report_by_length": P9_REPORT_SQL}

@@ -41,18 +41,20 @@ def mix_sources(
     total: int | None = None,
     tokenizer: str | None = None,
     seed: int = 0,
+    size: str | None = None,
 ) -> DataFrame:
     """(doc_id, source, tokens, copies): the documents of the mixture and how often each is used, never over max_repeats.
 
     A source's last, partly used round takes the documents whose hash is below its threshold, in whole documents: it
     stays within its budget by less than the documents of one hash value. Null texts or sources, empty texts, and
-    sources without a target aren't used. Repeated rows of an id count once."""
-    return _mix(docs, targets, doc_id, source, text, total, tokenizer, seed)[0]
+    sources without a target aren't used. Repeated rows of an id count once. ``size``: a column with the documents' sizes, where
+    they are known already or aren't tokens; then no text is read."""
+    return _mix(docs, targets, doc_id, source, text, total, tokenizer, seed, size)[0]
 
 
 def mixture_report(docs: DataFrame, targets: DataFrame, **options) -> DataFrame:
     """(source, target_share, max_repeats, docs, tokens, budget, used_docs, used_tokens, actual_share): a row a target."""
-    args = {"doc_id": "doc_id", "source": "source", "text": "text", "total": None, "tokenizer": None, "seed": 0} | options
+    args = {"doc_id": "doc_id", "source": "source", "text": "text", "total": None, "tokenizer": None, "seed": 0, "size": None} | options
     chosen, plan = _mix(docs, targets, *args.values())
     used = chosen.groupBy("source").agg(F.count(F.lit(1)).alias("used_docs"), F.sum(F.col("tokens") * F.col("copies")).alias("used_tokens"))
     out = plan.join(used, "source", "left").fillna(0, ["used_docs", "used_tokens"])
@@ -62,12 +64,14 @@ def mixture_report(docs: DataFrame, targets: DataFrame, **options) -> DataFrame:
     )
 
 
-def _mix(docs: DataFrame, targets: DataFrame, doc_id: str, source: str, text: str, total: int | None, tokenizer: str | None, seed: int) -> tuple[DataFrame, DataFrame]:
+def _mix(docs: DataFrame, targets: DataFrame, doc_id: str, source: str, text: str, total: int | None, tokenizer: str | None, seed: int, size: str | None) -> tuple[DataFrame, DataFrame]:
     goal = targets.select(F.col("source").cast("string").alias("source"), F.col("target_share").cast("double").alias("target_share"), F.col("max_repeats").cast("long").alias("max_repeats")).filter("source is not null")
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), F.col(text).cast("string").alias("text"))
-    rows = rows.filter("doc_id is not null and source is not null and text is not null")
-    sized = count_tokens(spread(rows), "text", tokenizer).filter("tokens > 0").groupBy("doc_id").agg(F.min_by(F.struct("source", "tokens"), F.struct("source", "tokens")).alias("s"))
-    h = F.xxhash64(F.col("doc_id"), F.lit(seed)).bitwiseAND(F.lit((1 << (BITS * LEVELS)) - 1))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), F.col(size or text).cast("long" if size else "string").alias("tokens" if size else "text"))
+    rows = rows.filter(f"doc_id is not null and source is not null and {'tokens' if size else 'text'} is not null")
+    counted = rows if size else count_tokens(spread(rows), "text", tokenizer)
+    sized = counted.filter("tokens > 0").groupBy("doc_id").agg(F.min_by(F.struct("source", "tokens"), F.struct("source", "tokens")).alias("s"))
+    # 60 bits of an MD5, the same in every engine
+    h = F.conv(F.substring(F.md5(F.concat_ws(" ", F.col("doc_id").cast("string"), F.lit(seed)).cast("binary")), 1, BITS * LEVELS // 4), 16, 10).cast("long")
     sized = materialise(sized.select("doc_id", "s.source", "s.tokens", h.alias("h")))
     sizes = sized.groupBy("source").agg(F.count(F.lit(1)).alias("docs"), F.sum("tokens").alias("tokens"))
     plan = budgets(sizes, goal, total)
