@@ -147,6 +147,51 @@ def test_residue(spark, marks):
     assert markup.residue(df.limit(0), marks).count() == 0
 
 
+def brute_states(model, roots):
+    """Marginals by summing over all states of all nodes."""
+    import itertools
+
+    names = []  # (kind of node, its kind, parent)
+
+    def walk(node, parent):
+        me = len(names)
+        names.append((node.line, node.kind, parent))
+        for c in sorted(node.leaves):
+            for _ in node.leaves[c]:
+                names.append((False, c, me))
+        for kid in node.kids:
+            walk(kid, me)
+
+    for r in roots:
+        walk(r, -1)
+    total = [np.zeros(6) for _ in names]
+    for doc in range(6):
+        for states in itertools.product(range(6), repeat=len(names)):
+            p = model.p_doc[doc]
+            for (line, kind, parent), s in zip(names, states):
+                up = doc if parent < 0 else states[parent]
+                p *= model.edge[line, "doc" if parent < 0 else names[parent][0]][up, s] * (model.p_look if line else model.p_shape)[s, kind]
+            for t, s in zip(total, states):
+                t[s] += p
+    return [int(t.argmax()) for t, (line, *_) in zip(total, names) if not line]
+
+
+@pytest.mark.parametrize("text", ["<b>x</b>", "<p>\n&amp; **a**\n</p>", "a &amp; b\n<i>c</i>", "<u>a ''b'' </u>"])
+def test_messages_against_all_states(text, marks):
+    """The tree's marginals are those of the sum over all states; elements hold what lies inside them."""
+    roots = markup.nest(text, markup.lex(text))
+    assert marks.states(roots) == brute_states(marks, roots)
+
+
+def test_elements_nest():
+    text = "<ul>\n<li>one <b>two</b></li>\n<li>&amp;</li>\n</ul>\n&lt;"
+    first, last = markup.nest(text, markup.lex(text))
+    ul = first.kids[0]
+    assert [k.line for k in ul.kids] == [True, True, True] and len(last.kids) == 0 and sum(map(len, last.leaves.values())) == 1
+    li = ul.kids[0].kids[0]
+    assert not li.line and [k.line for k in li.kids] == [False] and sum(map(len, ul.leaves.values())) == 1  # <b> inside <li>; the end tag of <ul>
+
+
 def test_clean(marks):
     def clean(t):
         return markup.convert(t, marks.judge(t))
