@@ -46,6 +46,12 @@ class Block:
         self.text, self.path, self.ids, self.link, self.tags = text, path, ids, link, tags
 
 
+@lru_cache(50_000)
+def _named(tag: str, attributes: str) -> str:
+    names = " ".join(x or y or z for x, y, z in _NAMES.findall(attributes))
+    return f"{tag}.{names}" if names else tag
+
+
 def blocks(page: str | None) -> tuple[str, list[Block]]:
     """(title, blocks) of a page: runs of text between block tags, entities decoded, white space made single."""
     page = page or ""
@@ -71,21 +77,20 @@ def blocks(page: str | None) -> tuple[str, list[Block]]:
             inner.clear()
             linked = 0
 
-    def add(text: str) -> None:
-        nonlocal linked
-        runs.append(text)
-        if depth_a:
-            linked += len(text)
-
     for m in _TOKEN.finditer(page):
-        if m.start() > at:
-            add(page[at : m.start()])
-        at = m.end()
+        begin, after = m.span()
+        if begin > at:
+            text = page[at:begin]
+            if runs or not text.isspace():
+                runs.append(text)
+                if depth_a:
+                    linked += begin - at
+        at = after
         tag = m[2]
         if tag is None:
             continue
         tag = tag.lower()
-        closing = m[0][1] == "/"
+        closing = page[begin + 1] == "/"
         if tag in INLINE:
             if tag == "br":
                 runs.append(" ")
@@ -94,7 +99,8 @@ def blocks(page: str | None) -> tuple[str, list[Block]]:
             if not closing:
                 inner.add(tag)
             continue
-        end()
+        if runs:
+            end()
         depth_a = 0
         if closing:
             if tag in tags_up:
@@ -104,12 +110,13 @@ def blocks(page: str | None) -> tuple[str, list[Block]]:
             while tags_up and (tags_up[-1] == "p" or (tag == tags_up[-1] and tag in _CLOSES_ITSELF)):
                 del names_up[-1], tags_up[-1], ids_up[-1]
             serial += 1
-            names = " ".join(x or y or z for x, y, z in _NAMES.findall(m[3])) if "=" in m[3] else ""
-            names_up.append(f"{tag}.{names}" if names else tag)
+            attributes = m[3]
+            names_up.append(_named(tag, attributes) if "=" in attributes else tag)
             tags_up.append(tag)
             ids_up.append(serial)
     if at < len(page):
-        add(page[at:])
+        runs.append(page[at:])
+        linked += (len(page) - at) * bool(depth_a)
     end()
     return title, out
 
@@ -215,10 +222,12 @@ def _word_key(w: str) -> int:
 def _text(text: str) -> tuple[float, np.ndarray, frozenset, bool, float]:
     """Share of 40 words, keys of words and of pairs of words, distinct words, whether it ends as a sentence, share of digits."""
     w = _WORD.findall(text.lower())
-    keys = np.fromiter(map(_word_key, w), np.int64, len(w))
-    keys = np.unique(np.concatenate([keys, (keys[:-1] * 1_009 + keys[1:] * 9_176 + 77) % WORDS, [_word_key("first:" + w[0]) if w else 0]]))
+    in_order = list(map(_word_key, w))
+    keys = set(in_order)
+    keys.update([(a * 1_009 + b * 9_176 + 77) % WORDS for a, b in zip(in_order, in_order[1:])])
+    keys.add(_word_key("first:" + w[0]) if w else 0)
     ended = bool(_ENDED.search(text, max(0, len(text) - 4)))
-    return min(1.0, len(w) / 40), keys.astype(np.int32), frozenset(w), ended, min(1.0, len(_DIGIT.findall(text)) / len(text) * 4)
+    return min(1.0, len(w) / 40), np.fromiter(keys, np.int32, len(keys)), frozenset(w), ended, min(1.0, len(_DIGIT.findall(text)) / len(text) * 4)
 
 
 _short = lru_cache(100_000)(_text)  # menus and link lists say the same on page after page
@@ -422,9 +431,16 @@ def sample_pages(df: DataFrame, record_id: str, page: str, uri: str, sample: int
     and more of the same hosts where there aren't as many. The pages' text is read for those alone that are chosen."""
     host = F.lower(F.regexp_extract(F.coalesce(F.col(uri).cast("string"), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#]*@)?([^/:?#]*)", 1))
     rows = df.select(F.col(record_id).cast("string").alias("i"), host.alias("host"), F.coalesce(F.col(uri).cast("string"), F.lit("")).alias("u")).filter("i is not null")
+    hosts = rows.groupBy("host").agg(F.count(F.lit(1)).alias("n")).orderBy(F.xxhash64("host"), "host").limit(sample).toPandas()  # at most ``sample`` hosts
+    enough, most = int((hosts["n"].clip(upper=each).cumsum() < sample).sum()) + 1, max(each, sample)
+    hosts = hosts.iloc[:enough]
+    while len(hosts) and hosts["n"].clip(upper=most - 1).sum() >= sample and most > each:  # no more of a host than it takes
+        most = max(each, min(most - 1, int(most * 0.9)))
+    known = rows.join(F.broadcast(df.sparkSession.createDataFrame([(h,) for h in hosts["host"]], "host string")), "host")
     nth = F.row_number().over(Window.partitionBy("host").orderBy(F.xxhash64("i"), "i"))
-    near = rows.distinct().withColumn("nth", nth).filter(F.col("nth") <= sample)
-    chosen = near.orderBy(F.floor((F.col("nth") - 1) / each), F.xxhash64("host"), "host", "nth").limit(sample)
+    near = known.withColumn("nth", nth).filter(F.col("nth") <= 2 * most)  # records delivered again are in it twice
+    chosen = near.groupBy("i").agg(F.min("host").alias("host"), F.min("u").alias("u"), F.min("nth").alias("nth"))
+    chosen = chosen.orderBy(F.floor((F.col("nth") - 1) / each), F.xxhash64("host"), "host", "nth").limit(sample)
     text = df.select(F.col(record_id).cast("string").alias("i"), F.col(page).cast("string").alias("h")).filter(f"h is not null and length(h) between 1 and {LARGEST}")
     return text.join(F.broadcast(chosen), "i").groupBy("i").agg(F.min("h").alias("h"), F.min("host").alias("host"), F.min("u").alias("u")).orderBy("i").toPandas()  # sample rows
 
