@@ -19,6 +19,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -454,18 +455,20 @@ def fit(df: DataFrame, record_id: str = "warc_record_id", page: str = "html", ur
 
 def _labelled(df: DataFrame, model: Labeller | None, record_id: str, page: str, uri: str, sample: int, schema: str, rows_of) -> DataFrame:
     shared = df.sparkSession.sparkContext.broadcast(model or fit(df, record_id, page, uri, sample))  # weights of fixed size
-    names = [x.split()[0] for x in schema.split(", ")]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for i in range(0, len(pdf), 256):
-                part = pdf.iloc[i : i + 256]
-                parsed = [blocks(h) for h in part["html"]]
+    names, kinds = zip(*(x.split() for x in schema.split(", ")))
+    types = [pa.float64() if k == "double" else pa.string() for k in kinds]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 256):
+                ids, page = (c.slice(i, 256).to_pylist() for c in batch.columns)
+                parsed = [blocks(h) for h in page]
                 p = shared.value.predict([features(*x) for x in parsed])
-                yield pd.DataFrame([r for k, (_, bs), q in zip(part["id"], parsed, p) for r in rows_of(k, bs, q)], columns=names)
+                out = list(zip(*(r for k, (_, bs), q in zip(ids, parsed, p) for r in rows_of(k, bs, q)))) or [()] * len(names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], list(names))
 
     rows = df.select(F.col(record_id).cast("string").alias("id"), F.col(page).cast("string").alias("html")).filter("id is not null and html is not null")
-    return spread(rows).mapInPandas(run, schema)
+    return spread(rows).mapInArrow(run, schema)
 
 
 def main_blocks(df: DataFrame, model: Labeller | None = None, record_id: str = "warc_record_id", page: str = "html", uri: str = "warc_target_uri", sample: int = 1200) -> DataFrame:
