@@ -72,7 +72,7 @@ def pieces(text: str | None) -> list[list[str]]:
     """The terms of every sentence of a text, numbers as one term; long sentences in several parts that overlap by half."""
     out = []
     for s in _SENTENCE.split(_unmasked(undisguise(text or ""))):
-        w = ["#" if x[0].isdigit() else "'" if x in _QUOTES else x for x in _PART.findall(s)]
+        w = [x if "a" <= x[0] <= "z" else "#" if x[0].isdigit() else "'" if x in _QUOTES else x for x in _PART.findall(s)]
         if len(w) <= LONGEST:
             out += [w] if w else []
         else:
@@ -95,6 +95,14 @@ class Machine:
         self.w = np.zeros(1 << BITS, np.float32)
         self.v = rng.normal(0, 0.05, (1 << BITS, factors)).astype(np.float32)
         self.v[0] = 0
+        self.single: dict[str, int] = {}
+        self.follow: dict[str, dict[str, int]] = {}
+        for t in sorted(known):
+            a, pair, b = t.partition(" ")
+            if pair:
+                self.follow.setdefault(a, {})[b] = _key(t)
+            else:
+                self.single[t] = _key(t)
         self.by_shape: dict[tuple, list[str]] = {}
         for t in sorted(known):
             if t.isalpha() and len(t) > 2 and " " not in t:
@@ -113,11 +121,13 @@ class Machine:
     def rows(self, sentences: list[list[str]]) -> np.ndarray:
         """Hashed terms and neighbouring pairs of known terms, padded to one width."""
         out = np.zeros((len(sentences), 2 * LONGEST), np.int32)
+        single, follow = self.single, self.follow
         for i, s in enumerate(sentences):
-            s = [(self.resolve(x) or "?") if x[0] == "?" else x for x in s]
-            u = [x for x in s if x in self.known]
-            pairs = [f"{a} {b}" for a, b in zip(s, s[1:]) if f"{a} {b}" in self.known]
-            k = list(dict.fromkeys(map(_key, u + pairs)))[: 2 * LONGEST]
+            if "?" in {x[0] for x in s}:
+                s = [(self.resolve(x) or "?") if x[0] == "?" else x for x in s]
+            k = [single[x] for x in s if x in single]
+            k += [follow[a][b] for a, b in zip(s, s[1:]) if a in follow and b in follow[a]]
+            k = list(dict.fromkeys(k))[: 2 * LONGEST]
             out[i, : len(k)] = k
         return out
 
