@@ -431,3 +431,29 @@ def test_label_model_finds_reliable_votes():
     said = [m.posterior[p] >= m.cutoff for p, _ in hidden]
     hit = sum(s and y for s, (_, y) in zip(said, hidden))
     assert hit / sum(said) > 0.8 and hit / sum(y for _, y in hidden) > 0.7
+
+
+# ---- models
+
+
+def test_models_are_kept(spark, tmp_path, machine, tongues, marks):
+    from siltstone.llm import store
+
+    labeller = pages.Labeller()
+    for i, (model, say) in enumerate(
+        [
+            (machine, lambda m: m.score("You are a worthless moron.")),
+            (tongues, lambda m: m.score(["brücke"]).tolist()),
+            (marks, lambda m: m.judge("<b>x</b> &amp; y")),
+            (labeller, lambda m: [p.tolist() for p in m.predict([pages.features(*pages.blocks("<p>a b</p><p>c</p>"))])]),
+        ]
+    ):
+        store.save(spark, model, str(tmp_path / str(i)))
+        assert say(store.load(spark, str(tmp_path / str(i)))) == say(model)
+    with pytest.raises(TypeError):
+        store.save(spark, {"a": 1}, str(tmp_path / "x"))
+
+
+def test_given_models_need_no_training_rows(spark, marks, monkeypatch):
+    monkeypatch.setattr(markup, "fit", lambda *a: pytest.fail("fitted again"))
+    assert markup.residue(spark.createDataFrame([(1, "<b>x</b>", "")], "id long, text string, body string"), marks).count() == 1
