@@ -210,3 +210,20 @@ def test_mixture(spark):
 def test_count_tokens(spark):
     df = spark.createDataFrame([(1, "hello world", "k"), (2, None, "k"), (3, "", None)], "id int, text string, tokens2 string")
     assert {r["id"]: r["tokens"] for r in count_tokens(df).collect()} == {1: 2, 2: 0, 3: 0}
+
+
+@pytest.mark.parametrize("every, least", [(12, 1.0), (8, 1.0), (6, 0.95)])
+def test_recall_of_edited_copies(spark, every, least):
+    """Items copied with every n-th word changed, by turns replaced, left out and doubled, among texts that share their phrases."""
+    rng = random.Random(every)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    items = [(i, " ".join(rng.choice(vocabulary) for _ in range(40))) for i in range(60)]
+    docs = [(9_000 + k, " ".join(rng.choice(vocabulary) for _ in range(30)) + " " + " ".join(items[k % 60][1].split()[5:11])) for k in range(1_200)]
+    for i, t in items:
+        w = t.split()
+        for n, at in enumerate(range(every - 1, len(w), every)):
+            w[at] = (rng.choice(vocabulary), "", f"{w[at]} {w[at]}")[n % 3]
+        docs.append((i, " ".join(x for x in w if x)))
+    found = leakage.leaked_items(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, item_text string"))
+    got = {r["item_id"]: r["verbatim_docs"] + r["edited_docs"] for r in found.collect()}
+    assert sum(n == 1 for n in got.values()) >= least * 60 and max(got.values()) == 1
