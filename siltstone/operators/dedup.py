@@ -246,7 +246,12 @@ def lsh_edges(signatures: DataFrame, key: str, b: int, r: int) -> DataFrame:
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, key: str, threshold: float) -> DataFrame:
-    """Those (u, v) of ``pairs`` whose shingles have a Jaccard similarity of ``threshold`` or more."""
+    """Those (u, v) of ``pairs`` whose shingles have a Jaccard similarity of ``threshold`` or more. Only the shingles of rows that
+    are in a pair are moved; up to SMALL counted pairs pick them out where they are."""
+    pairs = materialise(pairs)
+    if pairs.count() <= SMALL:
+        ids = pairs.select(F.explode(F.array("u", "v")).alias(key)).distinct()
+        sets = sets.join(F.broadcast(ids), key, "left_semi")
     both = pairs.join(sets.select(F.col(key).alias("u"), F.col("keys").alias("a")), "u").join(sets.select(F.col(key).alias("v"), F.col("keys").alias("b")), "v")
     same = F.size(F.array_intersect("a", "b"))
     return both.filter(same >= threshold * (F.size("a") + F.size("b") - same)).select("u", "v")
@@ -266,12 +271,13 @@ def fuzzy_groups(df: DataFrame, key: str = "doc_id", text: str = "paragraph_text
     rows = stage("shingles", spread(df.select(key, text)).select(F.col(key), shingle_keys(F.col(text), ngram).alias("keys")).filter("keys is not null"))
     digests = rows.select(key, F.md5(F.array_join("keys", ",").cast("binary")).alias("_d"))
     exact = stage("exact", digests.groupBy("_d").agg(F.min(key).alias("_first")))
-    sets = rows.join(exact.select(F.col("_first").alias(key)), key, "left_semi")
-    same = digests.join(exact, "_d").filter(F.col(key) != F.col("_first")).select(F.col(key).alias("u"), F.col("_first").alias("v"))
+    same = stage("same", digests.join(exact, "_d").filter(F.col(key) != F.col("_first")).select(F.col(key).alias("u"), F.col("_first").alias("v")))
+    sets = without(rows, same.select(F.col("u").alias(key)), key)  # one row of equal ones
     sigs = sets.select(F.col(key).alias("u"), _signature_of_keys(F.col("keys"), num_hashes, seed).alias("sig"))
     bands = sigs.select("u", F.explode(F.array(*(F.xxhash64(F.lit(i), F.slice("sig", i * r + 1, r)) for i in range(b)))).alias("bucket"))
-    full = bands.groupBy("bucket").agg(F.min("u").alias("v"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket", "v")
-    held = stage("buckets", bands.join(full, "bucket"))
+    bands = stage("bands", bands)  # read twice
+    full = stage("full", bands.groupBy("bucket").agg(F.min("u").alias("v"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket", "v"))
+    held = stage("buckets", bands.join(F.broadcast(full) if full.count() <= SMALL else full, "bucket"))
     stars = stage("stars", _similar(held.filter("u <> v").select("u", "v").distinct(), sets, key, threshold))
     grouped = held.select("u", "bucket").join(components(stars).withColumnRenamed("node", "u"), "u", "left").select("bucket", "u", F.coalesce("root", "u").alias("root"))
     grouped = stage("grouped", grouped)
@@ -310,7 +316,7 @@ class SemanticDedup:
     their number), which only the cost depends on. Null, empty, all-zero vectors, those with null or NaN numbers and those of
     another length than the commonest take no part and stay."""
 
-    def __init__(self, k: int | None = None, threshold: float = 0.95, tile: int = 200_000, rounds: int = 25, sample: int = 100_000, seed: int = 1, id_column: str = "uuid", embedding: str = "embedding"):
+    def __init__(self, k: int | None = None, threshold: float = 0.95, tile: int = 200_000, rounds: int = 25, sample: int = 20_000, seed: int = 1, id_column: str = "uuid", embedding: str = "embedding"):
         self.k, self.threshold, self.tile, self.rounds, self.sample, self.seed = k, threshold, tile, rounds, sample, seed
         self.id_column, self.embedding = id_column, embedding
 
