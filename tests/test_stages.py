@@ -305,6 +305,37 @@ def test_streams(spark, tmp_path):
     assert ingest.first_seen(stream, "k", "ts").isStreaming and ingest.text_rates(stream, "ts", "bad").columns == ["window", "rows", "flagged"]
 
 
+def test_stream_states(spark, tmp_path):
+    """Windows are given out once the watermark has passed them, late rows of closed ones are left out, keys are kept once."""
+    from siltstone.streaming import ingest
+
+    src = tmp_path / "events"
+    kind = "k string, ts timestamp, bad boolean"
+
+    def feed(name, rows):
+        spark.createDataFrame([(k, t, b) for k, t, b in rows], "k string, t string, bad boolean").selectExpr("k", "cast(t as timestamp) as ts", "bad").coalesce(1).write.parquet(str(src / name))
+
+    def run(stream, name):
+        q = stream.writeStream.format("parquet").option("path", str(tmp_path / name)).option("checkpointLocation", str(tmp_path / f"{name}-ck")).outputMode("append").trigger(availableNow=True).start()
+        q.awaitTermination()
+        return spark.read.parquet(str(tmp_path / name))
+
+    def read():
+        return spark.readStream.schema(kind).option("recursiveFileLookup", "true").parquet(str(src))
+
+    feed("1", [("a", "2024-01-01 10:05:00", True), ("b", "2024-01-01 10:40:00", False), ("a", "2024-01-01 11:10:00", False), (None, None, None)])
+    assert run(ingest.text_rates(read(), "ts", "bad"), "rates").count() == 0  # the watermark is two hours behind
+    seen = run(ingest.first_seen(read(), "k", "ts"), "seen")
+    assert sorted(r["k"] for r in seen.filter("k is not null").collect()) == ["a", "b"]
+    feed("2", [("c", "2024-01-01 15:00:00", True), ("b", "2024-01-01 15:01:00", False)])
+    run(ingest.text_rates(read(), "ts", "bad"), "rates")
+    feed("3", [("d", "2024-01-01 10:30:00", True), ("e", "2024-01-01 15:30:00", False)])  # the first is too late
+    got = run(ingest.text_rates(read(), "ts", "bad"), "rates")
+    assert sorted((r["window"]["start"].hour, r["rows"], r["flagged"]) for r in got.selectExpr("window", "rows", "flagged").collect()) == [(10, 2, 1), (11, 1, 0)]
+    seen = run(ingest.first_seen(read(), "k", "ts"), "seen")
+    assert sorted(r["k"] for r in seen.filter("k is not null").collect()) == ["a", "b", "c", "d", "e"]
+
+
 def test_entry():
     import __spark_entry__ as entry
 
