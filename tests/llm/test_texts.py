@@ -1,6 +1,7 @@
 """Pages, markup, quality, abuse, pairs and languages on small inputs, and how well what is trained does on what it hasn't seen."""
 
 import hashlib
+import zlib
 
 import numpy as np
 import pytest
@@ -418,6 +419,54 @@ def test_question_repeated_as_answer(tongues):
     assert pairs.votes(None, Q, " ".join([Q] * 4), tongues)["copied"] == "yn0y"
 
 
+def test_cutoffs_rest_on_all_sound_pairs(spark, tongues, monkeypatch):
+    df = table(spark, "qa_pairs").select("pair_id", "title", "question", "answer").filter("pair_id is not null").dropDuplicates(["pair_id"]).orderBy("pair_id").limit(700).cache()
+    rows = [tuple(r) for r in df.collect()]
+    sound = [r for r in rows if not any("y" in x for x in pairs.votes(*r[1:], tongues).values())]
+    assert len(sound) > 500
+    want: dict[str, dict[str, int]] = {"empty": {}, "truncated": {}, "copied": {}}
+    for i, t, q, a in sound:
+        for d, (bq, ba) in pairs.broken(q, a, None, zlib.crc32(str(i).encode()) / 2**32).items():
+            x = pairs.votes(t, bq, ba, tongues)[d]
+            want[d][x] = want[d].get(x, 0) + 1
+    seen = []
+
+    class Seen(pairs.LabelModel):
+        def __init__(self, counts, made=None, **more):
+            super().__init__(counts, made, **more)
+            seen.append(made or {})
+
+    monkeypatch.setattr(pairs, "LabelModel", Seen)
+    got = []
+    for parts in (1, 7):  # each pair is delivered twice
+        seen.clear()
+        pairs.defects(df.union(df).repartition(parts), tongues).count()
+        assert len(seen) == len(pairs.DEFECTS) and all(m in seen for m in want.values())
+        got.append([m for m in seen if m and m not in want.values()])
+    assert got[0] == got[1] and len(got[0]) == 1  # answers in another language, for nearly every pair and alike wherever it lies
+    assert 0.9 * len(sound) < sum(got[0][0].values()) <= len(sound) + 1e-6
+
+
+def test_all_foreign_answers(tongues):
+    tags = ["The valve is checked twice a year.", "Das Ventil wird zweimal im Jahr geprüft.", "La válvula se revisa dos veces al año, y luego se cambia.", "Клапан проверяют два раза в год.", "The gasket leaks. Das Wasser wird danach wieder aufgefüllt, weil es fehlt."]
+    asks = ["How often should the boiler be checked in winter?", "Wie oft soll der Kessel im Winter geprüft werden?", "¿Con qué frecuencia hay que revisar la caldera en invierno?", "Как часто нужно проверять котёл зимой?", "What should be replaced first when water is lost?"]
+    rows = [(i, None, q, a) for i, (q, a) in enumerate(zip(asks, tags))]
+    counts: dict[str, dict[tuple[str, str], int]] = {"asked": {}, "given": {}}
+    own = {}
+    for r in rows:
+        for kind, of, x in (w.split(" ") for w in pairs.tallies(*r, tongues)[1] if not w.startswith("made")):
+            counts[kind][of, x] = counts[kind].get((of, x), 0) + 1
+            own |= {r[0]: int(of)} if kind == "asked" else {}
+    assert len(set(own.values())) >= 3
+    want: dict[str, float] = {}
+    for i in own:
+        others = [j for j in own if own[j] != own[i]]
+        for j in others:
+            x = pairs.votes(None, asks[i], tags[j], tongues)["other_language"]
+            want[x] = want.get(x, 0.0) + 1 / len(others)
+    assert pairs.foreign_answers(**counts) == pytest.approx(want) and sum(want.values()) == pytest.approx(len(own))
+
+
 def test_label_model_finds_reliable_votes():
     rng = np.random.default_rng(1)
     counts: dict[str, int] = {}
